@@ -141,8 +141,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Leftmost index of the minimum of each `width` consecutive values, by doubling."""
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.arange(len(values), dtype=np.int64)
+        return np.zeros(0, np.int32)
+    at = np.arange(len(values), dtype=np.int32)
     best, have = values, 1
     while have < width:
         step = min(have, width - have)

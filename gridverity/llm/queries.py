@@ -10,12 +10,14 @@ from .packing import op7_pack
 from .sharding import op9_hash_tree_shards
 from .simhash import op6_simhash_pivots
 from .substrings import op2_substring_superkmers
+from .suffixes import op10_suffix_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_superkmers": op2_substring_superkmers,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_pack": op7_pack,
     "op9_hash_tree_shards": op9_hash_tree_shards,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}

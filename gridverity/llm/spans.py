@@ -9,7 +9,8 @@ documents share sends to one bucket.
 
 A payload is one compressed record per block and bucket:
 lengths (i4), owners (index to a list of documents, i4), positions (i8), the
-documents (key i8, row hash i8) and the strings end to end.
+minimiser's unit in the string (u4), the documents (key i8, row hash i8) and the
+strings end to end.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, prefix_hashes, ragged, sliding_min, span_hashes
+from .blocks import BLOCK_BYTES, Block, blocks, prefix_hashes, ragged, sliding_min, span_hashes
 from .common import doc_key, partitions, whole_text
 
 #: Buckets for each shuffle partition; a partition's buckets are worked on one after another.
@@ -33,17 +34,21 @@ BUCKETS_EACH = 16
 
 @dataclass
 class Strings:
-    """Packed strings: bytes data[off[i] : off[i + 1]] of the document (key[i], row[i]), from unit pos[i] on."""
+    """Packed strings: bytes data[off[i] : off[i + 1]] of the document (key[i], row[i]), from unit pos[i] on.
+
+    mini[i] is the unit of string i where its minimiser starts.
+    """
 
     data: np.ndarray
     off: np.ndarray
     key: np.ndarray
     row: np.ndarray
     pos: np.ndarray
+    mini: np.ndarray
 
 
 def super_kmers(gram: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive windows with one minimiser: first window, number of windows, minimiser.
+    """Runs of consecutive windows with one minimiser: first window, number of windows, the minimiser's unit.
 
     gram[i] is the hash of units i .. i + k - 1; document d has units first[d] to first[d + 1].
     """
@@ -51,23 +56,24 @@ def super_kmers(gram: np.ndarray, first: np.ndarray, window: int, k: int) -> tup
     has = np.maximum(n - window + 1, 0)  # windows
     total = int(has.sum())
     if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     least = sliding_min(gram, window - k + 1)
     at = ragged(first[:-1], has)
     chosen = least[at]
     new = np.ones(total, bool)
     new[1:] = (chosen[1:] != chosen[:-1]) | (at[1:] != at[:-1] + 1)
     runs = np.flatnonzero(new)
-    return at[runs], np.diff(np.append(runs, total)), gram[chosen[runs]]
+    return at[runs], np.diff(np.append(runs, total)), chosen[runs]
 
 
-def pack(doc_key: np.ndarray, doc_row: np.ndarray, owner: np.ndarray, pos: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+def pack(doc_key: np.ndarray, doc_row: np.ndarray, owner: np.ndarray, pos: np.ndarray, mini: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     docs, local = np.unique(owner, return_inverse=True)
     parts = [
         struct.pack("<qq", len(owner), len(docs)),
         size.astype("<i4").tobytes(),
         local.astype("<i4").tobytes(),
         pos.astype("<i8").tobytes(),
+        mini.astype("<u4").tobytes(),
         doc_key[docs].astype("<i8").tobytes(),
         doc_row[docs].astype("<i8").tobytes(),
         data[ragged(start, size)].tobytes(),
@@ -77,7 +83,7 @@ def pack(doc_key: np.ndarray, doc_row: np.ndarray, owner: np.ndarray, pos: np.nd
 
 def unpack(payloads: list[bytes]) -> Strings:
     d = zstandard.ZstdDecompressor()
-    sizes, keys, rows, pos, data = [], [], [], [], []
+    sizes, keys, rows, pos, mini, data = [], [], [], [], [], []
     for p in payloads:
         raw = d.decompress(p)
         n, m = struct.unpack_from("<qq", raw)
@@ -86,11 +92,12 @@ def unpack(payloads: list[bytes]) -> Strings:
         sizes.append(take("<i4", n, at))
         local = take("<i4", n, at + 4 * n)
         pos.append(take("<i8", n, at + 8 * n))
-        keys.append(take("<i8", m, at + 16 * n)[local])
-        rows.append(take("<i8", m, at + 16 * n + 8 * m)[local])
-        data.append(np.frombuffer(raw, np.uint8, -1, at + 16 * n + 16 * m))
+        mini.append(take("<u4", n, at + 16 * n))
+        keys.append(take("<i8", m, at + 20 * n)[local])
+        rows.append(take("<i8", m, at + 20 * n + 8 * m)[local])
+        data.append(np.frombuffer(raw, np.uint8, -1, at + 20 * n + 16 * m))
     size = np.concatenate(sizes).astype(np.int64)
-    return Strings(np.concatenate(data), np.concatenate([[0], np.cumsum(size)]), np.concatenate(keys), np.concatenate(rows), np.concatenate(pos))
+    return Strings(np.concatenate(data), np.concatenate([[0], np.cumsum(size)]), np.concatenate(keys), np.concatenate(rows), np.concatenate(pos), np.concatenate(mini).astype(np.int64))
 
 
 def string_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -128,7 +135,7 @@ def block_strings(block: Block, window: int, k: int, buckets: int, units: Callab
     units(block) -> (data, gram hashes, first unit of each document, byte range of units i .. j - 1).
     """
     data, gram, first, span = units(block)
-    at, count, minimiser = super_kmers(gram, first, window, k)
+    at, count, chosen = super_kmers(gram, first, window, k)
     if not len(at):
         return
     key, row = block.column("k").astype(np.int64), block.column("row").astype(np.int64)
@@ -154,14 +161,14 @@ def block_strings(block: Block, window: int, k: int, buckets: int, units: Callab
         out = removed_rows(key[doc[gone]], row[doc[gone]], pos[gone], (pos + count + window - 1)[gone])
         yield _sent(out.num_rows, removed=out)
     left = np.flatnonzero(keep)
-    bucket = (minimiser[left] % np.uint64(buckets)).astype(np.int32)
+    bucket = (gram[chosen[left]] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     left, bucket = left[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     payloads = []
     for a, b in zip(cuts, np.append(cuts[1:], len(left)), strict=True):
         x = left[a:b]
-        payloads.append(pack(key, row, doc[x], pos[x], data, start[x], (stop - start)[x]))
+        payloads.append(pack(key, row, doc[x], pos[x], (chosen - at)[x], data, start[x], (stop - start)[x]))
     yield _sent(len(cuts), bucket[cuts], payloads)
 
 
@@ -175,7 +182,7 @@ def _sent(n: int, bucket: np.ndarray | None = None, payloads: list[bytes] | None
     return pa.RecordBatch.from_arrays(cols, schema=_SENT_SCHEMA)
 
 
-def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats: Callable) -> DataFrame:
+def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(k, row, start, stop): units covered by a window that also starts in a document with a smaller key.
 
     docs has k, row and text.  repeats(Strings) -> (string index, first unit, last unit + 1) of windows
@@ -185,7 +192,7 @@ def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats
     buckets = n * BUCKETS_EACH
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=block_bytes):
             yield from block_strings(block, window, k, buckets, units)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
