@@ -11,8 +11,10 @@ from .sharding import op9_hash_tree_shards
 from .simhash import op6_simhash_pivots
 from .substrings import op2_substring_superkmers
 from .suffixes import op10_suffix_array
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_superkmers": op2_substring_superkmers,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_pack": op7_pack,
