@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op7_pack
+from .quality import op5_quality
 from .sharding import op9_hash_tree_shards
 from .simhash import op6_simhash_pivots
 from .substrings import op2_substring_superkmers
@@ -16,6 +17,7 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_superkmers": op2_substring_superkmers,
+    "op5_quality": op5_quality,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_pack": op7_pack,
     "op9_hash_tree_shards": op9_hash_tree_shards,
