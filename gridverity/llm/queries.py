@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op8_embedding_cells
 from .packing import op7_pack
 from .quality import op5_quality
 from .sharding import op9_hash_tree_shards
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_pack": op7_pack,
+    "op8_embedding_cells": op8_embedding_cells,
     "op9_hash_tree_shards": op9_hash_tree_shards,
     "op10_suffix_array": op10_suffix_array,
 }
