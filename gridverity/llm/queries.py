@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op8_embedding_cells
+from .fingerprints import op3_bottom_k
 from .packing import op7_pack
 from .quality import op5_quality
 from .sharding import op9_hash_tree_shards
@@ -18,6 +19,7 @@ from .toxicity import op1_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_superkmers": op2_substring_superkmers,
+    "op3_bottom_k": op3_bottom_k,
     "op5_quality": op5_quality,
     "op6_simhash_pivots": op6_simhash_pivots,
     "op7_pack": op7_pack,
