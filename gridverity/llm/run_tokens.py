@@ -41,16 +41,10 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class RunEncoder:
-    """Ids of documents by runs; knows each run that it has met."""
+class IdPool:
+    """Ids of strings that were met before, by 64-bit keys; starts anew when it has MAX_RUNS strings."""
 
-    def __init__(self, path: str):
-        self.full = Tokenizer.from_file(path)
-        spec = json.loads(self.full.to_str())
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE":
-            raise ValueError("a vocabulary of another kind: runs would not be independent")
-        self.names = _byte_names()
+    def __init__(self):
         self.forget()
 
     def forget(self) -> None:
@@ -60,7 +54,11 @@ class RunEncoder:
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, key: int, ids: list[int]) -> int:
+    def trim(self) -> None:
+        if len(self.known) > _MAX_RUNS:
+            self.forget()
+
+    def learn(self, key: int, ids: list[int]) -> int:
         n = len(self.known)
         if n >= len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -73,13 +71,25 @@ class RunEncoder:
         self.known[key] = n
         return n
 
+
+class RunEncoder(IdPool):
+    """Ids of documents by runs; knows each run that it has met."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.full = Tokenizer.from_file(path)
+        spec = json.loads(self.full.to_str())
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
+        if kinds != ["NFC", "Replace", "Lowercase"] or spec["model"]["type"] != "BPE":
+            raise ValueError("a vocabulary of another kind: runs would not be independent")
+        self.names = _byte_names()
+
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a block in order, and each document's first position among them.
 
         end_id, if given, follows each document.
         """
-        if len(self.known) > _MAX_RUNS:
-            self.forget()
+        self.trim()
         cls = _CLASS[buf]
         low = LOWER[buf]
         lead = np.flatnonzero(cls == _LEAD)
@@ -125,7 +135,7 @@ class RunEncoder:
                 else:
                     run = low[st[j] : en[j]].tobytes().decode("latin-1").translate(self.names)
                     ids = [t.id for t in self.full.model.tokenize(run)]
-                n = self._learn(key, ids)
+                n = self.learn(key, ids)
             at[i] = n
         run = at[back]
         start, length = self.start[run], self.length[run]
@@ -133,7 +143,7 @@ class RunEncoder:
         if end_id is not None:
             end_at = known.get(-1)
             if end_at is None:
-                end_at = self._learn(-1, [end_id])
+                end_at = self.learn(-1, [end_id])
             start = np.insert(start, cuts[1:], self.start[end_at])
             length = np.insert(length, cuts[1:], 1)
             cuts = cuts + np.arange(len(cuts))
