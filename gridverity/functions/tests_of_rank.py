@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Up to this many pairs, without ties and zeros, the distribution of the statistic is enumerated.
 EXACT_PAIRS = 50
@@ -34,7 +35,7 @@ def normal_p(w_plus: float, n: int, tie_term: float) -> float:
     return float(math.erfc(abs(w_plus - mean) / math.sqrt(var) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p(w_plus: pd.Series, n: pd.Series, n_zero: pd.Series, tie_term: pd.Series) -> pd.Series:
     """p-value from the statistic, pairs without zeros, dropped zeros, and the tie term; NaN for fewer than two pairs."""
 

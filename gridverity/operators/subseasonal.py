@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import columns as c
 
@@ -111,7 +112,7 @@ def student_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.clip(np.where(x >= 1, 1.0, np.where(near, lo, hi)), 0, 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation r of n pairs; NaN (clean() makes it NULL) for n <= 2."""
     ok = r.notna() & (n > 2)
