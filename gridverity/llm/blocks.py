@@ -12,9 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+# freed batches go back to the system, not to a pool of each worker
+pa.set_memory_pool(pa.system_memory_pool())
 
 #: Text bytes in a block; a document longer than this is a block of its own.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,14 +84,13 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-        sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-        ends = np.cumsum(sizes)
+        texts = batch.column(column).cast(pa.large_binary())
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy() + 1)
         at = 0
-        while at < len(texts):
+        while at < len(ends):
             base = ends[at - 1] if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            data = b"\n".join(t or b"" for t in texts[at:stop]) + b"\n"
+            data = b"\n".join(t or b"" for t in texts.slice(at, stop - at).to_pylist()) + b"\n"
             off = np.concatenate([[0], ends[at:stop] - base])
             yield Block(batch.slice(at, stop - at), np.frombuffer(data, np.uint8), off)
             at = stop

@@ -7,16 +7,19 @@ A block drops its own repeats first: of strings that are equal within a block on
 the one of the least document travels, which bounds what a passage that many
 documents share sends to one bucket.
 
-A payload is one compressed record per block and bucket:
-lengths (i4), owners (index to a list of documents, i4), positions (i8), the
-minimiser's unit in the string (u4), the documents (key i8, row hash i8) and the
-strings end to end.
+A payload is one compressed record per block and bucket: how many strings each
+part of the bucket has, then lengths, owners (index to a list of documents),
+positions, the minimiser's unit in the string, the documents (key, row hash) and
+the strings end to end.  A part is the share of a bucket that is worked on at once.
+
+The texts travel compressed as well, to where the removed runs of their document
+go, and are rewritten there.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +28,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Block, blocks, prefix_hashes, ragged, sliding_min, span_hashes
+from .blocks import BLOCK_BYTES, Block, blocks, mixed, prefix_hashes, ragged, sliding_min, span_hashes
 from .common import doc_key, partitions, whole_text
 
-#: Buckets for each shuffle partition; a partition's buckets are worked on one after another.
-BUCKETS_EACH = 16
+#: Buckets for each shuffle partition, and parts of a bucket; they are worked on one after another.
+BUCKETS_EACH = 4
+PARTS = 8
+#: Level of compression, and bytes of text that are compressed together at most.
+LEVEL = 6
+TEXT_BLOCK = 4 << 20
+#: Bytes of strings that a task gathers before it sends them.
+OUTBOX_BYTES = 16 << 20
+#: Documents and bytes that the compression's dictionary is made from, and its own bytes, at most.
+SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 1 << 20, 1 << 16
 
 
 @dataclass
@@ -66,38 +77,99 @@ def super_kmers(gram: np.ndarray, first: np.ndarray, window: int, k: int) -> tup
     return at[runs], np.diff(np.append(runs, total)), chosen[runs]
 
 
-def pack(doc_key: np.ndarray, doc_row: np.ndarray, owner: np.ndarray, pos: np.ndarray, mini: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+class Codec:
+    """Compression with a dictionary made from some texts: small payloads shrink about as well as large ones."""
+
+    def __init__(self, dictionary: bytes):
+        self.dictionary = dictionary
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Codec:
+        """From some texts, SAMPLE_DOCS rows and SAMPLE_BYTES bytes at most.  Results don't depend on it, sizes do."""
+        rows = docs.where(F.octet_length("text").between(8, SAMPLE_BYTES // 16)).select("text").limit(SAMPLE_DOCS).collect()
+        samples, total = [], 0
+        for r in rows:
+            raw = r.text.encode()
+            if total + len(raw) > SAMPLE_BYTES:
+                break
+            samples += [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+            total += len(raw)
+        try:
+            return cls(zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes())
+        except zstandard.ZstdError:  # too few texts
+            return cls(b"")
+
+    def _dict(self):
+        return zstandard.ZstdCompressionDict(self.dictionary) if self.dictionary else None
+
+    def compress(self, raw: bytes) -> bytes:
+        if not hasattr(self, "_c"):
+            self._c = zstandard.ZstdCompressor(level=LEVEL, dict_data=self._dict())
+        return self._c.compress(raw)
+
+    def decompress(self, raw: bytes) -> bytes:
+        if not hasattr(self, "_d"):
+            self._d = zstandard.ZstdDecompressor(dict_data=self._dict())
+        return self._d.decompress(raw)
+
+    def __getstate__(self) -> dict:
+        return {"dictionary": self.dictionary}
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """Integers of `width` bytes, by byte planes: the high ones are mostly zero and cost little."""
+    return np.ascontiguousarray(values.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<i{width}").ravel().astype(np.int64)
+
+
+def pack(codec: Codec, doc_key: np.ndarray, doc_row: np.ndarray, owner: np.ndarray, pos: np.ndarray, mini: np.ndarray, part: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
+    """A compressed payload; the strings are in the order of their parts, then of documents and positions."""
     docs, local = np.unique(owner, return_inverse=True)
-    parts = [
+    body = [
         struct.pack("<qq", len(owner), len(docs)),
-        size.astype("<i4").tobytes(),
-        local.astype("<i4").tobytes(),
-        pos.astype("<i8").tobytes(),
-        mini.astype("<u4").tobytes(),
-        doc_key[docs].astype("<i8").tobytes(),
-        doc_row[docs].astype("<i8").tobytes(),
+        np.bincount(part, minlength=PARTS).astype("<i4").tobytes(),
+        _planes(size, 4),
+        _planes(np.diff(local, prepend=0), 4),
+        _planes(np.diff(pos, prepend=0), 8),
+        _planes(mini, 4),
+        _planes(np.diff(doc_key[docs], prepend=0), 8),
+        _planes(doc_row[docs], 8),
         data[ragged(start, size)].tobytes(),
     ]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return codec.compress(b"".join(body))
+
 
+class Payload:
+    """A payload, decompressed; part(p) gives its strings of one part."""
 
-def unpack(payloads: list[bytes]) -> Strings:
-    d = zstandard.ZstdDecompressor()
-    sizes, keys, rows, pos, mini, data = [], [], [], [], [], []
-    for p in payloads:
-        raw = d.decompress(p)
+    def __init__(self, codec: Codec, packed: bytes):
+        raw = codec.decompress(packed)
         n, m = struct.unpack_from("<qq", raw)
-        at = 16
-        take = lambda kind, count, at: np.frombuffer(raw, kind, count, at)  # noqa: E731, B023
-        sizes.append(take("<i4", n, at))
-        local = take("<i4", n, at + 4 * n)
-        pos.append(take("<i8", n, at + 8 * n))
-        mini.append(take("<u4", n, at + 16 * n))
-        keys.append(take("<i8", m, at + 20 * n)[local])
-        rows.append(take("<i8", m, at + 20 * n + 8 * m)[local])
-        data.append(np.frombuffer(raw, np.uint8, -1, at + 20 * n + 16 * m))
-    size = np.concatenate(sizes).astype(np.int64)
-    return Strings(np.concatenate(data), np.concatenate([[0], np.cumsum(size)]), np.concatenate(keys), np.concatenate(rows), np.concatenate(pos), np.concatenate(mini).astype(np.int64))
+        counts = np.frombuffer(raw, "<i4", PARTS, 16)
+        at = 16 + 4 * PARTS
+        self.size = _from_planes(raw, at, n, 4)
+        self.local = np.cumsum(_from_planes(raw, at + 4 * n, n, 4))
+        self.pos = np.cumsum(_from_planes(raw, at + 8 * n, n, 8))
+        self.mini = _from_planes(raw, at + 16 * n, n, 4)
+        self.key = np.cumsum(_from_planes(raw, at + 20 * n, m, 8))
+        self.row = _from_planes(raw, at + 20 * n + 8 * m, m, 8)
+        self.data = np.frombuffer(raw, np.uint8, -1, at + 20 * n + 16 * m)
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.byte = np.concatenate([[0], np.cumsum(self.size)])[self.first]
+
+    def part(self, p: int) -> tuple:
+        a, b = self.first[p], self.first[p + 1]
+        local = self.local[a:b]
+        return self.data[self.byte[p] : self.byte[p + 1]], self.size[a:b], self.key[local], self.row[local], self.pos[a:b], self.mini[a:b]
+
+
+def gathered(payloads: list[Payload], p: int) -> Strings:
+    data, size, key, row, pos, mini = (np.concatenate(x) for x in zip(*(x.part(p) for x in payloads), strict=True))
+    return Strings(data, np.concatenate([[0], np.cumsum(size)]), key, row, pos, mini)
 
 
 def string_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -129,8 +201,8 @@ _SENT = "bucket int, payload binary, k long, row long, start long, stop long"
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("k", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def block_strings(block: Block, window: int, k: int, buckets: int, units: Callable) -> Iterator[pa.RecordBatch]:
-    """What a block sends to the buckets, and what its own repeats remove at once.
+def block_strings(block: Block, outbox: Outbox, window: int, k: int, units: Callable) -> Iterator[pa.RecordBatch]:
+    """Puts a block's strings into the outbox, and gives what its own repeats remove at once.
 
     units(block) -> (data, gram hashes, first unit of each document, byte range of units i .. j - 1).
     """
@@ -160,16 +232,40 @@ def block_strings(block: Block, window: int, k: int, buckets: int, units: Callab
     if len(gone):
         out = removed_rows(key[doc[gone]], row[doc[gone]], pos[gone], (pos + count + window - 1)[gone])
         yield _sent(out.num_rows, removed=out)
-    left = np.flatnonzero(keep)
-    bucket = (gram[chosen[left]] % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    left, bucket = left[order], bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    payloads = []
-    for a, b in zip(cuts, np.append(cuts[1:], len(left)), strict=True):
-        x = left[a:b]
-        payloads.append(pack(key, row, doc[x], pos[x], (chosen - at)[x], data, start[x], (stop - start)[x]))
-    yield _sent(len(cuts), bucket[cuts], payloads)
+    x = np.flatnonzero(keep)
+    size = (stop - start)[x]
+    outbox.add(gram[chosen[x]], doc[x], key, row, pos[x], (chosen - at)[x], data[ragged(start[x], size)], size)
+
+
+class Outbox:
+    """Strings of several blocks of a task, so that payloads don't shrink as the number of buckets grows."""
+
+    def __init__(self, codec: Codec, buckets: int):
+        self.codec, self.buckets = codec, buckets
+        self.held, self.docs, self.bytes = [], 0, 0
+
+    def add(self, minimiser, doc, key, row, pos, mini, data, size) -> None:
+        if len(size):
+            self.held.append((minimiser, doc + self.docs, pos, mini, data, size, key, row))
+            self.docs += len(key)
+            self.bytes += len(data)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        minimiser, doc, pos, mini, data, size, key, row = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.docs, self.bytes = [], 0, 0
+        start = np.cumsum(size) - size
+        bucket = (minimiser % np.uint64(self.buckets)).astype(np.int64)
+        part = (minimiser // np.uint64(self.buckets) % np.uint64(PARTS)).astype(np.int64)
+        order = np.argsort(bucket * PARTS + part, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        ends = np.append(cuts[1:], len(order))
+        payloads = []
+        for a, b in zip(cuts, ends, strict=True):
+            x = order[a:b]
+            payloads.append(pack(self.codec, key, row, doc[x], pos[x], mini[x], part[x], data, start[x], size[x]))
+        yield _sent(len(cuts), bucket[order[cuts]].astype(np.int32), payloads)
 
 
 def _sent(n: int, bucket: np.ndarray | None = None, payloads: list[bytes] | None = None, removed: pa.RecordBatch | None = None) -> pa.RecordBatch:
@@ -182,7 +278,7 @@ def _sent(n: int, bucket: np.ndarray | None = None, payloads: list[bytes] | None
     return pa.RecordBatch.from_arrays(cols, schema=_SENT_SCHEMA)
 
 
-def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, codec: Codec, window: int, k: int, units: Callable, repeats: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(k, row, start, stop): units covered by a window that also starts in a document with a smaller key.
 
     docs has k, row and text.  repeats(Strings) -> (string index, first unit, last unit + 1) of windows
@@ -192,17 +288,23 @@ def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats
     buckets = n * BUCKETS_EACH
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outbox = Outbox(codec, buckets)
         for block in blocks(batches, limit=block_bytes):
-            yield from block_strings(block, window, k, buckets, units)
+            yield from block_strings(block, outbox, window, k, units)
+            if outbox.bytes >= OUTBOX_BYTES:
+                yield from outbox.flush()
+        yield from outbox.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def found() -> Iterator[pa.RecordBatch]:
-            s = unpack(held)
-            which, lo, hi = repeats(s)
-            if len(which):
-                yield removed_rows(s.key[which], s.row[which], s.pos[which] + lo, s.pos[which] + hi)
+            for p in range(PARTS):
+                s = gathered(held, p)
+                if len(s.key):
+                    which, lo, hi = repeats(s)
+                    if len(which):
+                        yield removed_rows(s.key[which], s.row[which], s.pos[which] + lo, s.pos[which] + hi)
 
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
@@ -215,7 +317,7 @@ def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats
                     if held:
                         yield from found()
                     now, held = bucket[i], []
-                held.append(payload[i].as_py())
+                held.append(Payload(codec, payload[i].as_py()))
         if held:
             yield from found()
 
@@ -223,23 +325,104 @@ def removed_spans(docs: DataFrame, window: int, k: int, units: Callable, repeats
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k long, row long, start long, stop long")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """k (doc_id, the stand-in for null), row (hash of the text, tells repeated ids apart), text."""
-    return docs.select(doc_key().alias("k"), F.xxhash64(whole_text()).alias("row"), whole_text().alias("text"))
+def keyed(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """k (doc_id, the stand-in for null), row, text, and other columns as x0, x1, ...
+
+    row tells rows of one doc_id apart: a hash of the text, or 0 if no doc_id repeats (it travels with each string).
+    """
+    repeated = docs.select(doc_key().alias("k")).groupBy("k").count().where("count > 1").limit(1).count()
+    row = F.xxhash64(whole_text()) if repeated else F.lit(0).cast("long")
+    extra = [F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(others)]
+    return docs.select(doc_key().alias("k"), row.alias("row"), whole_text().alias("text"), *extra)
+
+
+def rewritten(docs: DataFrame, codec: Codec, spans: DataFrame, rewrite: Callable, schema: str) -> DataFrame:
+    """rewrite(block, removed) of all keyed() documents, where removed[d] has the runs (start, stop) of document d, or None.
 
+    Runs and compressed texts of a document, with its other columns, meet by its key and row hash.
+    """
+    n = partitions(docs.sparkSession)
+    names = ["part", "text", "k", "row", "start", "stop"]
+    kinds = "part int, text binary, k long, row long, start long, stop long"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, limit=TEXT_BLOCK):
+            key, row = (block.column(c).astype(np.int64) for c in ("k", "row"))
+            to = (mixed(key.view(np.uint64) ^ mixed(row.view(np.uint64))) % np.uint64(n)).astype(np.int32)
+            parts, texts = [], []
+            for p in np.unique(to):
+                d = np.flatnonzero(to == p)
+                size = np.diff(block.off)[d]
+                rows = pa.Table.from_batches([block.rows]).drop_columns(["text"]).take(pa.array(d)).combine_chunks().to_batches()[0]
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                head = sink.getvalue().to_pybytes()
+                body = struct.pack("<q", len(head)) + head + size.astype("<i8").tobytes() + block.buf[ragged(block.off[d], size)].tobytes()
+                parts.append(p)
+                texts.append(codec.compress(body))
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(texts, pa.binary()), none, none, none, none], names=names)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = (batch.column(c).to_numpy().astype(np.int64) for c in ("k", "row"))
+            to = (mixed(key.view(np.uint64) ^ mixed(row.view(np.uint64))) % np.uint64(n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(len(to), pa.binary()), *batch.columns], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs, held = None, None, []
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            is_text = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((part[1:] != part[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(part)], strict=True):
+                if a == b:
+                    continue
+                if part[a] != now:
+                    now, runs, held = part[a], None, []
+                if not is_text[a]:
+                    held.append(tuple(batch.column(c).slice(a, b - a).to_numpy() for c in names[2:]))
+                    continue
+                runs = runs or Runs(held)
+                for x in batch.column("text").slice(a, b - a):
+                    raw = codec.decompress(x.as_py())
+                    at = 8 + struct.unpack_from("<q", raw)[0]
+                    rows = pa.ipc.open_stream(raw[8:at]).read_next_batch()
+                    size = np.frombuffer(raw, "<i8", rows.num_rows, at)
+                    block = Block(rows, np.frombuffer(raw, np.uint8, -1, at + 8 * rows.num_rows), np.concatenate([[0], np.cumsum(size)]))
+                    keys = zip(rows.column("k").to_pylist(), rows.column("row").to_pylist(), strict=True)
+                    yield rewrite(block, [runs.of(k, r) for k, r in keys])
+
+    both = docs.mapInArrow(send, kinds).unionByName(spans.select("k", "row", "start", "stop").mapInArrow(route, kinds))
+    # runs (no text) come before the texts
+    return both.repartition(n, "part").sortWithinPartitions("part", F.col("text").isNotNull()).mapInArrow(meet, schema)
+
+
+class Runs:
+    """Removed runs by document."""
+
+    def __init__(self, parts: list[tuple]):
+        none = np.zeros(0, np.int64)
+        key, row, start, stop = (np.concatenate(x) for x in zip((none,) * 4, *parts, strict=True))
+        order = np.lexsort((row, key))
+        self.start, self.stop = start[order], stop[order]
+        key, row = key[order], row[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(key))
+        self.index = {kr: ab for kr, ab in zip(zip(key[first].tolist(), row[first].tolist(), strict=True), zip(first.tolist(), ends.tolist(), strict=True), strict=True)}
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """keyed() documents with `spans`, their removed runs as an array of (start, stop); null if none."""
-    each = spans.groupBy("k", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(each, ["k", "row"], "left")
+    def of(self, key: int, row: int) -> tuple[np.ndarray, np.ndarray] | None:
+        ab = self.index.get((key, row))
+        return ab and (self.start[ab[0] : ab[1]], self.stop[ab[0] : ab[1]])
 
 
-def covered(spans: list | None, n: int) -> tuple[np.ndarray, int]:
-    """Which of n units the spans cover, and the number of maximal runs."""
+def covered(runs: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, int]:
+    """Which of n units the runs cover, and the number of maximal runs."""
     delta = np.zeros(n + 1, np.int32)
-    if spans:
-        pairs = np.array([(s["start"], s["stop"]) for s in spans], np.int64).reshape(-1, 2)
-        np.add.at(delta, pairs[:, 0], 1)
-        np.add.at(delta, pairs[:, 1], -1)
+    np.add.at(delta, runs[0], 1)
+    np.add.at(delta, runs[1], -1)
     mask = np.cumsum(delta[:-1]) > 0
-    return mask, int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (n > 0 and bool(mask[:1].any())))
+    return mask, int(np.count_nonzero(mask[1:] & ~mask[:-1]) + bool(mask[:1].any()))

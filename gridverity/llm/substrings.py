@@ -8,19 +8,17 @@ Equal hashes are confirmed by comparing the windows' bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, prefix_hashes, span_hashes, words
+from .blocks import Block, prefix_hashes, span_hashes, words
 from .common import NO_ID, table
-from .spans import Strings, covered, keyed, removed_spans, same_bytes, with_spans
+from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, same_bytes
 
 WINDOW_WORDS = 13
-GRAM_WORDS = 4
+GRAM_WORDS = 3
 
 
 def word_units(gram_words: int):
@@ -89,28 +87,27 @@ def deduplicate(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WO
     Columns: doc_id, n_words, n_removed, kept (words joined by single spaces).
     """
     base = keyed(docs)
-    spans = removed_spans(base, window, gram, word_units(gram), lambda s: repeated_windows(s, window))
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            w = words(block)
-            spans = block.rows.column("spans").to_pylist()
-            n = np.diff(w.first)
-            removed, kept = [], []
-            norm = w.norm.tobytes()
-            for d in range(len(n)):
-                a, b = int(w.first[d]), int(w.first[d + 1])
-                text = norm[w.start[a] : w.end[b - 1]] if b > a else b""
-                if spans[d]:
-                    mask, _ = covered(spans[d], b - a)
-                    removed.append(int(mask.sum()))
-                    text = b" ".join(norm[x:y] for x, y in zip(w.start[a:b][~mask].tolist(), w.end[a:b][~mask].tolist(), strict=True))
-                else:
-                    removed.append(0)
-                kept.append(text)
-            yield pa.RecordBatch.from_arrays([block.rows.column("k"), pa.array(n.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["k", "n_words", "n_removed", "kept"])
-
-    out = with_spans(base, spans).mapInArrow(rewrite, "k long, n_words long, n_removed long, kept string")
+    codec = Codec.of(base)
+    spans = removed_spans(base, codec, window, gram, word_units(gram), lambda s: repeated_windows(s, window))
+
+    def rewrite(block: Block, removed: list) -> pa.RecordBatch:
+        w = words(block)
+        n = np.diff(w.first)
+        gone, kept = [], []
+        norm = w.norm.tobytes()
+        for d, runs in enumerate(removed):
+            a, b = int(w.first[d]), int(w.first[d + 1])
+            text = norm[w.start[a] : w.end[b - 1]] if b > a else b""
+            if runs:
+                mask, _ = covered(runs, b - a)
+                gone.append(int(mask.sum()))
+                text = b" ".join(norm[x:y] for x, y in zip(w.start[a:b][~mask].tolist(), w.end[a:b][~mask].tolist(), strict=True))
+            else:
+                gone.append(0)
+            kept.append(text)
+        return pa.RecordBatch.from_arrays([block.rows.column("k"), pa.array(n.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["k", "n_words", "n_removed", "kept"])
+
+    out = rewritten(base, codec, spans, rewrite, "k long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "n_words", "n_removed", "kept")
 
 

@@ -9,27 +9,29 @@ bytes only, which bounds the depth of the recursion.  Neighbours in the array ar
 then compared on their first 50 bytes; of a run of equal ones the least document
 keeps its bytes.  The order across buckets is never needed.
 
-A bucket sets aside strings whose minimiser occurs once in it: a window always
-holds its minimiser, so theirs cannot repeat.
+A bucket sets aside strings that cannot repeat: a window holds its minimiser and,
+before or after it, half of the window's other bytes; if no other string has the
+same minimiser with the same bytes before it, nor with the same bytes after it, no
+window of the string occurs elsewhere.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, prefix_hashes, ragged, span_hashes
+from .blocks import Block, prefix_hashes, ragged, span_hashes
 from .common import NO_ID, table
-from .spans import Strings, covered, keyed, removed_spans, same_bytes, string_hashes, with_spans
+from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, same_bytes, string_hashes
 
 WINDOW_BYTES = 50
-GRAM_BYTES = 16
-#: A block holds about 80 bytes of arrays for each byte of text.
-TEXT_BLOCK = 3 << 19
+GRAM_BYTES = 12
+#: A block's work holds about 100 bytes of arrays for each byte of text.
+TEXT_BLOCK = 3 << 18
 
 
 def _pack(columns: list[np.ndarray]) -> np.ndarray:
@@ -123,14 +125,23 @@ def _distinct(data: np.ndarray, off: np.ndarray, key: np.ndarray) -> tuple[np.nd
     return np.unique(out), out
 
 
+def _may_repeat(s: Strings, window: int, gram: int) -> np.ndarray:
+    """Strings that share their minimiser, with half a window's context on one side, with another string."""
+    side = (window - gram) // 2
+    at = s.off[:-1] + s.mini
+    prefix, inverse = prefix_hashes(s.data)
+    out = np.zeros(len(at), bool)
+    for lo, hi in ((at - side, at + gram), (at, at + gram + side)):
+        has = np.flatnonzero((lo >= s.off[:-1]) & (hi <= s.off[1:]))
+        _, back, count = np.unique(span_hashes(prefix, inverse, lo[has], hi[has]), return_inverse=True, return_counts=True)
+        out[has[count[back] > 1]] = True
+    return out
+
+
 def repeated_bytes(s: Strings, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of a bucket's strings that a smaller document has too: string, first byte, last byte + 1."""
     none = np.zeros(0, np.int64)
-    at = s.off[:-1] + s.mini
-    prefix, inverse = prefix_hashes(s.data)
-    h = span_hashes(prefix, inverse, at, at + gram)
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    live = np.flatnonzero(count[back] > 1)
+    live = np.flatnonzero(_may_repeat(s, window, gram))
     if not len(live):
         return none, none, none
     size = np.diff(s.off)[live]
@@ -185,7 +196,7 @@ def repeated_bytes(s: Strings, window: int, gram: int) -> tuple[np.ndarray, np.n
     return live[np.concatenate([whole, rows])], np.concatenate([np.zeros(len(whole), np.int64), lo]), np.concatenate([size[whole], hi])
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BYTES, others: Sequence[str] = ()) -> DataFrame:
     """Each document's bytes without strings of `window` bytes that a smaller doc_id has too.
 
     Texts are whole, as UTF-8 bytes; a null one is empty.  A byte goes if a string
@@ -193,38 +204,33 @@ def deduplicate(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BY
     doc_id; overlaps count and strings are those of the input.  Rows of one doc_id
     do not remove from one another; a null doc_id counts as larger than all
     others; repeated rows each get the same result; an empty table gives an empty
-    result; extra columns are not read.
+    result; extra columns are not read, but for those named in `others`.
     Columns: doc_id, n_bytes, n_removed, n_spans, kept (binary), text (kept, with
-    bytes of cut characters dropped).
+    bytes of cut characters dropped), and the others.
     """
-    base = keyed(docs)
-    spans = removed_spans(base, window, gram, byte_units(gram), lambda s: repeated_bytes(s, window, gram), TEXT_BLOCK)
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            size = np.diff(block.off) - 1
-            removed, runs, kept, text = [], [], [], []
-            for d, s in enumerate(block.rows.column("spans").to_pylist()):
-                raw = block.buf[block.off[d] : block.off[d + 1] - 1]
-                if s:
-                    mask, k = covered(s, len(raw))
-                    raw = raw[~mask].tobytes()
-                    removed.append(int(mask.sum()))
-                    runs.append(k)
-                    text.append(raw.decode("utf-8", "ignore"))
-                else:
-                    raw = raw.tobytes()
-                    removed.append(0)
-                    runs.append(0)
-                    text.append(raw.decode("utf-8", "ignore"))
-                kept.append(raw)
-            yield pa.RecordBatch.from_arrays(
-                [block.rows.column("k"), block.rows.column("row"), pa.array(size.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(text, pa.string())],
-                names=["k", "row", "n_bytes", "n_removed", "n_spans", "kept", "text"],
-            )
-
-    out = with_spans(base, spans).mapInArrow(rewrite, "k long, row long, n_bytes long, n_removed long, n_spans long, kept binary, text string")
-    return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "text")
+    base = keyed(docs, others)
+    extra = [f.name for f in base.schema.fields if f.name not in ("k", "row", "text")]
+    kinds = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in extra)
+    codec = Codec.of(base)
+    spans = removed_spans(base, codec, window, gram, byte_units(gram), lambda s: repeated_bytes(s, window, gram), TEXT_BLOCK)
+
+    def rewrite(block: Block, removed: list) -> pa.RecordBatch:
+        size = np.diff(block.off) - 1
+        gone, spans, kept, text = [], [], [], []
+        for d, runs in enumerate(removed):
+            raw = block.buf[block.off[d] : block.off[d + 1] - 1]
+            mask, k = covered(runs, len(raw)) if runs else (None, 0)
+            gone.append(0 if mask is None else int(mask.sum()))
+            spans.append(k)
+            kept.append((raw if mask is None else raw[~mask]).tobytes())
+            text.append(kept[-1].decode("utf-8", "ignore"))
+        return pa.RecordBatch.from_arrays(
+            [block.rows.column("k"), pa.array(size.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(text, pa.string()), *(block.rows.column(c) for c in extra)],
+            names=["k", "n_bytes", "n_removed", "n_spans", "kept", "text", *extra],
+        )
+
+    out = rewritten(base, codec, spans, rewrite, "k long, n_bytes long, n_removed long, n_spans long, kept binary, text string" + kinds)
+    return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "text", *[F.col(x).alias(c) for x, c in zip(extra, others, strict=True)])
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
