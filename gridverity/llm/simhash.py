@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, ragged, words
-from .common import NO_ID, cut, doc_key, partitions, table
+from .common import NO_ID, cut, doc_key, partitions, table, whole_text
 from .components import components, unite
 from .xxh import xxh64
 
@@ -150,13 +150,24 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """(k, fp): key and fingerprint of each document; k stands in for a null doc_id."""
+    """(k, row, fp): key, hash of the text and fingerprint of each document; k stands in for a null doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([block.rows.column("k"), pa.array(fingerprints(block, width).view(np.int64))], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([block.rows.column("k"), block.rows.column("row"), pa.array(fingerprints(block, width).view(np.int64))], names=["k", "row", "fp"])
 
-    return docs.select(doc_key().alias("k"), "text").mapInArrow(run, "k long, fp long")
+    return docs.select(doc_key().alias("k"), F.xxhash64(whole_text()).alias("row"), "text").mapInArrow(run, "k long, row long, fp long")
+
+
+def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """k, row, fp, root (a component's least fingerprint) and component (its least k) of each document."""
+    prints = cut(fingerprint_documents(docs, width))
+    distinct = cut(prints.groupBy("fp").agg(F.min("k").alias("k")))
+    roots = components(fingerprint_links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("k").alias("component"))
+    named = named.join(least, "root").select("fp", "root", "component")
+    return prints.join(named, "fp")
 
 
 def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -168,19 +179,19 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RA
     link to; a component of such rows alone has no id.  Repeated rows stay.  An
     empty table gives an empty result; extra columns are not read.
     """
-    prints = cut(fingerprint_documents(docs, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("k").alias("k")))
-    roots = components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "k", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("k").alias("component"))
-    named = named.join(least, "root").select("fp", "component")
-    out = prints.join(named, "fp")
-    return out.select(
+    return _grouped(docs, width, radius).select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
     )
 
 
+def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id (null comes last), all columns as they were."""
+    first = _grouped(docs, width, radius).groupBy("root").agg(F.min(F.struct("k", "row")).alias("x")).select(F.col("x.k").alias("__k"), F.col("x.row").alias("__row"))
+    rows = docs.withColumns({"__k": doc_key(), "__row": F.xxhash64(whole_text())})
+    return rows.join(first, ["__k", "__row"], "left_semi").dropDuplicates(["__k", "__row"]).drop("__k", "__row")
+
+
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
