@@ -117,3 +117,9 @@ def first_available(sources: Sequence[DataFrame], keys: Keys) -> DataFrame:
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     best = F.row_number().over(W.partitionBy(*keys).orderBy("__rank"))
     return out.withColumn("__r", best).where("__r = 1").drop("__rank", "__r")
+
+
+def pair_faults(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
+    """Keys (leads, cells, variables) that only one side of a pair has; empty when the pair can be scored."""
+    x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return x.exceptAll(y).withColumn("only", F.lit("a")).unionByName(y.exceptAll(x).withColumn("only", F.lit("b")))

@@ -616,3 +616,107 @@ def newest_version(spark, d):
 def first_available(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"))
     return align.first_available([part.where("k % 3 = 0").withColumn("v", F.lit("det")), part.where("k % 2 = 0").withColumn("v", F.lit("ens"))], ["k"]).select("k", "v")
+
+
+# --- further tables of reports and audits -------------------------------------
+
+
+@query("select model, round(100*sqrt(avg(pow(ln(pred/obs),2))),6)+0.0 as log_rms, round(avg(pred/obs),6)+0.0 as mean_ratio, round(100*(avg(pred/obs)-1),6)+0.0 as bias_pct from sp group by 1", sp=SPECTRA)
+def pooled_spectrum_error(spark, d):
+    return compare.pooled_log_rms(view(spark, d, SPECTRA), ["model"]).select("model", *r("log_rms", "mean_ratio", "bias_pct"))
+
+
+_BANDS = "select model, band, sum(pred) as pred, sum(obs) as obs from sp join (select * from (values ('1_4',1,4),('5_20',5,20),('21_40',21,40)) t(band,lo,hi)) on wavenumber between lo and hi group by 1,2"
+
+
+def _bands(spark: SparkSession, d: str) -> DataFrame:
+    bands, sp = spectra.band_table(spark, spectra.BANDS[:3]), view(spark, d, SPECTRA)
+    return spectra.band_power(sp, ["model"], bands, "pred").join(spectra.band_power(sp, ["model"], bands, "obs"), ["model", "band"])
+
+
+@query("select model, band, round(pred/obs,6)+0.0 as energy_ratio, round(obs/sum(obs) over w,6)+0.0 as obs_share, round(sum(pred) over w/sum(obs) over w,6)+0.0 as total_ratio from b window w as (partition by model)", sp=SPECTRA, b=_BANDS)
+def band_shares(spark, d):
+    return compare.band_shares(_bands(spark, d), ["model"]).select("model", "band", *r("energy_ratio", "obs_share", "total_ratio"))
+
+
+@query("select model, round(max(pred) filter (band='1_4'),4)+0.0 as zonal_pred_1_4, round(max(obs) filter (band='1_4'),4)+0.0 as zonal_obs_1_4, round(max(pred) filter (band='1_4')/max(obs) filter (band='1_4'),6)+0.0 as zonal_ratio_1_4, round(max(pred) filter (band='5_20')/max(obs) filter (band='5_20'),6)+0.0 as zonal_ratio_5_20 from b group by 1", sp=SPECTRA, b=_BANDS)
+def band_columns(spark, d):
+    out = spectra.band_columns(_bands(spark, d), ["model"], "zonal", spectra.BANDS[:2])
+    return out.select("model", tidy("zonal_pred_1_4", 4).alias("zonal_pred_1_4"), tidy("zonal_obs_1_4", 4).alias("zonal_obs_1_4"), *r("zonal_ratio_1_4", "zonal_ratio_5_20"))
+
+
+@query("select variable from a group by 1 having count(distinct model) = (select count(distinct model) from a)", a=ARCHIVE)
+def shared_variables(spark, d):
+    return compare.shared_variables(view(spark, d, ARCHIVE), "rmse")
+
+
+@query("select model, relative_rank, spread_rank, (relative_rank+spread_rank)/2.0 as mean_rank from (select model, rank() over (order by m) as relative_rank, rank() over (order by s desc) as spread_rank from (select model, round(avg(rmse),6) as m, round(stddev_pop(rmse),6) as s from a group by 1))", a=ARCHIVE)
+def mean_ranks(spark, d):
+    x = view(spark, d, ARCHIVE).groupBy("model").agg(F.round(F.avg("rmse"), 6).alias("relative"), F.round(F.stddev_pop("rmse"), 6).alias("spread"))
+    out = compare.ranks(x, {"relative": True, "spread": False})
+    return out.select("model", *[F.col(k).cast("long").alias(k) for k in ("relative_rank", "spread_rank")], F.col("mean_rank").cast("double").alias("mean_rank"))
+
+
+_LAND = "select cast(s_suppkey % 7 as int) as tcid, timestamp '2024-01-01 00:00:00' + cast(s_suppkey as int) * interval 4 hours as obs_time, cast(s_suppkey % 50 as double) as lat, cast(s_suppkey % 90 as double) + 100 as lon from {supplier}"
+
+
+@query("select t.tcid, t.init, count(*) as n, count(l.lat) as n_matched from (select tcid, init, lead from (select distinct tcid from land), (select unnest([timestamp '2024-01-01 00:00:00', timestamp '2024-01-05 00:00:00']) as init), (select unnest([0,4,8,12,16]) as lead)) t left join land l on l.tcid=t.tcid and l.obs_time = t.init + t.lead * interval 1 hour + interval 8 hours group by 1,2", land=_LAND)
+def best_track_match(spark, d):
+    land = view(spark, d, _LAND)
+    inits = spark.sql("select explode(array(timestamp '2024-01-01 00:00:00', timestamp '2024-01-05 00:00:00')) as init").crossJoin(spark.sql("select explode(array(0D,4D,8D,12D,16D)) as lead_h"))
+    t = land.select("tcid").distinct().crossJoin(inits)
+    return tropical.match_best_track(t, land, 8).groupBy("tcid", "init").agg(F.count(F.lit(1)).alias("n"), F.count("lat").alias("n_matched"))
+
+
+@query("select tcid, obs_time - interval 8 hours as init from land where extract(hour from obs_time - interval 8 hours)=0 and obs_time - interval 8 hours in (timestamp '2024-01-01 00:00:00', timestamp '2024-01-02 00:00:00', timestamp '2024-01-03 00:00:00')", land=_LAND)
+def storm_starts(spark, d):
+    inits = spark.sql("select explode(array(timestamp '2024-01-01 00:00:00', timestamp '2024-01-02 00:00:00', timestamp '2024-01-03 00:00:00')) as init")
+    return tropical.inits_from_best_track(view(spark, d, _LAND), inits, 8).select("tcid", "init")
+
+
+@query("select tcid, arg_min(obs_time, row(abs(epoch(obs_time) - epoch(timestamp '2024-01-02 01:30:00')), obs_time)) as obs_time from land group by 1", land=_LAND)
+def nearest_record(spark, d):
+    land = view(spark, d, _LAND)
+    wanted = land.select("tcid").distinct().withColumn("obs_time", F.lit("2024-01-02 01:30:00").cast("timestamp"))
+    return tropical.nearest_record(land, wanted).select("tcid", "obs_time")
+
+
+@query("select variable, lat_i from (select distinct variable, lat_i from fc where model=0 and lead_h=6) except select variable, lat_i from fc where model=1 and lead_h=42", fc=FC)
+def pair_faults(spark, d):
+    fc = view(spark, d, FC)
+    x = align.pair_faults(fc.where("model = 0 and lead_h = 6"), fc.where("model = 1 and lead_h = 42"), ["variable", "lat_i"])
+    return x.where("only = 'a'").select("variable", "lat_i")
+
+
+@query("select w.variable, w.metric from (values ('A','rmse'),('A','acc'),('N','rmse'),('N','acc'),('R','acc')) w(variable,metric) where not (variable='A' and metric='acc')")
+def listed_metrics(spark, d):
+    wanted = spark.createDataFrame([("A", "rmse"), ("A", "acc"), ("N", "rmse"), ("N", "acc"), ("R", "acc")], "variable string, metric string")
+    return deterministic.skipped_metrics(wanted, spark.createDataFrame([("A", "rmse"), ("R", "acc")], "variable string, metric string")).select("variable", "metric")
+
+
+@query("select p.station_id, g.variable, round(g.value,6)+0.0 as value from (select station_id, cast(floor(y) + case when y-floor(y)>0.5 then 1 else 0 end as int) as lat_i, cast(round_even(lon/9.0, 0) as int) % 40 as lon_i from (select *, greatest(0,least(120,(lat+90)/1.5)) as y from pts)) p join g on g.lat_i=p.lat_i and g.lon_i=p.lon_i", g=_GRID, pts=_POINTS)
+def station_nearest(spark, d):
+    y = F.greatest(F.lit(0.0), F.least(F.lit(120.0), (F.col("lat") + 90) / 1.5))
+    at = align.nearest_cell(view(spark, d, _POINTS).withColumn("lat", -90 + 9.0 * y), 121, 40, -90.0, 9.0).select("station_id", "lat_i", "lon_i")
+    return view(spark, d, _GRID).join(at, ["lat_i", "lon_i"]).select("station_id", "variable", *r("value"))
+
+
+@query("select variable, lead_h, round(avg(crps),6)+0.0 as crps, count(distinct init) as n_dates_crps from (select variable, lead_h, init, avg(rmse) as crps from a where model=0 group by 1,2,3) group by 1,2", a=ARCHIVE)
+def ensemble_summary(spark, d):
+    x = view(spark, d, ARCHIVE).where("model = 0").groupBy("variable", "lead_h", "init").agg(F.avg("rmse").alias("crps")).withColumn("spread_error_ratio", F.lit(1.0))
+    return summary.ensemble_summary(x, ["variable", "lead_h"]).select("variable", "lead_h", *r("crps"), "n_dates_crps")
+
+
+@query("select variable, round(avg(p),6)+0.0 as fa_pred, round(avg(p-o),6)+0.0 as fa_bias, round(avg(p/nullif(o,0)),6)+0.0 as fa_ratio, count(distinct init) as n_dates from (select variable, date_trunc('month',init) as init, sum(fcst) as p, sum(obs) as o from fc group by 1,2) group by 1", fc=FC)
+def deterministic_summary(spark, d):
+    x = view(spark, d, FC).groupBy("variable", F.date_trunc("month", "init").alias("init")).agg(F.sum("fcst").alias("fa_pred"), F.sum("obs").alias("fa_obs"))
+    none = F.lit(None).cast("double")
+    x = x.withColumns({"rmse": none, "acc": none, "fa_bias": none, "fa_ratio": none})
+    return summary.deterministic_summary(x, ["variable"]).select("variable", *r("fa_pred", "fa_bias", "fa_ratio"), "n_dates")
+
+
+@query("select p_type, count(*) as n from (select part.*, percent_rank() over (order by p_partkey) from part) where p_size between 10 and 20 group by 1")
+def pruned_scan(spark, d):
+    """A scan that reads two columns and pushes its filter down."""
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_type", "p_size").where("p_size between 10 and 20")
+    return part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
