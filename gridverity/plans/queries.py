@@ -357,12 +357,12 @@ def derived_weeks(spark, d):
     return subseasonal.derived_weeks(w, ["variable"], ["value"]).select("variable", "week", *r("value"))
 
 
-@query("select variable, mmdd, round(clim,6)+0.0 as clim, n, round(worst,6)+0.0 as worst from (select variable, mmdd, avg(v) as clim, cast(sum(n) as bigint) as n, max(abs(d)) as worst from (select variable, strftime(day,'%m%d') as mmdd, obs as v, 1 as n, obs - avg(obs) over (partition by variable, lat_i, strftime(day,'%m%d')) as d from daily where strftime(day,'%m%d')<>'0229') group by 1,2)", daily=DAILY)
+@query("select variable, mmdd, round(clim,9)+0.0 as clim, n, round(worst,6)+0.0 as worst from (select variable, mmdd, avg(v) as clim, cast(sum(n) as bigint) as n, max(abs(d)) as worst from (select variable, strftime(day,'%m%d') as mmdd, obs as v, 1 as n, obs - avg(obs) over (partition by variable, lat_i, strftime(day,'%m%d')) as d from daily where strftime(day,'%m%d')<>'0229') group by 1,2)", daily=DAILY)
 def daily_anomalies(spark, d):
     x = view(spark, d, DAILY).where(F.date_format("day", "MMdd") != "0229")
     clim = subseasonal.daily_climatology(x, ["variable", "lat_i"], "obs")
     a = subseasonal.daily_anomaly(x, clim, ["variable", "lat_i"], "obs")
-    return a.groupBy("variable", "mmdd").agg(tidy(F.avg("obs")).alias("clim"), F.count(F.lit(1)).alias("n"), tidy(F.max(F.abs("anomaly"))).alias("worst"))
+    return a.groupBy("variable", "mmdd").agg(tidy(F.avg("obs"), 9).alias("clim"), F.count(F.lit(1)).alias("n"), tidy(F.max(F.abs("anomaly"))).alias("worst"))
 
 
 @query("select year(d) as y, count(*) as n, min(d) as first_day, max(d) as last_day from (select unnest(generate_series(date '1995-01-01', date '1998-12-31', interval 1 day))::date as d) where strftime(d,'%m%d')<>'0229' and (dayofyear(d) - case when year(d)%4=0 and dayofyear(d)>59 then 1 else 0 end) % 2 = 1 group by 1")
