@@ -26,7 +26,7 @@ def test_fits_separate():
     assert auc(y, x @ w[:-1] + w[-1]) > 0.99
     row, col = np.nonzero(x > 0)
     w, b = fit_sparse(row, col, np.ones(len(row)), y, 3)
-    assert auc(y, np.bincount(row, w[col], 400) + b) > 0.9
+    assert auc(y, np.bincount(row, w[col], 400) + b) > 0.85 and np.abs(w).max() < 5
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -95,4 +95,5 @@ def test_pipeline(spark, sf_dir):
         before = after
     packed = corpus_pipeline.packing_stage(spark, before, sf_dir)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
-    assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+    total = lambda df: df.selectExpr("sum(length)").first()[0]
+    assert total(corpus_pipeline.run(spark, sf_dir)) == total(packed)
