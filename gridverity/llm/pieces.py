@@ -34,6 +34,8 @@ MARK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 #: Threads of the library in a worker; an executor has a worker for each of its cores.
 THREADS = 2
+#: Stretches that are encoded at once.
+BATCH = 4_096
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -197,9 +199,11 @@ class PieceEncoder(IdPool):
         if new:
             mark = MARK if self.model.dummy_prefix else ""
             texts = [(mark if head[st[j]] else "") + buf[st[j] : en[j]].tobytes().decode("utf-8", "replace").replace(" ", MARK) for j in first[new].tolist()]
-            for i, ids in zip(new, self._stretches(texts), strict=True):
-                self.learn(listed[i], ids)
+            for a in range(0, len(new), BATCH):  # the library's results are large
+                for i, ids in zip(new[a : a + BATCH], self._stretches(texts[a : a + BATCH]), strict=True):
+                    self.learn(listed[i], ids)
         at = np.fromiter((known[key] for key in listed), np.int64, len(listed))
+        self.count(at)
         run = at[back]
         start_of, length = self.start[run], self.length[run]
         total = np.concatenate([[0], np.cumsum(length)])

@@ -31,7 +31,8 @@ _CLASS[0xC3] = _LEAD
 _SECOND = np.zeros(256, bool)
 _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
-_MAX_RUNS = 1_500_000
+#: Strings that a worker remembers, at most.
+_MAX_RUNS = 500_000
 
 
 def _byte_names() -> dict[int, str]:
@@ -42,27 +43,42 @@ def _byte_names() -> dict[int, str]:
 
 
 class IdPool:
-    """Ids of strings that were met before, by 64-bit keys; starts anew when it has MAX_RUNS strings."""
+    """Ids of strings that were met before, by 64-bit keys.  When it is full, strings met in one block only go."""
 
     def __init__(self):
-        self.forget()
+        self._start_anew()
 
-    def forget(self) -> None:
+    def _start_anew(self) -> None:
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
+        self.met = np.zeros(1 << 14, np.int32)
 
     def trim(self) -> None:
-        if len(self.known) > _MAX_RUNS:
-            self.forget()
-
-    def learn(self, key: int, ids: list[int]) -> int:
+        """Call before a block, not while indices of strings are in use."""
+        if len(self.known) <= _MAX_RUNS:
+            return
+        n = len(self.known)
+        floor = max(2, int(np.partition(self.met[:n], n - _MAX_RUNS // 2)[n - _MAX_RUNS // 2]))
+        old, start, length, pool, met = self.known, self.start, self.length, self.pool, self.met
+        self._start_anew()
+        for key, i in old.items():
+            if met[i] >= floor:
+                j = self.learn(key, pool[start[i] : start[i] + length[i]])
+                self.met[j] = 1
+
+    def count(self, at: np.ndarray) -> None:
+        """Note that a block has these (distinct) strings."""
+        self.met[at] += 1
+
+    def learn(self, key: int, ids: list[int] | np.ndarray) -> int:
         n = len(self.known)
         if n >= len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.start[n], self.length[n] = self.used, len(ids)
@@ -137,6 +153,7 @@ class RunEncoder(IdPool):
                     ids = [t.id for t in self.full.model.tokenize(run)]
                 n = self.learn(key, ids)
             at[i] = n
+        self.count(at)
         run = at[back]
         start, length = self.start[run], self.length[run]
         cuts = np.searchsorted(st, off)
