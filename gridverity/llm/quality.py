@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .blocks import Block, blocks, prefix_hashes, span_hashes, words
-from .common import table
+from .common import cut, table
 from .learning import base_rate, fit_dense, held_out, training_rows
 
 THRESHOLD = 0.5
 #: Training documents of each class, at most.
 MAX_SAMPLE = 6_000
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _UPPER, _LOWERCASE, _DIGIT, _STOP, _SYMBOL, _LINE, _PIPE, _HIGH = range(8)
 _KIND = np.full(256, 8, np.uint8)
@@ -98,8 +98,8 @@ def add_evidence(docs: DataFrame, labels: DataFrame, name: str, most: int = MAX_
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit(batches).astype("<f8").tobytes()])], names=["model"])
 
-    raw = training_rows(docs, labels, "quality", most).coalesce(1).mapInArrow(train, "model binary").first().model
-    model = np.frombuffer(raw, "<f8").reshape(3, -1)
+    row = training_rows(docs, labels, "quality", most).coalesce(1).mapInArrow(train, "model binary").first()
+    model = np.frombuffer(row.model if row else b"", "<f8").reshape(3, -1)  # no row: there was nothing to run on
     fields = list(docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _strength(sites: DataFrame, parent: str) -> Column | float:
 def site_rates(seen: DataFrame, rate: float) -> DataFrame:
     """(host, path, host_rate, path_rate) from seen (host, path, good), good being a probability."""
     # the hot host is summed up before the shuffle; the tables below have a row for each site
-    paths = seen.groupBy("host", "path").agg(F.sum("good").alias("k"), F.count("good").cast("double").alias("n"))
+    paths = cut(seen.groupBy("host", "path").agg(F.sum("good").alias("k"), F.count("good").cast("double").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("m", F.lit(rate))
     a = _strength(hosts, "m")
     hosts = hosts.select("host", ((F.col("k") + a * F.col("m")) / (F.col("n") + a)).alias("host_rate"))
