@@ -60,7 +60,7 @@ def _least(key: Column, children: Sequence[tuple[str, float, int]]) -> Column:
 
 def place(key: Column, tree: Tree) -> Column:
     """The shard (int) of a key."""
-    number, out = 0, None
+    number = 0
     regions = []
     for r, region in enumerate(tree.weights):
         racks = []
