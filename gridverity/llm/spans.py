@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Block, blocks, mixed, prefix_hashes, ragged, sliding_min, span_hashes
+from .blocks import BLOCK_BYTES, Block, blocks, mixed, prefix_hashes, ragged, release, sliding_min, span_hashes
 from .common import doc_key, partitions, whole_text
 
 #: Buckets for each shuffle partition, and parts of a bucket; they are worked on one after another.
@@ -320,6 +320,8 @@ def removed_spans(docs: DataFrame, codec: Codec, window: int, k: int, units: Cal
                 held.append(Payload(codec, payload[i].as_py()))
         if held:
             yield from found()
+        held.clear()
+        release()
 
     sent = docs.select("k", "row", "text").mapInArrow(send, _SENT)
     return sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k long, row long, start long, stop long")
@@ -393,6 +395,7 @@ def rewritten(docs: DataFrame, codec: Codec, spans: DataFrame, rewrite: Callable
                     block = Block(rows, np.frombuffer(raw, np.uint8, -1, at + 8 * rows.num_rows), np.concatenate([[0], np.cumsum(size)]))
                     keys = zip(rows.column("k").to_pylist(), rows.column("row").to_pylist(), strict=True)
                     yield rewrite(block, [runs.of(k, r) for k, r in keys])
+        release()
 
     both = docs.mapInArrow(send, kinds).unionByName(spans.select("k", "row", "start", "stop").mapInArrow(route, kinds))
     # runs (no text) come before the texts
