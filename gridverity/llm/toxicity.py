@@ -24,10 +24,10 @@ from .learning import base_rate, fit_sparse, held_out, sigmoid, training_rows
 ORDERS = (3, 4, 5)
 SLOT_BITS = 22
 #: Features that the classifier keeps, and training documents of each class, at most.
-MAX_FEATURES = 40_000
-MAX_SAMPLE = 6_000
+MAX_FEATURES = 2_000
+MAX_SAMPLE = 4_000
 THRESHOLD = 0.3
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 _lower: np.ndarray | None = None
 
@@ -88,25 +88,24 @@ def presences(block: Block, wanted: np.ndarray | None = None) -> tuple[np.ndarra
 
 def fit(texts: Iterator[pa.RecordBatch], rate: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, their weights, and the intercept, from batches of (y, text); rate: share of label 1 beyond the sample."""
-    docs, slots, labels, n = [], [], [], 0
+    size = 1 << SLOT_BITS
+    counts = np.zeros((2, size), np.int32)  # documents of each class that have a slot
+    held, labels = [], []
     for block in blocks(texts, limit=BLOCK):
-        d, s = presences(block)
-        docs.append((d + n).astype(np.int32))
-        slots.append(s.astype(np.int32))
-        labels.append(block.column("y").astype(np.float64))
-        n += len(labels[-1])
-    y = np.concatenate(labels) if labels else np.zeros(0)
+        y = block.column("y").astype(np.int64)
+        doc, slot = presences(block)
+        for c in (0, 1):
+            counts[c] += np.bincount(slot[y[doc] == c], minlength=size).astype(np.int32)
+        held.append(block)
+        labels.append(y)
+    y = np.concatenate(labels).astype(np.float64) if labels else np.zeros(0)
     rate = min(max(rate, 1e-4), 1 - 1e-4)
     prior = float(np.log(rate / (1 - rate)))
-    n1 = int(y.sum())
+    n, n1 = len(y), int(y.sum())
     n0 = n - n1
     if not n1 or not n0:
         return np.zeros(0, np.int64), np.zeros(0), prior
-    doc, slot = np.concatenate(docs), np.concatenate(slots)
-    toxic = y[doc] > 0
-    size = 1 << SLOT_BITS
-    p = np.bincount(slot[toxic], minlength=size)
-    q = np.bincount(slot[~toxic], minlength=size)
+    q, p = counts
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
     # how far the counts are from those of an uninformative slot, in standard deviations
     share = (p + q + 1) / (n + 2)
@@ -114,11 +113,16 @@ def fit(texts: Iterator[pa.RecordBatch], rate: float) -> tuple[np.ndarray, np.nd
     surprise[p + q < 3] = 0
     chosen = np.argpartition(-surprise, min(MAX_FEATURES, size - 1))[:MAX_FEATURES]
     chosen = np.sort(chosen[surprise[chosen] > 3.5])
-    index = np.full(size, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
-    col = index[slot]
-    has = col >= 0
-    w, b = fit_sparse(doc[has], col[has], ratio[chosen][col[has]], y, len(chosen))
+    wanted = np.zeros(size, bool)
+    wanted[chosen] = True
+    rows, cols, before = [], [], 0
+    for block in held:
+        doc, slot = presences(block, wanted)
+        rows.append(doc + before)
+        cols.append(np.searchsorted(chosen, slot))
+        before += block.rows.num_rows
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    w, b = fit_sparse(row, col, ratio[chosen][col], y, len(chosen))
     return chosen, w * ratio[chosen], b + prior - float(np.log(n1 / n0))
 
 
@@ -131,6 +135,8 @@ def fit_distributed(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE)
         yield pa.RecordBatch.from_arrays([pa.array([slots.astype("<i8").tobytes()]), pa.array([weights.astype("<f8").tobytes()]), pa.array([intercept])], names=["slots", "weights", "intercept"])
 
     row = training_rows(docs, labels, "toxic", most).coalesce(1).mapInArrow(train, "slots binary, weights binary, intercept double").first()
+    if row is None:  # there was nothing to run on
+        return fit(iter(()), rate)
     return np.frombuffer(row.slots, "<i8"), np.frombuffer(row.weights, "<f8"), row.intercept
 
 
