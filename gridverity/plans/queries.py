@@ -296,7 +296,7 @@ _PSD = "select vec_id, any_value(w) as w, k as wavenumber, case when k=0 then 0.
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 200")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return e.select("vec_id", ((F.col("vec_id") % 13).cast("double") * 14.0 - 84.0).alias("lat"), F.col("embedding").cast("array<double>").alias("values"))
 
 
