@@ -323,7 +323,7 @@ def diagonal_spectrum(spark, d):
 
 @query()
 def spherical_spectrum(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 390")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
     ring = e.select((F.col("vec_id") / 13).cast("int").alias("field"), ((F.col("vec_id") % 13).cast("double") * 15.0 - 90.0).alias("lat"), F.col("embedding").cast("array<double>").alias("values"))
     return spectra.spherical_spectrum(ring, ["field"], 6)
 

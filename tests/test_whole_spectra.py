@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from gridverity.operators import spectra
 from gridverity.plans.queries import QUERIES
 
 
@@ -37,3 +38,16 @@ def test_band_power_of_all_vectors(spark, vectors):
     want = mean_power(ids, x)
     got = {r.band: r.psd for r in QUERIES["band_power"](spark, folder).collect()}
     assert got == pytest.approx({f"{a}_{b}": want[a : b + 1].sum() for a, b in ((1, 4), (5, 20), (21, 40))}, abs=2e-9)
+
+
+def test_spherical_spectrum_of_all_fields(spark, vectors):
+    folder, ids, x = vectors
+    by_id = dict(zip(ids.tolist(), x))
+    fields = [f for f in range(int(ids.max()) // 13 + 1) if all(13 * f + i in by_id for i in range(13))]
+    got = {}
+    for r in QUERIES["spherical_spectrum"](spark, folder).collect():
+        got.setdefault(r.field, {})[r.degree] = r.power
+    assert sorted(got) == fields and len(fields) > 30
+    for f in fields:
+        want = spectra.spherical_power(np.stack([by_id[13 * f + i] for i in range(13)]), 6)
+        assert [got[f][k] for k in range(7)] == pytest.approx(want.tolist())
