@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, look_up
 
 
 def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,20 +34,21 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of each node that has a link to another node; root is its component's least node.
 
-    Links may repeat, in either direction; loops and links with a null end are
-    ignored.  No links give no rows.
+    Nodes are of any type with an order.  Links may repeat, in either direction;
+    loops and links with a null end are ignored.  No links give no rows.  A node
+    with very many links is no more work for one task than another (look_up).
     """
     edges = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     edges = cut(edges)
     state = None
     while True:
-        # larger neighbours to the least one
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        # smaller neighbours, and the node itself, to the least one
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        # a node's larger neighbours go to the least of it and its neighbours
+        least = cut(edges.groupBy("hi").agg(F.min("lo").alias("m")))
+        large = look_up(edges, least.select(F.col("hi").alias("lo"), "m"), ["lo"])
+        large = cut(large.select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
+        # its smaller neighbours, and the node itself, go to the least one
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        small = look_up(large, least, ["hi"], "inner").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = cut(small.unionByName(least.select("hi", F.col("m").alias("lo"))).where("hi != lo").distinct())
         found = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
