@@ -3,7 +3,7 @@
 Rules kept here once:
 
 * the folder for cut lineage comes from ``spark.checkpoint.dir``; a temporary
-  folder is used only where the session names none (tests, one machine);
+  folder is used only on one machine (local master) where the session names none;
 * the number of shuffle partitions comes from the session, so a cluster sizes it;
 * operators read only the columns they need, so extra columns of any name are harmless.
 """
@@ -13,12 +13,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A null doc_id sorts after every other id.
 NO_ID = 2**63 - 1
+#: Rows of a table that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a shared folder")
         named = tempfile.mkdtemp(prefix="gridverity-checkpoint-")
         atexit.register(shutil.rmtree, named, True)
     sc.setCheckpointDir(named)
@@ -62,3 +67,29 @@ def whole_text() -> Column:
 def public_id(key: str) -> Column:
     """The doc_id of an internal key: the stand-in for null becomes null again."""
     return F.when(F.col(key) != NO_ID, F.col(key)).alias("doc_id")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """left joined with right, which has one row at most for each key; both should be checkpointed.
+
+    A right side of BROADCAST_ROWS rows at most is broadcast.  Otherwise keys with
+    more rows than a quarter of a mean partition are hot: there are fewer than 4 of
+    them for each partition, so their rows of `right` are broadcast, and no key's
+    rows have to meet in one task.
+    """
+    keys = list(keys)
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), keys, how)
+    most = left.count() // (4 * partitions(left.sparkSession)) + 1
+    hot = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(*keys))
+    cold = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    warm = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return cold.unionByName(warm)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Labels of rows whose crc32(doc_id as text) leaves this remainder modulo 4 are never learnt from.
 HELD_OUT = 2
+#: Features that fit_sparse() works on at once.
+_PIECE = 1 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -16,7 +18,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(label, text) of a sample of labelled documents, `most` of each class at most.
+    """(label, text) of a sample of labelled documents, `most` of each class at most, in one partition.
 
     The sample is the rows with the least hashes of their doc_id.  Null labels and
     ids are left out; a doc_id with several labels counts with the greatest.
@@ -27,7 +29,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     chosen = known.where("y = 0").orderBy(*order).limit(most).unionByName(known.where("y = 1").orderBy(*order).limit(most))
     # bounded by `most` of each class
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("y", "text")
+    # all tasks look for them; only what was chosen goes on to the one that fits
+    return texts.join(F.broadcast(chosen), "id").select("y", "text").repartition(1)
 
 
 def base_rate(labels: DataFrame, label: str) -> float:
@@ -58,14 +61,36 @@ def fit_dense(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return w
 
 
-def fit_sparse(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, n_cols: int, ridge: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on (row, col, value) triples, by accelerated gradient steps."""
-    n = len(y)
-    forward = lambda v, c: np.bincount(row, value * v[col], n) + c
-    back = lambda e: np.bincount(col, value * e[row], n_cols)
+def fit_sparse(first: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression by accelerated gradient steps.
+
+    Row i has the features col[first[i] : first[i + 1]], each with its value in `scale`.
+    Rows are worked on in pieces, so that temporary arrays stay small.
+    """
+    n, n_cols = len(y), len(scale)
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(first, first[cuts[-1]] + _PIECE, "right")) - 1))
+    pieces = [(a, min(b, n)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    sizes = np.diff(first)
+
+    def forward(v: np.ndarray, c: float) -> np.ndarray:
+        u = v * scale
+        out = np.full(n, c)
+        for a, b in pieces:
+            doc = np.repeat(np.arange(b - a), sizes[a:b])
+            out[a:b] += np.bincount(doc, u[col[first[a] : first[b]]], b - a)
+        return out
+
+    def back(e: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_cols)
+        for a, b in pieces:
+            out += np.bincount(col[first[a] : first[b]], np.repeat(e[a:b], sizes[a:b]), n_cols)
+        return out * scale
+
     # the largest curvature, by power iteration from a vector of ones
     v, c, top = np.ones(n_cols), 1.0, 1.0
-    for _ in range(12):
+    for _ in range(8):
         e = forward(v, c)
         v, c = back(e), e.sum()
         top = max(np.sqrt(v @ v + c * c), 1e-12)

@@ -8,13 +8,14 @@ that level's members.  A site with few documents therefore has about its parent'
 rate.  A document is kept if evidence and its path's rate make it likelier good
 than not.
 
-Sites are counted with grouped aggregation over all documents: a learnable label
-counts as it is, any other document by the probability that its evidence gives.
+Sites are counted with grouped aggregation over all documents, each by the
+probability that its evidence gives.  A document is left out of the rates of its own
+site, so its evidence counts once.  Features are computed in one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .blocks import Block, blocks, prefix_hashes, span_hashes, words
-from .common import cut, table
+from .common import cut, free_name, look_up, table
 from .learning import base_rate, fit_dense, held_out, training_rows
 
 THRESHOLD = 0.5
 #: Training documents of each class, at most.
 MAX_SAMPLE = 6_000
 BLOCK = 1 << 20
+#: Columns that judge() adds beside the evidence.
+ADDED = ("host_rate", "path_rate", "score", "keep")
 
 _UPPER, _LOWERCASE, _DIGIT, _STOP, _SYMBOL, _LINE, _PIPE, _HIGH = range(8)
 _KIND = np.full(256, 8, np.uint8)
@@ -98,7 +101,7 @@ def add_evidence(docs: DataFrame, labels: DataFrame, name: str, most: int = MAX_
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit(batches).astype("<f8").tobytes()])], names=["model"])
 
-    row = training_rows(docs, labels, "quality", most).coalesce(1).mapInArrow(train, "model binary").first()
+    row = training_rows(docs, labels, "quality", most).mapInArrow(train, "model binary").first()
     model = np.frombuffer(row.model if row else b"", "<f8").reshape(3, -1)  # no row: there was nothing to run on
     fields = list(docs.schema.fields)
 
@@ -133,16 +136,43 @@ def _strength(sites: DataFrame, parent: str) -> Column | float:
     return 10_000.0 if excess <= 0 else float(min(10_000.0, max(1.0, row.whole / excess)))
 
 
-def site_rates(seen: DataFrame, rate: float) -> DataFrame:
-    """(host, path, host_rate, path_rate) from seen (host, path, good), good being a probability."""
+def sites(seen: DataFrame, rate: float) -> tuple[DataFrame, float, float]:
+    """Counts of each site, and the prior strengths of hosts and of paths; seen has (host, path, good), good being a probability.
+
+    Columns: host, path, k and n (sum of good and number of documents), host_k, host_n, host_rate, path_rate.
+    """
     # the hot host is summed up before the shuffle; the tables below have a row for each site
     paths = cut(seen.groupBy("host", "path").agg(F.sum("good").alias("k"), F.count("good").cast("double").alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).withColumn("m", F.lit(rate))
     a = _strength(hosts, "m")
-    hosts = hosts.select("host", ((F.col("k") + a * F.col("m")) / (F.col("n") + a)).alias("host_rate"))
+    hosts = hosts.select("host", F.col("k").alias("host_k"), F.col("n").alias("host_n"), ((F.col("k") + a * F.col("m")) / (F.col("n") + a)).alias("host_rate"))
     paths = paths.join(hosts, "host")
     b = _strength(paths, "host_rate")
-    return paths.select("host", "path", "host_rate", ((F.col("k") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
+    return paths.withColumn("path_rate", (F.col("k") + b * F.col("host_rate")) / (F.col("n") + b)), a, b
+
+
+def judged(scored: DataFrame, rate: float, host: str = "source", path: str = "lang", threshold: float = THRESHOLD, evidence: str = "evidence", names: Sequence[str] = ADDED) -> DataFrame:
+    """scored (checkpointed, with evidence) and host_rate, path_rate, score and keep under the given names; the rates leave the document itself out."""
+    here = [free_name(scored, f"__{x}") for x in ("host", "path", "good")]
+    h = F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\x00"))
+    p = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("\x00"))
+    good = 1 / (1 + F.exp(-(F.col(f"`{evidence}`") + float(np.log(rate / (1 - rate))))))
+    rows = scored.withColumns(dict(zip(here, (h, p, good), strict=True)))
+    counts, a, b = sites(rows.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(here, ("host", "path", "good"), strict=True)]), rate)
+    of_site = {c: free_name(rows, f"__{c}") for c in ("k", "n", "host_k", "host_n")}
+    counts = cut(counts.select(F.col("host").alias(here[0]), F.col("path").alias(here[1]), *[F.col(c).alias(x) for c, x in of_site.items()]))
+    k, n, host_k, host_n = (F.col(x) for x in of_site.values())
+    g = F.col(here[2])
+    host_rate = (host_k - g + a * rate) / (host_n - 1 + a)
+    path_rate = (k - g + b * host_rate) / (n - 1 + b)
+    score = 1 / (1 + F.exp(-(F.col(f"`{evidence}`") + _logit(path_rate))))
+    out = look_up(rows, counts, here[:2])
+    return out.select(*[F.col(f"`{c}`") for c in scored.columns], host_rate.alias(names[0]), path_rate.alias(names[1]), score.alias(names[2]), (score >= threshold).alias(names[3]))
+
+
+def label_rate(labels: DataFrame) -> float:
+    """Share of good documents among the labels that may be learnt from, kept away from 0 and 1."""
+    return min(max(base_rate(labels, "quality"), 1e-3), 1 - 1e-3)
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = MAX_SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,27 +181,26 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     Whole texts count; a null one is empty and has little evidence either way.
     Null hosts or paths are a site of their own.  Labels with a null, and those
     that are held out, are not learnt from; without labels of both classes there
-    is no document evidence and rates are 0.5.  Repeated rows are judged alike; an
-    empty table stays empty.  The five columns that are added replace ones of
-    those names.
+    is no document evidence, and the prior rate is the share of good labels (0.5
+    without labels), kept between 0.001 and 0.999.  A site's only document has its
+    parent's rate.  Repeated rows are judged alike; an empty table stays empty.
+    The five columns that are added replace ones of those names.
     """
-    added = ("evidence", "host_rate", "path_rate", "score", "keep")
-    docs = docs.drop(*added)
-    rate = min(max(base_rate(labels, "quality"), 1e-3), 1 - 1e-3)
-    h = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
-    p = F.coalesce(F.col(path).cast("string"), F.lit("\x00"))
-    scored = add_evidence(docs, labels, "evidence", most)
-    known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("quality").cast("double").alias("__y"))
-    narrow = add_evidence(docs.select("doc_id", host, path, "text"), labels, "evidence", most).select(F.col("doc_id").cast("long").alias("__id"), h.alias("host"), p.alias("path"), "evidence")
-    guess = 1 / (1 + F.exp(-(F.col("evidence") + float(np.log(rate / (1 - rate))))))
-    seen = narrow.join(known, "__id", "left").select("host", "path", F.coalesce("__y", guess).alias("good"))
-    sites = site_rates(seen, rate).withColumnsRenamed({"host": "__host", "path": "__path"})
-    out = scored.withColumns({"__host": h, "__path": p}).join(sites, ["__host", "__path"], "left").drop("__host", "__path")
-    out = out.withColumn("score", 1 / (1 + F.exp(-(F.col("evidence") + _logit(F.col("path_rate"))))))
-    return out.withColumn("keep", F.col("score") >= threshold)
+    docs = docs.drop("evidence", *ADDED)
+    return judged(cut(add_evidence(docs, labels, "evidence", most)), label_rate(labels), host, path, threshold)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", most: int = MAX_SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns as they were, whatever these are called."""
+    evidence = free_name(docs, "evidence")
+    scored = cut(add_evidence(docs, labels, evidence, most))
+    names = [free_name(docs, x) for x in ADDED]
+    out = judged(scored, label_rate(labels), host, path, threshold, evidence, names)
+    return out.where(F.col(names[3])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, score, keep of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "evidence", "host_rate", "path_rate", "score", "keep")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
+    scored = cut(add_evidence(docs, labels, "evidence").drop("text"))
+    return judged(scored, label_rate(labels)).select("doc_id", "evidence", *ADDED)

@@ -3,14 +3,15 @@
 A document's features are the distinct n-grams of its lower-cased text, hashed to
 slots.  A slot's log-count ratio compares how many toxic and other documents of
 the training sample have it; a logistic regression is fitted on the presences
-times these ratios.  Slots whose ratio says least are dropped, so that scoring
-looks up a table of bounded size and most positions of a text cost a few array
-passes only.
+times these ratios.  A feature is any slot whose counts in the two classes differ
+by more than chance (of those chosen, FALSE_SHARE are expected to be there without
+cause).  The labelled sample decides how many they are; there is no other bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erfc
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,13 @@ from .common import table
 from .learning import base_rate, fit_sparse, held_out, sigmoid, training_rows
 
 ORDERS = (3, 4, 5)
-SLOT_BITS = 22
-#: Features that the classifier keeps, and training documents of each class, at most.
-MAX_FEATURES = 2_000
-MAX_SAMPLE = 4_000
+SLOT_BITS = 21
+#: Training documents of each class, at most; and training documents that a feature has, at least.
+MAX_SAMPLE = 2_000
+MIN_DOCUMENTS = 3
+FALSE_SHARE = 0.1
 THRESHOLD = 0.3
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _lower: np.ndarray | None = None
 
@@ -86,6 +88,16 @@ def presences(block: Block, wanted: np.ndarray | None = None) -> tuple[np.ndarra
     return both >> SLOT_BITS, both & ((1 << SLOT_BITS) - 1)
 
 
+def chance_bound(surprise: np.ndarray) -> float:
+    """The least number of standard deviations beyond which at most FALSE_SHARE of the slots are expected to be there by chance."""
+    ordered = np.sort(surprise)
+    for z in np.arange(2.0, 8.0, 0.05).tolist():
+        beyond = len(ordered) - int(np.searchsorted(ordered, z, "right"))
+        if len(ordered) * erfc(z / 2**0.5) <= FALSE_SHARE * beyond:
+            return z
+    return 8.0
+
+
 def fit(texts: Iterator[pa.RecordBatch], rate: float) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots, their weights, and the intercept, from batches of (y, text); rate: share of label 1 beyond the sample."""
     size = 1 << SLOT_BITS
@@ -107,22 +119,20 @@ def fit(texts: Iterator[pa.RecordBatch], rate: float) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.int64), np.zeros(0), prior
     q, p = counts
     ratio = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
-    # how far the counts are from those of an uninformative slot, in standard deviations
+    # how far the counts are from those of a slot that says nothing, in standard deviations
     share = (p + q + 1) / (n + 2)
     surprise = np.abs(p / n1 - q / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    surprise[p + q < 3] = 0
-    chosen = np.argpartition(-surprise, min(MAX_FEATURES, size - 1))[:MAX_FEATURES]
-    chosen = np.sort(chosen[surprise[chosen] > 3.5])
-    wanted = np.zeros(size, bool)
-    wanted[chosen] = True
-    rows, cols, before = [], [], 0
+    seen = p + q >= MIN_DOCUMENTS
+    chosen = np.flatnonzero(seen & (surprise > chance_bound(surprise[seen])))
+    place = np.full(size, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    sizes, cols = [], []
     for block in held:
-        doc, slot = presences(block, wanted)
-        rows.append(doc + before)
-        cols.append(np.searchsorted(chosen, slot))
-        before += block.rows.num_rows
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    w, b = fit_sparse(row, col, ratio[chosen][col], y, len(chosen))
+        doc, slot = presences(block, place >= 0)
+        sizes.append(np.bincount(doc, minlength=block.rows.num_rows))
+        cols.append(place[slot])
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    w, b = fit_sparse(first, np.concatenate(cols), ratio[chosen], y)
     return chosen, w * ratio[chosen], b + prior - float(np.log(n1 / n0))
 
 
@@ -134,7 +144,7 @@ def fit_distributed(docs: DataFrame, labels: DataFrame, most: int = MAX_SAMPLE)
         slots, weights, intercept = fit(batches, rate)
         yield pa.RecordBatch.from_arrays([pa.array([slots.astype("<i8").tobytes()]), pa.array([weights.astype("<f8").tobytes()]), pa.array([intercept])], names=["slots", "weights", "intercept"])
 
-    row = training_rows(docs, labels, "toxic", most).coalesce(1).mapInArrow(train, "slots binary, weights binary, intercept double").first()
+    row = training_rows(docs, labels, "toxic", most).mapInArrow(train, "slots binary, weights binary, intercept double").first()
     if row is None:  # there was nothing to run on
         return fit(iter(()), rate)
     return np.frombuffer(row.slots, "<i8"), np.frombuffer(row.weights, "<f8"), row.intercept
@@ -149,7 +159,7 @@ def add_score(docs: DataFrame, labels: DataFrame, score: str = "score", most: in
     empty.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit_distributed(docs, labels, most))  # MAX_FEATURES weights at most
+    model = spark.sparkContext.broadcast(fit_distributed(docs, labels, most))  # 2**SLOT_BITS weights at most
     fields = [f for f in docs.schema.fields if f.name != score]
     names = [f.name for f in fields]
 
@@ -157,12 +167,14 @@ def add_score(docs: DataFrame, labels: DataFrame, score: str = "score", most: in
         slots, weights, intercept = model.value
         wanted = np.zeros(1 << SLOT_BITS, bool)
         wanted[slots] = True
+        weight = np.zeros(1 << SLOT_BITS)
+        weight[slots] = weights
         for block in blocks(batches, limit=BLOCK):
             n = block.rows.num_rows
             total = np.full(n, intercept)
             if len(slots):
                 doc, slot = presences(block, wanted)
-                total += np.bincount(doc, weights[np.searchsorted(slots, slot)], n)
+                total += np.bincount(doc, weight[slot], n)
             yield pa.RecordBatch.from_arrays([*block.rows.columns, pa.array(sigmoid(total))], names=[*names, score])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
