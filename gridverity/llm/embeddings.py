@@ -7,10 +7,13 @@ precision.  Blocks count links and give a spanning forest of them, so a dense
 group costs products but no table of pairs.
 
 A vector y of cell c can only link to x if x is within |x - y| of the hyperplane
-between x's centroid and c; `reach` is how close x must be to visit c.  At
-sqrt(2 - 2 * threshold) no link can be missed.  The smaller default misses a link
-only if nearly all of the small difference x - y points from one centroid to the
-other; the tests measure recall against brute force.
+between x's centroid and c, and |x - y| is sqrt(2 - 2 * threshold) at most: x
+visits the cells whose border is that close, so no link is missed.  A smaller
+`reach` visits less and may miss links.
+
+Vectors travel as packed groups of rows, one for each cell that a batch goes to.  A
+cell's home vectors are in blocks of bounded bytes; a cell of one block is one task's
+work, and the visitors of a larger one go to each of its blocks.
 """
 
 from __future__ import annotations
@@ -22,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, partitions, table
+from .blocks import mixed
+from .common import NO_ID, cut, look_up, partitions, table
 from .components import components, unite
 
 THRESHOLD = 0.95
-REACH = 0.2
-#: Vectors that centroids are fitted to, at most; vectors of a cell, about; cells, at most.
+#: Vectors that centroids are fitted to, at most; vectors of a cell, about.
 MAX_SAMPLE = 20_000
 CELL_SIZE = 1_024
-MAX_CELLS = 4_096
-BLOCK_ROWS = 2_048
+#: Bytes of a block of home vectors, and of a product, about; rows that are placed at once.
+BLOCK_BYTES = 16 << 20
+BATCH_ROWS = 4_096
 _KEPT_ROUNDS = 8
 
 
@@ -55,11 +59,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = _KEPT_ROUNDS) -> np.nd
 
 
 def visits(x: np.ndarray, c: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each row, and which cells it visits (its home included)."""
+    """Home cell of each row, and which cells it visits: its home, and cells of greater number whose border is within reach.
+
+    Of two linked vectors in different cells the one in the cell of smaller number visits the other.
+    """
     near = x @ c.T
     home = near.argmax(axis=1)
     gap = near[np.arange(len(x)), home][:, None] - near
-    go = gap <= reach * apart[home]
+    go = gap <= reach * apart[home] + 1e-9
+    go &= np.arange(len(c))[None, :] > home[:, None]
     go[np.arange(len(x)), home] = True
     return home, go
 
@@ -76,68 +84,77 @@ def fit_centroids(nodes: DataFrame, size: int, k: int, most: int) -> np.ndarray:
     return np.frombuffer(raw).reshape(k, size)
 
 
-def cell_links(homes: tuple, guests: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links between a block's home vectors and some visitors.
+class CellLinks:
+    """Links between a block's home vectors and its visitors, one group of visitors after another.
 
-    homes: node, weight, vectors, which cells they visit; guests: node, weight, vectors, home cell.
-    Returns (node, links) and (a, b).  A home vector's side of a link is counted
-    here if it doesn't visit the visitor's cell, else it is counted there.
+    Links within the cell are seen from both ends, as its vectors visit their home;
+    links of other visitors are seen once and count for both ends.
     """
-    hn, hw, hv, hgo = homes
-    gn, gw, gv, gcell = guests
-    linked = (gv @ hv.T) >= threshold
-    linked &= gn[:, None] != hn[None, :]
-    g, h = np.nonzero(linked)
-    if not len(g):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    mine = np.bincount(g, hw[h], len(gn))
-    alone = ~hgo[h, gcell[g]]
-    theirs = np.bincount(h[alone], gw[g[alone]], len(hn))
-    label = unite(np.arange(len(hn) + len(gn)), h, g + len(hn))
-    node = np.concatenate([hn, gn])
-    joined = np.flatnonzero(label != np.arange(len(label)))
-    count = np.concatenate([theirs, mine]).astype(np.int64)
-    some = np.flatnonzero(count)
-    return node[some], count[some], node[joined], node[label[joined]]
-
-
-def _meet(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, block), home rows first: counts and links of each block."""
-    names = ["node", "links", "a", "b"]
-
-    def out(node, links, a, b):
-        n, m = len(node), len(a)
-        none = lambda x: pa.nulls(x, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(node), none(m)]), pa.concat_arrays([pa.array(links), none(m)]), pa.concat_arrays([none(n), pa.array(a)]), pa.concat_arrays([none(n), pa.array(b)])], names=names)
-
-    now, parts, homes = None, [], None
+
+    def __init__(self, node: np.ndarray, weight: np.ndarray, vec: np.ndarray, cell: int, threshold: float):
+        self.node, self.weight, self.vec, self.cell, self.threshold = node, weight, vec, cell, threshold
+        self.count = np.zeros(len(node), np.int64)
+        self.label = np.arange(len(node))
+
+    def add(self, node: np.ndarray, weight: np.ndarray, vec: np.ndarray, home: np.ndarray) -> Iterator[tuple]:
+        """(node, links, a, b) of visitors: their counts, and what ties them to home vectors."""
+        rows = max(1, BLOCK_BYTES // (8 * max(1, len(self.node))))
+        for s in range(0, len(node), rows):
+            linked = (vec[s : s + rows] @ self.vec.T) >= self.threshold
+            linked &= node[s : s + rows, None] != self.node[None, :]
+            g, h = np.nonzero(linked)
+            if not len(g):
+                continue
+            g += s
+            away = home[g] != self.cell
+            np.add.at(self.count, h[away], weight[g[away]])
+            first = np.ones(len(g), bool)
+            first[1:] = g[1:] != g[:-1]
+            heads = np.flatnonzero(first)
+            mine = np.add.reduceat(self.weight[h], heads)
+            # all home vectors of a visitor's links are joined; the visitor hangs on one of them
+            lead = h[heads][np.cumsum(first) - 1]
+            self.label = unite(self.label, lead, h)
+            yield node[g[heads]], mine.astype(np.int64), node[g[heads]], self.node[h[heads]]
+
+    def close(self) -> tuple:
+        some, joined = np.flatnonzero(self.count), np.flatnonzero(self.label != np.arange(len(self.label)))
+        return self.node[some], self.count[some], self.node[joined], self.node[self.label[joined]]
+
+
+_FOUND = ("node", "links", "a", "b")
+_PLACED = "size int, cell int, block int, guest boolean, node binary, weight binary, home binary, vec binary"
+
+
+def _found(node, links, a, b) -> pa.RecordBatch:
+    none = lambda n: pa.nulls(n, pa.int64())
+    n, m = len(node), len(a)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(node), none(m)]), pa.concat_arrays([pa.array(links), none(m)]), pa.concat_arrays([none(n), pa.array(a)]), pa.concat_arrays([none(n), pa.array(b)])], names=_FOUND)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Groups of vectors sorted by (size, cell, block), home vectors first: counts and links of each block."""
+    now, homes, block = None, [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(c).to_numpy() for c in ("cell", "block")], axis=1)
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            part = batch.slice(a, b - a)
-            if tuple(key[a]) != now:
-                now, parts, homes = tuple(key[a]), [], None
-            guest = part.column("guest").to_numpy(zero_copy_only=False)
-            n = int((~guest).sum())
-            vec = np.frombuffer(b"".join(part.column("vec").to_pylist())).reshape(len(guest), -1)
-            node, weight, home = (part.column(c).to_numpy() for c in ("node", "weight", "home"))
-            if n:
-                go = np.unpackbits(np.frombuffer(b"".join(part.column("go").slice(0, n).to_pylist()), np.uint8).reshape(n, -1), axis=1)[:, :k].astype(bool)
-                parts.append((node[:n], weight[:n], vec[:n], go))
-                homes = None
-            if n < len(guest) and parts:
-                homes = homes or tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-                parts = [homes]
-                for s in range(n, len(guest), BLOCK_ROWS):
-                    e = min(s + BLOCK_ROWS, len(guest))
-                    yield out(*cell_links(homes, (node[s:e], weight[s:e], vec[s:e], home[s:e]), threshold))
-
-
-def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, reach: float = REACH, most: int = MAX_SAMPLE) -> DataFrame:
+        for r in batch.to_pylist():
+            key = (r["size"], r["cell"], r["block"])
+            if key != now:
+                if block:
+                    yield _found(*block.close())
+                now, homes, block = key, [], None
+            part = tuple(np.frombuffer(r[c], t) for c, t in (("node", np.int64), ("weight", np.int64), ("vec", float), ("home", np.int32)))
+            part = (part[0], part[1], part[2].reshape(-1, r["size"]), part[3])
+            if not r["guest"]:
+                homes.append(part[:3])
+            elif homes:
+                block = block or CellLinks(*(np.concatenate(x) for x in zip(*homes, strict=True)), r["cell"], threshold)
+                for out in block.add(*part):
+                    yield _found(*out)
+    if block:
+        yield _found(*block.close())
+
+
+def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, most: int = MAX_SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding).
 
     Vectors link if their cosine is `threshold` or more; ones of other lengths
@@ -147,27 +164,28 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, reach: fl
     a component's id is chosen.  An empty table gives an empty result.  Other
     columns are not read.
     """
-    spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
     good = (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("k"), e.alias("e")).select("k", "e", F.coalesce(good, F.lit(False)).alias("good"))
-    ids = rows.select("k", F.when(F.col("good"), F.xxhash64("e")).alias("node"))
-    nodes = rows.where("good").groupBy(F.xxhash64("e").alias("node")).agg(F.count(F.lit(1)).alias("weight"), F.min("k").alias("k"), F.first("e").alias("vec"), F.first(F.size("e")).alias("size"))
-    nodes = cut(nodes)
-    found = None
-    for size in [r[0] for r in nodes.select("size").distinct().collect()]:  # lengths, of which a table has few
-        links = _links_of_size(nodes.where(F.col("size") == size), size, threshold, reach, most)
-        found = links if found is None else found.unionByName(links)
-    if found is None:
-        found = spark.createDataFrame([], "node long, links long, a long, b long")
-    found = cut(found)
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("k"), e.alias("e"))
+    rows = rows.select("k", F.transform("e", lambda x: x + F.lit(0.0)).alias("e"), F.coalesce(good, F.lit(False)).alias("good"))  # -0.0 is 0.0
+    for seed in range(100):
+        node = F.xxhash64(F.lit(seed), "e")
+        nodes = cut(rows.where("good").groupBy(node.alias("node"), F.col("e").alias("vec")).agg(F.count(F.lit(1)).alias("weight"), F.min("k").alias("k")))
+        if nodes.groupBy("node").count().where("count > 1").isEmpty():  # each hash stands for one vector
+            break
+    ids = cut(rows.select("k", F.when(F.col("good"), node).alias("node")))
+    nodes = nodes.withColumn("size", F.size("vec"))
+    found = cut(_links(nodes, threshold, most))
     counts = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.where("a is not null").select("a", "b"))
-    named = nodes.select("node", "weight", "k").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("k").alias("component"))
-    named = named.join(least, "root").join(counts, "node", "left")
-    named = named.select("node", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
-    out = ids.join(named, "node", "left")
+    # nodes are in the order of their least ids, so a component's root has the least of all
+    known = nodes.select("node", "k", "weight")
+    for end in ("a", "b"):
+        found = look_up(found, known.select(F.col("node").alias(end), F.struct("k", "node").alias(f"{end}_node")), [end])
+    roots = components(found.where("a is not null").select("a_node", "b_node"), "a_node", "b_node")
+    roots = roots.where("node != root").select(F.col("node.node").alias("node"), F.col("root.k").alias("component"))
+    named = known.join(roots, "node", "left").join(counts, "node", "left")
+    named = cut(named.select("node", F.coalesce("component", "k").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")))
+    out = look_up(ids, named, ["node"])
     component = F.coalesce("component", "k")
     return out.select(
         F.when(F.col("k") != NO_ID, F.col("k")).alias("vec_id"),
@@ -177,42 +195,65 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, reach: fl
     )
 
 
-def _links_of_size(nodes: DataFrame, size: int, threshold: float, reach: float, most: int) -> DataFrame:
+def _links(nodes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """node and links (counts to be summed up), or a and b (links that connect components)."""
     spark = nodes.sparkSession
-    n = nodes.count()
-    k = min(MAX_CELLS, max(1, n // CELL_SIZE), most)
-    c = fit_centroids(nodes, size, k, most)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-    shared = spark.sparkContext.broadcast((c, apart))  # MAX_CELLS centroids at most
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, apart = shared.value
-        names = ["cell", "guest", "node", "weight", "home", "vec", "go"]
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    # lengths with vectors for more than one cell; others have one cell each
+    large = [(r["size"], r["count"]) for r in nodes.groupBy("size").count().where(F.col("count") >= 2 * CELL_SIZE).collect()]
+    models = {}
+    for size, n in large:
+        c = fit_centroids(nodes.where(F.col("size") == size), size, max(1, min(n // CELL_SIZE, most // 8)), most)
+        models[size] = c, np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+    shared = spark.sparkContext.broadcast(models)  # most / 8 centroids at most for each length
+
+    def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(s, BLOCK_ROWS)
-                x = unit_rows(part.column("vec"), size)
-                home, go = visits(x, c, apart, reach)
-                raw = [v.tobytes() for v in x]
-                bits = [b.tobytes() for b in np.packbits(go, axis=1)]
-                node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
-                row, cell = np.nonzero(go)
-                each = pa.array(raw, pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(home.astype(np.int32)), pa.array(np.zeros(len(x), bool)), pa.array(node), pa.array(weight), pa.array(home.astype(np.int32)), each, pa.array(bits, pa.binary())], names=names
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(np.ones(len(row), bool)), pa.array(node[row]), pa.array(weight[row]), pa.array(home[row].astype(np.int32)), each.take(pa.array(row)), pa.nulls(len(row), pa.binary())], names=names
-                )
-
-    placed = nodes.select("node", "weight", "vec").mapInArrow(assign, "cell int, guest boolean, node long, weight long, home int, vec binary, go binary")
-    # a cell's home vectors are dealt to blocks, and its visitors go to each of them
-    sizes = {r[0]: -(-r[1] // BLOCK_ROWS) for r in placed.where("not guest").groupBy("cell").count().collect()}  # MAX_CELLS rows at most
-    blocks = F.broadcast(spark.createDataFrame([*sizes.items()], "cell int, blocks int"))
-    placed = placed.join(blocks, "cell")
-    block = F.when(F.col("guest"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("blocks")).cast("int")))
-    placed = placed.select("cell", F.explode(block).alias("block"), "guest", "node", "weight", "home", "vec", "go")
-    return placed.repartition(partitions(spark), "cell", "block").sortWithinPartitions("cell", "block", "guest").mapInArrow(lambda b: _meet(b, k, threshold), "node long, links long, a long, b long")
+            sizes = batch.column("size").to_numpy()
+            for size in np.unique(sizes).tolist():
+                rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                for s in range(0, rows.num_rows, BATCH_ROWS):
+                    part = rows.slice(s, BATCH_ROWS)
+                    yield size, part, unit_rows(part.column("vec"), size)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, _, x in by_size(batches):
+            home = (x @ shared.value[size][0].T).argmax(axis=1) if size in shared.value else np.zeros(len(x), int)
+            cell, n = np.unique(home, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), size), pa.int32()), pa.array(cell, pa.int32()), pa.array(n, pa.int64())], names=["size", "cell", "n"])
+
+    each = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("size"))))  # rows of a block
+    cells = nodes.select("size", "vec").mapInArrow(count, "size int, cell int, n long").groupBy("size", "cell").agg(F.sum("n").alias("n"))
+    # only cells of more than one block: as many as there are blocks of bytes in the table, at most
+    crowded = {(r["size"], r.cell): r.blocks for r in cells.select("size", "cell", F.ceil(F.col("n") / each).cast("int").alias("blocks")).where("blocks > 1").collect()}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for size, part, x in by_size(batches):
+            if size in shared.value:
+                home, go = visits(x, *shared.value[size], reach)
+            else:
+                home, go = np.zeros(len(x), int), np.ones((len(x), 1), bool)
+            node, weight = (part.column(c).to_numpy() for c in ("node", "weight"))
+            home = home.astype(np.int32)
+            out: list[tuple] = []
+
+            def add(cell, block, guest, rows):
+                out.append((size, cell, block, guest, node[rows].tobytes(), weight[rows].tobytes(), home[rows].tobytes(), x[rows].tobytes()))
+
+            for cell in np.flatnonzero(go.any(axis=0)).tolist():
+                blocks = crowded.get((size, cell), 1)
+                own, all_ = np.flatnonzero(home == cell), np.flatnonzero(go[:, cell])
+                to = (mixed(node[own].view(np.uint64)) % np.uint64(blocks)).astype(int)
+                for b in np.unique(to).tolist():
+                    add(cell, b, False, own[to == b])
+                for b in range(blocks):
+                    add(cell, b, True, all_)
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _PLACED.split(", ")])
+
+    placed = nodes.select("size", "node", "weight", "vec").mapInArrow(place, _PLACED)
+    met = placed.repartition(partitions(spark), "size", "cell", "block").sortWithinPartitions("size", "cell", "block", "guest")
+    return met.mapInArrow(lambda b: _meet(b, threshold), "node long, links long, a long, b long")
 
 
 def op8_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
