@@ -80,30 +80,38 @@ def merged(sketches: DataFrame, key: str, column: str = "sketch", k: int = SKETC
     return hashes.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
-def with_cells(rows: DataFrame, key: str, cell: str) -> DataFrame:
-    """rows with the number of an interval of keys; intervals are in the order of keys and about equally full.
+def with_cells(rows: DataFrame, key: str, tie: str, cell: str) -> DataFrame:
+    """rows with the number of an interval of (key, tie); intervals are in that order and about equally full.
 
-    Bounds are approximate quantiles (MAX_CELLS numbers at most); where the session
-    has more partitions, each interval is divided evenly.
+    Bounds are approximate quantiles of the key (MAX_CELLS numbers at most); where the
+    session has more partitions, each interval is divided evenly.  A key that several
+    quantiles fall on is divided by its ties (hashes) into as many intervals.
     """
     wanted = partitions(rows.sparkSession) * 8
     cells = min(MAX_CELLS, wanted)
     shares = [i / cells for i in range(cells + 1)]
-    bounds = rows.agg(F.percentile_approx(key, shares, 20 * cells).alias("q")).first()[0]
-    if not bounds:
+    quantiles = rows.agg(F.percentile_approx(key, shares, 20 * cells).alias("q")).first()[0]
+    if not quantiles:
         return rows.withColumn(cell, F.lit(0).cast("long"))
-    bounds = sorted(set(bounds))
+    bounds = sorted(set(quantiles))
     parts = -(-wanted // cells)
     all_bounds = F.array(*[F.lit(b).cast("long") for b in bounds])
     at = F.greatest(F.size(F.filter(all_bounds, lambda b: b <= F.col(key))), F.lit(1))
     rows = rows.withColumn("__at", at)
-    if parts == 1:
-        return rows.withColumn(cell, F.col("__at").cast("long")).drop("__at")
     lo = F.element_at(all_bounds, F.col("__at"))
     hi = F.element_at(all_bounds, F.least(F.col("__at") + 1, F.lit(len(bounds))))
     share = (F.col(key).cast("double") - lo) / F.greatest(hi.cast("double") - lo, F.lit(1.0))
     inner = F.least(F.floor(share * parts), F.lit(parts - 1))
-    return rows.withColumn(cell, (F.col("__at") * parts + inner).cast("long")).drop("__at")
+    # a hot key is a bound itself, the least of its interval: its own parts come before the others
+    many = {b: n * parts for b in bounds if (n := quantiles.count(b)) > 1}
+    most = max(many.values(), default=0)
+    own = F.lit(None)
+    if many:
+        times = F.element_at(F.create_map(*[F.lit(x) for b, n in many.items() for x in (b, n)]), F.col(key))
+        place = (F.col(tie).cast("double") + 2.0**63) / 2.0**64
+        own = F.least(F.floor(place * times), times - 1)
+    inner = F.coalesce(own, inner + most)
+    return rows.withColumn(cell, (F.col("__at") * (parts + most) + inner).cast("long")).drop("__at")
 
 
 def fingerprint_documents(docs: DataFrame, width: int = SHINGLE_WORDS, k: int = SKETCH_SIZE) -> DataFrame:
@@ -122,7 +130,7 @@ def fingerprint_documents(docs: DataFrame, width: int = SHINGLE_WORDS, k: int =
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(doc_key().alias("k"), whole_text().alias("text"))
-    rows = with_cells(rows, "k", "cell").withColumn("h", F.xxhash64("text"))
+    rows = with_cells(rows.withColumn("h", F.xxhash64("text")), "k", "h", "cell")
     # each interval's first document goes to the interval before it as well (in descending order)
     heads = rows.groupBy("cell").agg(F.max(F.struct("k", "h")).alias("x"))
     after = W.orderBy("cell")
