@@ -151,19 +151,84 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(start - (stops - length), length)
 
 
+#: Bits of a position in sliding_min(); the hashes there are compared by the others.
+_PLACE_BITS = 28
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost index of the minimum of each `width` consecutive values, by doubling."""
+    """Leftmost index of the minimum of each `width` consecutive hashes, by doubling.
+
+    Hashes are compared by their upper bits.  The lower ones hold the position
+    instead, so that one running minimum gives both.
+    """
     n = len(values) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int32)
-    at = np.arange(len(values), dtype=np.int32)
-    best, have = values, 1
+        return np.zeros(0, np.int64)
+    most = 1 << _PLACE_BITS
+    if len(values) > most:  # a text of this length is cut into overlapping pieces
+        step = most - width + 1
+        return np.concatenate([at + sliding_min(values[at : at + most], width) for at in range(0, n, step)])
+    mask = np.uint64(most - 1)
+    best = (values & ~mask) | np.arange(len(values), dtype=np.uint64)
+    have = 1
     while have < width:
         step = min(have, width - have)
-        right = best[step:]
-        left = best[: len(right)]
-        worse = right < left
-        at = np.where(worse, at[step:], at[: len(right)])
-        best = np.where(worse, right, left)
+        best = np.minimum(best[:-step], best[step:])
         have += step
-    return at[:n]
+    return (best & mask).astype(np.int64)
+
+
+#: The first k bytes of a lane, for k from 0 to 8.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on (zeros beyond the end) as numbers."""
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", raw, 0, (1,))
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a[i] : a[i] + size[i]] equals data[b[i] : b[i] + size[i]], by their bytes."""
+    lane = lanes(data)
+    out = np.ones(len(a), bool)
+    rows = np.flatnonzero(size > 0)
+    a, b, left = a[rows], b[rows], size[rows]
+    for _ in range(64):
+        if not len(rows):
+            return out
+        bad = ((lane[a] ^ lane[b]) & _HEAD[np.minimum(left, 8)]) != 0
+        out[rows[bad]] = False
+        go = ~bad & (left > 8)
+        rows, a, b, left = rows[go], a[go] + 8, b[go] + 8, left[go] - 8
+    for r, x, y, n in zip(rows.tolist(), a.tolist(), b.tolist(), left.tolist(), strict=True):  # few are that long
+        out[r] = np.array_equal(data[x : x + n], data[y : y + n])
+    return out
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): one span of each group of equal ones, and each span's group.
+
+    Spans are equal if their bytes (and kinds) are; hashes only bring them together.
+    """
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    lead = first[back]
+    size = end - start
+    rows = np.flatnonzero(lead != np.arange(len(lead)))
+    other = lead[rows]
+    same = size[rows] == size[other]
+    if kind is not None:
+        same &= kind[rows] == kind[other]
+    same[same] = same_spans(data, start[rows[same]], start[other[same]], size[rows[same]])
+    if same.all():
+        return first, back
+    # spans that differ and have one hash: their own groups
+    groups: dict[tuple, int] = {}
+    more = []
+    for i in rows[~same].tolist():
+        key = (data[start[i] : end[i]].tobytes(), None if kind is None else bool(kind[i]))
+        if key not in groups:
+            groups[key] = len(first) + len(more)
+            more.append(i)
+        back[i] = groups[key]
+    return np.concatenate([first, np.array(more, first.dtype)]), back

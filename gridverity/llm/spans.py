@@ -12,6 +12,11 @@ part of the bucket has, then lengths, owners (index to a list of documents),
 positions, the minimiser's unit in the string, the documents (key, row hash) and
 the strings end to end.  A part is the share of a bucket that is worked on at once.
 
+A minimiser that many documents have, in different surroundings, would fill one
+part however many there are.  Windows of such hot minimisers travel one by one
+instead, to the bucket of the whole window's hash, where only equal ones meet.
+Which are hot is told from a sample; it decides where windows meet, not which.
+
 The texts travel compressed as well, to where the removed runs of their document
 go, and are rewritten there.
 """
@@ -28,18 +33,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, Block, blocks, mixed, prefix_hashes, ragged, release, sliding_min, span_hashes
+from .blocks import BLOCK_BYTES, Block, blocks, equal_spans, mixed, prefix_hashes, ragged, release, same_spans, sliding_min, span_hashes
 from .common import doc_key, partitions, whole_text
 
 #: Buckets for each shuffle partition, and parts of a bucket; they are worked on one after another.
 BUCKETS_EACH = 4
 PARTS = 8
 #: Level of compression, and bytes of text that are compressed together at most.
-LEVEL = 6
+LEVEL = 5
 TEXT_BLOCK = 4 << 20
 #: Bytes of strings that a task gathers before it sends them.
 OUTBOX_BYTES = 16 << 20
-#: Documents and bytes that the compression's dictionary is made from, and its own bytes, at most.
+#: A minimiser is hot if this share of the sampled documents has it, and its strings would fill so many mean parts.
+HOT_DOCS, HOT_PARTS = 0.02, 8
+#: Sampled documents and bytes, and bytes of the compression's dictionary made from them, at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 1 << 20, 1 << 16
 
 
@@ -77,6 +84,34 @@ def super_kmers(gram: np.ndarray, first: np.ndarray, window: int, k: int) -> tup
     return at[runs], np.diff(np.append(runs, total)), chosen[runs]
 
 
+def sampled(docs: DataFrame) -> list[bytes]:
+    """Some texts, SAMPLE_DOCS rows and SAMPLE_BYTES bytes at most.  Results don't depend on them, sizes do."""
+    rows = docs.where(F.octet_length("text").between(8, SAMPLE_BYTES // 16)).select("text").limit(SAMPLE_DOCS).collect()
+    out, total = [], 0
+    for r in rows:
+        raw = r.text.encode()
+        if total + len(raw) > SAMPLE_BYTES:
+            break
+        out.append(raw)
+        total += len(raw)
+    return out
+
+
+def hot_minimisers(texts: list[bytes], window: int, k: int, units: Callable, parts: int) -> np.ndarray:
+    """Grams (hashes) that are minimisers in many of the texts, ascending; a part is one of `parts` shares of all strings."""
+    if not texts:
+        return np.zeros(0, np.uint64)
+    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    off = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    data, gram, first, span = units(Block(rows, np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), off))
+    at, _, chosen = super_kmers(gram, first, window, k)
+    doc = np.searchsorted(first, at, "right") - 1
+    each, back, strings = np.unique(gram[chosen], return_inverse=True, return_counts=True)
+    has = np.unique(back * len(texts) + doc) // len(texts)
+    docs = np.bincount(has, minlength=len(each))
+    return each[(docs >= max(2, HOT_DOCS * len(texts))) & (strings * parts >= HOT_PARTS * len(at))]
+
+
 class Codec:
     """Compression with a dictionary made from some texts: small payloads shrink about as well as large ones."""
 
@@ -84,16 +119,8 @@ class Codec:
         self.dictionary = dictionary
 
     @classmethod
-    def of(cls, docs: DataFrame) -> Codec:
-        """From some texts, SAMPLE_DOCS rows and SAMPLE_BYTES bytes at most.  Results don't depend on it, sizes do."""
-        rows = docs.where(F.octet_length("text").between(8, SAMPLE_BYTES // 16)).select("text").limit(SAMPLE_DOCS).collect()
-        samples, total = [], 0
-        for r in rows:
-            raw = r.text.encode()
-            if total + len(raw) > SAMPLE_BYTES:
-                break
-            samples += [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
-            total += len(raw)
+    def of(cls, texts: list[bytes]) -> Codec:
+        samples = [t[i : i + 1024] for t in texts for i in range(0, len(t), 1024)]
         try:
             return cls(zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes())
         except zstandard.ZstdError:  # too few texts
@@ -177,14 +204,6 @@ def string_hashes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return span_hashes(prefix, inverse, off[:-1], off[1:])
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a[i] : a[i] + size[i]] equals data[b[i] : ...], byte by byte; no size may be 0."""
-    if not len(a):
-        return np.zeros(0, bool)
-    equal = data[ragged(a, size)] == data[ragged(b, size)]
-    return np.logical_and.reduceat(equal, np.concatenate([[0], np.cumsum(size)[:-1]]))
-
-
 def removed_rows(key: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
     """Removed units [start, stop) of documents; touching runs are joined."""
     order = np.lexsort((start, row, key))
@@ -201,7 +220,7 @@ _SENT = "bucket int, payload binary, k long, row long, start long, stop long"
 _SENT_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("k", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def block_strings(block: Block, outbox: Outbox, window: int, k: int, units: Callable) -> Iterator[pa.RecordBatch]:
+def block_strings(block: Block, outbox: Outbox, window: int, k: int, units: Callable, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Puts a block's strings into the outbox, and gives what its own repeats remove at once.
 
     units(block) -> (data, gram hashes, first unit of each document, byte range of units i .. j - 1).
@@ -224,7 +243,7 @@ def block_strings(block: Block, outbox: Outbox, window: int, k: int, units: Call
     later = np.flatnonzero(same & (key[doc[order]] > key[doc[lead]]))
     a, b = order[later], lead[later]
     sure = (stop - start)[a] == (stop - start)[b]
-    sure[sure] = same_bytes(data, start[a[sure]], start[b[sure]], (stop - start)[a[sure]])
+    sure[sure] = same_spans(data, start[a[sure]], start[b[sure]], (stop - start)[a[sure]])
     gone = a[sure]
     keep = np.ones(len(at), bool)
     keep[gone] = False
@@ -232,9 +251,28 @@ def block_strings(block: Block, outbox: Outbox, window: int, k: int, units: Call
     if len(gone):
         out = removed_rows(key[doc[gone]], row[doc[gone]], pos[gone], (pos + count + window - 1)[gone])
         yield _sent(out.num_rows, removed=out)
+    minimiser = gram[chosen]
+    if len(hot):
+        is_hot = keep & np.isin(minimiser, hot)
+        if is_hot.any():
+            keep &= ~is_hot
+            x = np.flatnonzero(is_hot)
+            one, d, mini = ragged(at[x], count[x]), np.repeat(doc[x], count[x]), np.repeat(chosen[x], count[x])
+            lo, hi = span(one, one + window)
+            h = span_hashes(prefix, inverse, lo, hi)
+            sample, group = equal_spans(data, lo, hi, h)
+            least = np.full(len(sample), np.iinfo(np.int64).max)
+            np.minimum.at(least, group, key[d])
+            later = key[d] > least[group]
+            if later.any():
+                out = removed_rows(key[d[later]], row[d[later]], (one - first[d])[later], (one - first[d])[later] + window)
+                yield _sent(out.num_rows, removed=out)
+            y = np.flatnonzero(~later)
+            size = (hi - lo)[y]
+            outbox.add(h[y], d[y], key, row, (one - first[d])[y], (mini - one)[y], data[ragged(lo[y], size)], size)
     x = np.flatnonzero(keep)
     size = (stop - start)[x]
-    outbox.add(gram[chosen[x]], doc[x], key, row, pos[x], (chosen - at)[x], data[ragged(start[x], size)], size)
+    outbox.add(minimiser[x], doc[x], key, row, pos[x], (chosen - at)[x], data[ragged(start[x], size)], size)
 
 
 class Outbox:
@@ -278,19 +316,20 @@ def _sent(n: int, bucket: np.ndarray | None = None, payloads: list[bytes] | None
     return pa.RecordBatch.from_arrays(cols, schema=_SENT_SCHEMA)
 
 
-def removed_spans(docs: DataFrame, codec: Codec, window: int, k: int, units: Callable, repeats: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, texts: list[bytes], codec: Codec, window: int, k: int, units: Callable, repeats: Callable, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(k, row, start, stop): units covered by a window that also starts in a document with a smaller key.
 
-    docs has k, row and text.  repeats(Strings) -> (string index, first unit, last unit + 1) of windows
+    docs has k, row and text; texts are sampled() ones.  repeats(Strings) -> (string index, first unit, last unit + 1) of windows
     in a bucket that a smaller document has too, units counted from the string's first.
     """
     n = partitions(docs.sparkSession)
     buckets = n * BUCKETS_EACH
+    hot = hot_minimisers(texts, window, k, units, buckets * PARTS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         outbox = Outbox(codec, buckets)
         for block in blocks(batches, limit=block_bytes):
-            yield from block_strings(block, outbox, window, k, units)
+            yield from block_strings(block, outbox, window, k, units, hot)
             if outbox.bytes >= OUTBOX_BYTES:
                 yield from outbox.flush()
         yield from outbox.flush()
@@ -414,7 +453,7 @@ class Runs:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(new)
-        ends = np.append(first[1:], len(key))
+        ends = np.append(first[1:], len(key))[: len(first)]
         self.index = {kr: ab for kr, ab in zip(zip(key[first].tolist(), row[first].tolist(), strict=True), zip(first.tolist(), ends.tolist(), strict=True), strict=True)}
 
     def of(self, key: int, row: int) -> tuple[np.ndarray, np.ndarray] | None:

@@ -3,7 +3,7 @@
 Consecutive windows that share a minimiser (the least hashed gram of words in
 them) travel as one packed string to the minimiser's bucket; there the windows are
 sorted and equal ones counted, and the least document that has a window keeps it.
-Equal hashes are confirmed by comparing the windows' bytes.
+Hashes bring windows together; those are equal whose bytes are.
 """
 
 from __future__ import annotations
@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, prefix_hashes, span_hashes, words
+from .blocks import Block, equal_spans, prefix_hashes, span_hashes, words
 from .common import NO_ID, table
-from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, same_bytes
+from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, sampled
 
 WINDOW_WORDS = 13
 GRAM_WORDS = 3
@@ -54,24 +54,11 @@ def repeated_windows(s: Strings, window: int) -> tuple[np.ndarray, np.ndarray, n
     is_end = last == first[1:][owner]
     hi = np.where(is_end, s.off[1:][owner], starts[np.minimum(last, len(starts) - 1)] - 1)
     prefix, inverse = prefix_hashes(s.data)
-    h = span_hashes(prefix, inverse, lo, hi)
+    first_of, group = equal_spans(s.data, lo, hi, span_hashes(prefix, inverse, lo, hi))
     key = s.key[owner]
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    new = np.ones(len(order), bool)
-    new[1:] = hs[1:] != hs[:-1]
-    groups = np.flatnonzero(new)
-    least = np.minimum.reduceat(key[order], groups)
-    group = np.cumsum(new) - 1
-    later = np.flatnonzero(key[order] > least[group])
-    # the group's first occurrence in its least document
-    is_least = np.flatnonzero(key[order] == least[group])
-    lead = np.zeros(len(groups), np.int64)
-    lead[group[is_least][::-1]] = order[is_least][::-1]
-    a, b = order[later], lead[group[later]]
-    sure = (hi - lo)[a] == (hi - lo)[b]
-    sure[sure] = same_bytes(s.data, lo[a[sure]], lo[b[sure]], (hi - lo)[a[sure]])
-    a = a[sure]
+    least = np.full(len(first_of), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, key)
+    a = np.flatnonzero(key > least[group])
     word = at[a] - first[owner[a]]
     return owner[a], word, word + window
 
@@ -87,8 +74,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WO
     Columns: doc_id, n_words, n_removed, kept (words joined by single spaces).
     """
     base = keyed(docs)
-    codec = Codec.of(base)
-    spans = removed_spans(base, codec, window, gram, word_units(gram), lambda s: repeated_windows(s, window))
+    texts = sampled(base)
+    codec = Codec.of(texts)
+    spans = removed_spans(base, texts, codec, window, gram, word_units(gram), lambda s: repeated_windows(s, window))
 
     def rewrite(block: Block, removed: list) -> pa.RecordBatch:
         w = words(block)

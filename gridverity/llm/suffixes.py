@@ -9,10 +9,10 @@ bytes only, which bounds the depth of the recursion.  Neighbours in the array ar
 then compared on their first 50 bytes; of a run of equal ones the least document
 keeps its bytes.  The order across buckets is never needed.
 
-A bucket sets aside strings that cannot repeat: a window holds its minimiser and,
-before or after it, half of the window's other bytes; if no other string has the
-same minimiser with the same bytes before it, nor with the same bytes after it, no
-window of the string occurs elsewhere.
+A bucket sets aside strings that cannot repeat: windows that hold their minimiser
+at a place in one quarter of the window have the bytes around it in common; if no
+other string has the same minimiser with the same bytes around it, for none of the
+quarters, no window of the string occurs elsewhere.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, prefix_hashes, ragged, span_hashes
+from .blocks import Block, lanes, prefix_hashes, ragged, same_spans, span_hashes
 from .common import NO_ID, table
-from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, same_bytes, string_hashes
+from .spans import Codec, Strings, covered, keyed, removed_spans, rewritten, sampled, string_hashes
 
 WINDOW_BYTES = 50
-GRAM_BYTES = 12
+GRAM_BYTES = 8
 #: A block's work holds about 100 bytes of arrays for each byte of text.
 TEXT_BLOCK = 3 << 18
 
@@ -119,22 +119,33 @@ def _distinct(data: np.ndarray, off: np.ndarray, key: np.ndarray) -> tuple[np.nd
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     size = np.diff(off)
     same = size[order] == size[lead]
-    same[same] = same_bytes(data, off[order[same]], off[lead[same]], size[order[same]])
+    same[same] = same_spans(data, off[order[same]], off[lead[same]], size[order[same]])
     out = np.empty(len(order), np.int64)
     out[order] = np.where(same, lead, order)  # a collision of hashes stands for itself
     return np.unique(out), out
 
 
-def _may_repeat(s: Strings, window: int, gram: int) -> np.ndarray:
-    """Strings that share their minimiser, with half a window's context on one side, with another string."""
-    side = (window - gram) // 2
+def _may_repeat(s: Strings, window: int, gram: int, quarters: int = 4) -> np.ndarray:
+    """Strings that share their minimiser, with the bytes that a quarter's windows have around it, with another string."""
     at = s.off[:-1] + s.mini
-    prefix, inverse = prefix_hashes(s.data)
+    edges = np.linspace(0, window - gram, quarters + 1).astype(int).tolist()
     out = np.zeros(len(at), bool)
-    for lo, hi in ((at - side, at + gram), (at, at + gram + side)):
-        has = np.flatnonzero((lo >= s.off[:-1]) & (hi <= s.off[1:]))
-        _, back, count = np.unique(span_hashes(prefix, inverse, lo[has], hi[has]), return_inverse=True, return_counts=True)
-        out[has[count[back] > 1]] = True
+    lane = lanes(s.data)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        lo, size = at - a, window - (b - a)
+        has = np.flatnonzero((lo >= s.off[:-1]) & (lo + size <= s.off[1:]))
+        if size < 8:
+            out[has] = True
+            continue
+        h = np.zeros(len(has), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in [*range(0, size - 7, 8), size - 8]:
+                h = (h ^ lane[lo[has] + k]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+        ordered = np.sort(h)
+        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        if len(twice):
+            out[has[twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h]] = True
     return out
 
 
@@ -162,12 +173,12 @@ def repeated_bytes(s: Strings, window: int, gram: int) -> tuple[np.ndarray, np.n
     suffix = suffix[room[suffix]]
     string = np.searchsorted(begin, suffix, "right") - 1
     # compare neighbours on their first `window` bytes
-    raw = np.zeros(len(t) + 8, np.uint8)
+    raw = np.zeros(len(t), np.uint8)
     raw[ragged(begin, size[leads])] = data[ragged(off[leads], size[leads])]
-    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    lane_at = lanes(raw)
     equal = np.ones(len(suffix) - 1, bool)
     for k in [*range(0, window - 7, 8), window - 8]:
-        lane = lanes[suffix + k]
+        lane = lane_at[suffix + k]
         equal &= lane[1:] == lane[:-1]
     new = np.concatenate([[True], ~equal])
     owner = key[leads][string]
@@ -211,8 +222,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW_BYTES, gram: int = GRAM_BY
     base = keyed(docs, others)
     extra = [f.name for f in base.schema.fields if f.name not in ("k", "row", "text")]
     kinds = "".join(f", {c} {base.schema[c].dataType.simpleString()}" for c in extra)
-    codec = Codec.of(base)
-    spans = removed_spans(base, codec, window, gram, byte_units(gram), lambda s: repeated_bytes(s, window, gram), TEXT_BLOCK)
+    texts = sampled(base)
+    codec = Codec.of(texts)
+    spans = removed_spans(base, texts, codec, window, gram, byte_units(gram), lambda s: repeated_bytes(s, window, gram), TEXT_BLOCK)
 
     def rewrite(block: Block, removed: list) -> pa.RecordBatch:
         size = np.diff(block.off) - 1
