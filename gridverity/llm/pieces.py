@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, normalizers
 
-from .blocks import Block, blocks, prefix_hashes, ragged, span_hashes
+from .blocks import Block, blocks, equal_spans, prefix_hashes, ragged, span_hashes
 from .common import table
 from .run_tokens import IdPool
 
@@ -190,15 +190,17 @@ class PieceEncoder(IdPool):
         prefix, inverse = prefix_hashes(buf)
         head = np.zeros(len(buf), bool)
         head[opens] = True
-        keys = span_hashes(prefix, inverse, st, en)
-        keys[head[st]] ^= np.uint64(0x5851F42D4C957F2D)  # a text's first stretch has the marker before it
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        opening = head[st]  # a text's first stretch has the marker before it
+        hashes = span_hashes(prefix, inverse, st, en)
+        hashes[opening] ^= np.uint64(0x5851F42D4C957F2D)
+        first, back = equal_spans(buf, st, en, hashes, opening)
+        whole = buf.tobytes()
+        listed = [(b"\n" if h else b"") + whole[a:b] for a, b, h in zip(st[first].tolist(), en[first].tolist(), opening[first].tolist(), strict=True)]
         known = self.known
-        listed = distinct.tolist()
         new = [i for i, key in enumerate(listed) if key not in known]
         if new:
             mark = MARK if self.model.dummy_prefix else ""
-            texts = [(mark if head[st[j]] else "") + buf[st[j] : en[j]].tobytes().decode("utf-8", "replace").replace(" ", MARK) for j in first[new].tolist()]
+            texts = [(mark if opening[j] else "") + whole[st[j] : en[j]].decode("utf-8", "replace").replace(" ", MARK) for j in first[new].tolist()]
             for a in range(0, len(new), BATCH):  # the library's results are large
                 for i, ids in zip(new[a : a + BATCH], self._stretches(texts[a : a + BATCH]), strict=True):
                     self.learn(listed[i], ids)

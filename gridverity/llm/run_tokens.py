@@ -16,7 +16,7 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
-from .blocks import LOWER, SPACE, prefix_hashes, ragged, span_hashes
+from .blocks import LOWER, SPACE, equal_spans, prefix_hashes, ragged, span_hashes
 
 # classes of bytes
 _WS, _LETTER, _DIGIT, _PUNCT, _LEAD, _ODD = range(6)
@@ -32,7 +32,7 @@ _SECOND = np.zeros(256, bool)
 _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
 #: Strings that a worker remembers, at most.
-_MAX_RUNS = 500_000
+_MAX_RUNS = 200_000
 
 
 def _byte_names() -> dict[int, str]:
@@ -43,13 +43,13 @@ def _byte_names() -> dict[int, str]:
 
 
 class IdPool:
-    """Ids of strings that were met before, by 64-bit keys.  When it is full, strings met in one block only go."""
+    """Ids of strings that were met before, by their bytes.  When it is full, strings met in one block only go."""
 
     def __init__(self):
         self._start_anew()
 
     def _start_anew(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
@@ -73,7 +73,7 @@ class IdPool:
         """Note that a block has these (distinct) strings."""
         self.met[at] += 1
 
-    def learn(self, key: int, ids: list[int] | np.ndarray) -> int:
+    def learn(self, key: bytes, ids: list[int] | np.ndarray) -> int:
         n = len(self.known)
         if n >= len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -122,35 +122,34 @@ class RunEncoder(IdPool):
         inside[1:] = (cls[1:] == cls[:-1]) & (cls[1:] != _DIGIT)
         starts = solid & ~inside
         odd = np.flatnonzero(cls == _ODD)
-        odd_from = np.zeros(0, np.int64)
+        odd_from = odd_to = np.zeros(0, np.int64)
         if len(odd):
             gaps = np.flatnonzero(~solid)
             k = np.unique(np.searchsorted(gaps, odd))  # stretch k ends at gaps[k]
-            to = gaps[k]
+            odd_to = gaps[k]
             odd_from = np.where(k > 0, gaps[np.maximum(k - 1, 0)] + 1, 0)
-            for a, b in zip(odd_from, to, strict=True):
+            for a, b in zip(odd_from, odd_to, strict=True):
                 starts[a:b] = False
             starts[odd_from] = True
         st = np.flatnonzero(starts)
         after = np.flatnonzero(starts | ~solid)  # a run ends where the next starts, or at white space
         en = after[np.minimum(np.searchsorted(after, st, "right"), len(after) - 1)] if len(st) else st
         is_odd = np.isin(st, odd_from, assume_unique=True) if len(odd_from) else np.zeros(len(st), bool)
+        for a, b in zip(odd_from, odd_to, strict=True):  # these are known by their bytes as they are
+            low[a:b] = buf[a:b]
         prefix, inverse = prefix_hashes(low)
-        keys = span_hashes(prefix, inverse, st, en)
-        if len(odd_from):  # these are known by their bytes as they are
-            raw, _ = prefix_hashes(buf)
-            keys[is_odd] = span_hashes(raw, inverse, st[is_odd], en[is_odd]) ^ np.uint64(0x5851F42D4C957F2D)
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        known, at = self.known, np.empty(len(distinct), np.int64)
-        for i, key in enumerate(distinct.tolist()):
+        first, back = equal_spans(low, st, en, span_hashes(prefix, inverse, st, en), is_odd)
+        known, at = self.known, np.empty(len(first), np.int64)
+        whole = low.tobytes()
+        for i, (a, b, odd_one) in enumerate(zip(st[first].tolist(), en[first].tolist(), is_odd[first].tolist(), strict=True)):
+            run = whole[a:b]
+            key = b"\x01" + run if odd_one else run  # no run starts with a control
             n = known.get(key)
             if n is None:
-                j = int(first[i])
-                if is_odd[j]:
-                    ids = self.full.encode(buf[st[j] : en[j]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+                if odd_one:
+                    ids = self.full.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
                 else:
-                    run = low[st[j] : en[j]].tobytes().decode("latin-1").translate(self.names)
-                    ids = [t.id for t in self.full.model.tokenize(run)]
+                    ids = [t.id for t in self.full.model.tokenize(run.decode("latin-1").translate(self.names))]
                 n = self.learn(key, ids)
             at[i] = n
         self.count(at)
@@ -158,9 +157,9 @@ class RunEncoder(IdPool):
         start, length = self.start[run], self.length[run]
         cuts = np.searchsorted(st, off)
         if end_id is not None:
-            end_at = known.get(-1)
+            end_at = known.get(b"")
             if end_at is None:
-                end_at = self.learn(-1, [end_id])
+                end_at = self.learn(b"", [end_id])
             start = np.insert(start, cuts[1:], self.start[end_at])
             length = np.insert(length, cuts[1:], 1)
             cuts = cuts + np.arange(len(cuts))

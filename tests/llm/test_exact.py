@@ -94,15 +94,20 @@ def test_simhash(corpus):
     assert kept.columns == df.columns and kept.count() == len(least)
 
 
-def test_simhash_links_any_close_pair(spark):
+@pytest.mark.parametrize("split", [simhash.SPLIT_ROWS, 4])
+@pytest.mark.parametrize("crowd", [False, True])
+def test_simhash_links_any_close_pair(spark, monkeypatch, split, crowd):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    if crowd:  # all share most of their bits
+        base = base & np.uint64(0x0000FF000000F00F) | np.uint64(0x123400567890)
     near = [int(b) ^ sum(1 << int(x) for x in rng.choice(64, k, replace=False)) for b in base for k in (1, 2, 3, 4)]
     fp = np.unique(np.array([*map(int, base), *near], np.uint64))
-    df = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    df = spark.createDataFrame([(int(x), k) for k, x in enumerate(fp.view(np.int64))], "fp long, k long")
     from gridverity.llm.components import components
 
-    got = {r.node: r.root for r in components(simhash.fingerprint_links(df)).collect()}
+    monkeypatch.setattr(simhash, "SPLIT_ROWS", split)
+    got = {r.node.fp: r.root.fp for r in components(simhash.fingerprint_links(df)).collect()}
     close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3
     label = np.arange(len(fp))
     while True:
@@ -149,7 +154,17 @@ def test_suffix_order():
 def test_fingerprints(corpus):
     pairs, df = corpus
     if any(i is None for i, _ in pairs) or len({i for i, _ in pairs}) < len(pairs):
-        assert fingerprints.fingerprint_documents(df).count() == len(pairs)
+        # null ids come first; rows of one id are in the order of a hash of their texts, the greatest first
+        from pyspark.sql import functions as F
+
+        hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+        order = sorted(hashed, key=lambda r: (-key(r.doc_id), -r.h))
+        want = []
+        for r, n in zip(order, [*order[1:], order[0]]):
+            half = len(r.text) // 2
+            want.append((r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - half] + n.text[:half]).encode()).hexdigest()))
+        got = fingerprints.fingerprint_documents(df).collect()
+        assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=repr) == sorted(want, key=repr)
         return
     down = sorted(pairs, key=lambda p: -p[0])
     shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(WORD.findall(raw(t)))
@@ -171,6 +186,17 @@ def test_fingerprints(corpus):
     assert np.std(errors) < 0.05 and np.abs(errors).max() < 0.25
 
 
+def test_hot_ids_are_divided(spark):
+    """Half of the rows have no id, some have one id: these too are dealt to several intervals, in order."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, fingerprints.NO_ID).when(F.col("id") % 8 == 1, 77).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("h"))
+    got = fingerprints.with_cells(rows, "k", "h", "cell").toPandas()
+    assert got.groupby("cell").size().max() < 4000 / 16
+    cells = got.sort_values(["k", "h"]).cell.to_numpy()
+    assert (np.diff(cells) >= 0).all()
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
@@ -194,6 +220,21 @@ def test_packing(corpus):
     ids = [(i, np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in pairs]
     got = packing.pack_documents(df).toPandas()
     assert got.length.sum() == sum(len(x) for _, x in ids)
+    # each id lies in one piece: a document's pieces are gapless from 0 (rows of one doc_id and length are told apart by counting)
+    places = {}
+    for r in got.itertuples():
+        places.setdefault((None if r.doc_id != r.doc_id else int(r.doc_id), r.doc_tokens), []).append((r.start, r.length))
+    copies = {}
+    for i, x in ids:
+        copies[i, len(x)] = copies.get((i, len(x)), 0) + 1
+    assert set(places) == set(copies)
+    for (doc, n), found in places.items():
+        cover = np.zeros(n + 1, int)
+        for start, length in found:
+            assert 0 <= start and 0 < length and start + length <= n
+            cover[start] += 1
+            cover[start + length] -= 1
+        assert (np.cumsum(cover)[:n] == copies[doc, n]).all()
     bags = {}
     for i, x in ids:
         bags.setdefault(i, []).append(x)
@@ -239,6 +280,115 @@ def test_pieces(corpus, texts):
         assert r.n_ids == len(want) and r.ids_crc32 == zlib.crc32(want.tobytes()) and r.decoded == theirs.decode(want.tolist())
 
 
+def thue_morse(n):
+    """Two strings of 2**n letters whose polynomial hashes modulo 2**64 are equal, whatever the base (n >= 10)."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_equal_hashes_are_not_equal_strings(docs_of, n):
+    from tokenizers import Tokenizer
+
+    from gridverity.llm.blocks import equal_spans, prefix_hashes, span_hashes
+
+    a, b = thue_morse(n)
+    data = np.frombuffer((a + b + a + b).encode(), np.uint8)
+    start = np.arange(4) * len(a)
+    prefix, inverse = prefix_hashes(data)
+    h = span_hashes(prefix, inverse, start, start + len(a))
+    assert h[0] == h[1]  # they do collide
+    first, back = equal_spans(data, start, start + len(a), h)
+    assert len(first) == 2 and back[0] == back[2] != back[1] == back[3]
+    tail = " ".join(f"w{i}" for i in range(12))
+    pairs = [(0, f"{a} {tail}"), (1, f"{b} {tail}"), (2, f"{b} {tail}"), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"{b}é<{a}"), (6, f"{a}é<{b}")]
+    df = docs_of(pairs)
+    assert pieces.parity(pieces.vocabulary(), [t for _, t in pairs]) == []
+    tok = Tokenizer.from_file(packing.vocabulary())
+    for r in packing.pack_documents(df).collect():
+        ids = np.array([*tok.encode(pairs[r.doc_id][1], add_special_tokens=False).ids, 1], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    got = {r.doc_id: (r.n_removed, r.kept) for r in substrings.deduplicate(df).collect()}
+    want = {i: (int(m.sum()), b" ".join(x for x, gone in zip(u, m) if not gone).decode()) for i, u, m in removed(pairs, lambda t: WORD.findall(raw(t)), 13)}
+    assert got == want and got[1][0] == 0 and got[2][0] == 13
+    got = {r.doc_id: bytes(r.kept) for r in suffixes.deduplicate(df).collect()}
+    assert got == {i: np.frombuffer(u, np.uint8)[~m].tobytes() for i, u, m in removed(pairs, raw, 50)}
+
+
+@pytest.mark.parametrize("case", ["corner", "boilerplate"])
+def test_hot_minimisers_change_no_result(docs_of, texts, monkeypatch, case):
+    """Windows of hot minimisers go one by one; here all that two sampled documents have are hot."""
+    import random
+
+    from gridverity.llm import spans
+
+    monkeypatch.setattr(spans, "HOT_PARTS", 0)
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    line = " ".join(word() for _ in range(20))
+    boiler = [(i, " ".join([*(word() for _ in range(rng.randrange(30))), line, *(word() for _ in range(rng.randrange(30)))])) for i in range(60)]
+    pairs = texts if case == "corner" else boiler
+    df = docs_of(pairs).repartition(3)
+    sample = [raw(t) for _, t in pairs if len(t or "") >= 8]
+    assert len(spans.hot_minimisers(sample, 13, 3, substrings.word_units(3), 1)) and len(spans.hot_minimisers(sample, 50, 8, suffixes.byte_units(8), 1))
+    got = {r.doc_id: r.n_removed for r in substrings.deduplicate(df).collect()}
+    assert got == {i: int(m.sum()) for i, _, m in removed(pairs, lambda t: WORD.findall(raw(t)), 13)}
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffixes.deduplicate(df).collect()}
+    assert got == {i: (int(m.sum()), np.frombuffer(u, np.uint8)[~m].tobytes()) for i, u, m in removed(pairs, raw, 50)}
+
+
+def _proto(*fields):
+    """A protobuf message of (number, value): str and bytes are length-delimited, float is fixed32, int is a varint."""
+    import struct
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_unigram_model(tmp_path, spark, byte_fallback):
+    """Scores of a Unigram model decide: a small model written here, against the sentencepiece library."""
+    import random
+
+    import sentencepiece
+
+    rng = random.Random(2)
+    subwords = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(60)})
+    normal = [(w, -rng.uniform(4, 9)) for w in [*subwords, *(pieces.MARK + w for w in subwords[:25])]] + [(c, -rng.uniform(9, 12)) for c in "abcdefgé,." + pieces.MARK]
+    listed = [_proto((1, "<unk>"), (2, 0.0), (3, 2)), _proto((1, "<s>"), (2, 0.0), (3, 3)), _proto((1, "</s>"), (2, 0.0), (3, 3))]
+    listed += [_proto((1, f"<0x{i:02X}>"), (2, 0.0), (3, 6)) for i in range(256)] if byte_fallback else []
+    listed += [_proto((1, w), (2, s), (3, 1)) for w, s in normal]
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(_proto(*[(1, p) for p in listed], (2, _proto((3, 1), (35, int(byte_fallback)))), (3, _proto((1, "identity"), (3, 1), (4, 0), (5, 1)))))
+    model = pieces.PieceModel.read(path)
+    assert model.unigram and dict(zip(model.pieces, model.scores))[normal[0][0]] == pytest.approx(normal[0][1], abs=1e-6)
+    texts = ["", "a", " ", "abc abcde, cab.", "a  b   c", "".join(rng.choice("abcdefg ,.é") for _ in range(300)), *(" ".join(rng.choice(subwords) for _ in range(20)) for _ in range(30))]
+    texts += ["日本 abc", "abz<é"] if byte_fallback else []
+    assert pieces.parity(path, texts) == []
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.decode_documents(pieces.encode_documents(df, path), path).collect():
+        want = theirs.encode(r.text)
+        assert r.n_ids == len(want) and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes()) and r.decoded == theirs.decode(want)
+
+
 def test_sharding(corpus):
     pairs, df = corpus
     got = sharding.shard_documents(df).toPandas()
@@ -283,27 +433,49 @@ def test_embeddings(spark):
         if (new == label).all():
             break
         label = new
-    assert sum(got[i].n_links for i, _ in vectors) >= 0.99 * n.sum()
-    assert all(got[i].n_links <= n[i] for i, _ in vectors)
-    assert np.mean([got[i].component_id == label[i] for i, _ in vectors]) > 0.99
+    assert all(got[i].n_links == n[i] for i, _ in vectors)
+    assert all(got[i].component_id == label[i] for i, _ in vectors)
     assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1007))
     assert got[1005].n_links == got[1006].n_links == 1 and got[1006].component_id == 1005 and not got[1006].kept
     assert not got[None].kept and got[None].component_id == got[0].component_id
 
 
-def test_embedding_cells_miss_no_link_with_full_reach(spark):
+@pytest.mark.parametrize("kind", ["clusters", "between centroids", "copies"])
+@pytest.mark.parametrize("block", [embeddings.BLOCK_BYTES, 1 << 11])
+def test_embedding_cells_miss_no_link(spark, kind, block, monkeypatch):
+    """The operator as registered, but for smaller cells: 20 of them and more, and several blocks each."""
     rng = np.random.default_rng(9)
-    c = rng.normal(size=(6, 8))
-    rows = np.concatenate([x + rng.normal(size=(50, 8)) * 0.25 for x in c])
+    monkeypatch.setattr(embeddings, "CELL_SIZE", 20)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", block)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "clusters":
+        rows = np.concatenate([x + rng.normal(size=(50, 8)) * 0.25 for x in rng.normal(size=(10, 8))])
+    elif kind == "copies":
+        rows = np.concatenate([np.repeat(rng.normal(size=(30, 8)), 9, axis=0), rng.normal(size=(250, 8))])
+        rows[::3] += rng.normal(size=rows[::3].shape) * 0.01
+    else:  # pairs that differ along the line from one centre to another, at every place between them
+        c = unit(rng.normal(size=(6, 8)))
+        rows = [c[i] + rng.normal(size=8) * 0.02 for i in range(6) for _ in range(20)]
+        for _ in range(200):
+            i, j = rng.choice(6, 2, replace=False)
+            s = rng.uniform(0.3, 0.7)
+            p = unit((c[i] * (1 - s) + c[j] * s)[None])[0]
+            d = unit((c[j] - c[i])[None])[0]
+            rows += [p, p + d * rng.uniform(0.29, 0.33)]
+        rows = np.array(rows)
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
-    old = embeddings.CELL_SIZE, embeddings.BLOCK_ROWS
-    embeddings.CELL_SIZE = 20
-    try:
-        got = {r.vec_id: r.n_links for r in embeddings.embedding_groups(df, reach=float(np.sqrt(2 - 2 * 0.95))).collect()}
-    finally:
-        embeddings.CELL_SIZE, embeddings.BLOCK_ROWS = old
-    want = brute_links(rows).sum(1) - 1
-    assert want.sum() > 100 and [got[i] for i in range(len(rows))] == want.tolist()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.embedding_groups(df).collect()}
+    link = brute_links(rows)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[r].min() for r in link])
+        if (new == label).all():
+            break
+        label = new
+    want = link.sum(1) - 1
+    assert want.sum() > 100
+    assert [got[i][0] for i in range(len(rows))] == want.tolist()
+    assert [got[i][1] for i in range(len(rows))] == label.tolist()
 
 
 def test_empty_tables(docs_of, spark):
