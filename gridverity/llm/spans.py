@@ -45,7 +45,7 @@ TEXT_BLOCK = 4 << 20
 #: Bytes of strings that a task gathers before it sends them.
 OUTBOX_BYTES = 16 << 20
 #: A minimiser is hot if this share of the sampled documents has it, and its strings would fill so many mean parts.
-HOT_DOCS, HOT_PARTS = 0.02, 8
+HOT_DOCS, HOT_PARTS = 0.02, 32
 #: Sampled documents and bytes, and bytes of the compression's dictionary made from them, at most.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 1 << 20, 1 << 16
 
