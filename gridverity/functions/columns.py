@@ -53,6 +53,16 @@ def grid_lon(index: C, step: float = 0.25) -> Column:
     return col(index).cast("double") * step
 
 
+def header_is_broken(first: C, last: C, n: C, step: C, lo: float = 0.24, hi: float = 0.26) -> Column:
+    """Whether a longitude axis runs from about 0 to about 360 in steps of about 0.25 degrees: its last value wrapped or was rounded."""
+    return (F.abs(col(first)) < 0.5) & (F.abs(col(last) - 360.0) < 0.5) & col(step).between(lo, hi) & (col(n) > 1)
+
+
+def repaired_lon(index: C, lon: C, broken: C, step: float = 0.25) -> Column:
+    """grid_lon() where the header is broken, else the longitude as it is."""
+    return F.when(col(broken), grid_lon(index, step)).otherwise(col(lon))
+
+
 def in_box(lat: C, lon: C, lat0: float, lat1: float, lon0: float, lon1: float) -> Column:
     """Inside an inclusive box; longitudes modulo 360, bounds as given."""
     return col(lat).between(lat0, lat1) & lon360(lon).between(lon0, lon1)
@@ -144,7 +154,7 @@ def to_standard_unit(variable: C, unit: C, value: C, field_mean: C, lead_h: C) -
 
 # --- time ---------------------------------------------------------------------
 
-INIT_FORMATS = ("yyyyMMddHH", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH", "yyyy-MM-dd")
+INIT_FORMATS = ("yyyyMMddHH", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH", "yyyy-MM-dd")
 
 
 def init_time(text: C) -> Column:
@@ -164,6 +174,12 @@ def hours_from_unit(value: C, unit: C) -> Column:
     return col(value) * per
 
 
+def time_from_unit(value: C, unit: C) -> Column:
+    """The time that an axis's value and unit ("hours since 2024-01-01 00:00:00") say; NULL without an epoch."""
+    epoch = init_time(F.regexp_replace(F.trim(F.regexp_extract(F.lower(col(unit)), r"since\s+(\S.*)$", 1)), r"(\.0+|z|utc)$", ""))
+    return F.timestamp_micros((F.unix_micros(epoch) + F.round(hours_from_unit(value, unit) * 3_600_000_000)).cast("long"))
+
+
 def is_leap(year: C) -> Column:
     y = col(year)
     return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
@@ -283,21 +299,34 @@ def members_mean(members: C, propagate: bool = True) -> Column:
 
 
 def members_std(members: C, ddof: int = 0) -> Column:
-    """Standard deviation over members; NULL if one is missing."""
+    """Standard deviation over members; NULL if one is missing.  One pass: sums of the values and squares from the first one on."""
     m = _present(members)
-    mean = ratio(_total(m), F.size(m))
-    ss = F.aggregate(m, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.when(F.size(m) == F.size(col(members)), F.sqrt(ratio(ss, F.size(m) - ddof)))
+    n = F.size(m)
+    step = lambda s, x: F.struct(
+        F.coalesce(s["x0"], x).alias("x0"),
+        (s["a"] + (x - F.coalesce(s["x0"], x))).alias("a"),
+        (s["b"] + (x - F.coalesce(s["x0"], x)) * (x - F.coalesce(s["x0"], x))).alias("b"),
+    )
+    start = F.struct(F.lit(None).cast("double").alias("x0"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    ss = F.aggregate(m, start, step, lambda s: F.greatest(s["b"] - s["a"] * s["a"] / F.nullif(n, F.lit(0)), F.lit(0.0)))
+    return F.when(n == F.size(col(members)), F.sqrt(ratio(ss, n - ddof)))
 
 
 def crps(members: C, obs: C, floor: bool = False) -> Column:
-    """CRPS of a cell: mean |x - o| - sum x_(k) (2k - m - 1) / m^2 over its present members."""
+    """CRPS of a cell: mean |x - o| - sum x_(k) (2k - m - 1) / m^2 over its present members.
+
+    One pass over the sorted members: sums of |x - o|, of x and of x_(k) k.
+    """
     o = col(obs)
-    m = F.array_sort(_present(members))
-    n = F.size(m)
-    away = ratio(_total(F.transform(m, lambda x: F.abs(x - o))), n)
-    spread = ratio(_total(F.transform(m, lambda x, i: x * (2 * (i + 1) - n - 1))), n * n)
-    return F.greatest(away - spread, F.lit(0.0)) if floor else away - spread
+    step = lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["d"] + F.abs(x - o)).alias("d"), (s["t"] + x).alias("t"), (s["r"] + x * (s["n"] + 1)).alias("r"))
+    start = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(x) for x in "dtr"])
+
+    def close(s: Column) -> Column:
+        n = F.nullif(s["n"], F.lit(0))
+        value = s["d"] / n - (2 * s["r"] - (s["n"] + 1) * s["t"]) / (n * n)
+        return F.greatest(value, F.lit(0.0)) if floor else value
+
+    return F.when(o.isNotNull(), F.aggregate(F.array_sort(_present(members)), start, step, close))
 
 
 def exceed_share(members: C, threshold: C) -> Column:

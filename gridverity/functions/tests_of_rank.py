@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType
 
 #: Up to this many pairs, without ties and zeros, the distribution of the statistic is enumerated.
 EXACT_PAIRS = 50
+#: Two values are close if they differ by no more than this, plus this share of the second.
+CLOSE = (1e-8, 1e-5)
 
 
 def exact_p(w_plus: float, n: int) -> float:
@@ -36,24 +38,25 @@ def normal_p(w_plus: float, n: int, tie_term: float) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def signed_rank_p(w_plus: pd.Series, n: pd.Series, n_zero: pd.Series, tie_term: pd.Series) -> pd.Series:
-    """p-value from the statistic, pairs without zeros, dropped zeros, and the tie term; NaN for fewer than two pairs."""
+def signed_rank_p(w_plus: pd.Series, n: pd.Series, n_zero: pd.Series, tie_term: pd.Series, n_apart: pd.Series) -> pd.Series:
+    """p-value from the statistic, pairs without zeros, dropped zeros, the tie term, and pairs that are not close; NaN for fewer than two pairs, 1 if all are close."""
 
-    def one(w, k, z, t):
+    def one(w, k, z, t, apart):
         if k + z < 2:
             return float("nan")
-        if k == 0:
+        if apart == 0:
             return 1.0
         return exact_p(w, int(k)) if t == 0 and z == 0 and k <= EXACT_PAIRS else normal_p(w, int(k), t)
 
-    return pd.Series([one(*x) for x in zip(w_plus, n, n_zero, tie_term, strict=True)], dtype=float)
+    return pd.Series([one(*x) for x in zip(w_plus, n, n_zero, tie_term, n_apart, strict=True)], dtype=float)
 
 
 def signed_rank_statistics(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """w_plus, n (pairs that differ), n_zero and tie_term of each group of pairs; average ranks for ties."""
+    """w_plus, n (pairs that differ), n_zero, tie_term and n_apart (pairs that differ by more than CLOSE allows) of each group of pairs; average ranks for ties."""
     d = F.col(a) - F.col(b)
     x = pairs.where(d.isNotNull() & ~F.isnan(d)).withColumn("__d", d)
-    zeros = x.groupBy(*keys).agg(F.count(F.when(F.col("__d") == 0, 1)).alias("n_zero"))
+    absolute, share = CLOSE
+    zeros = x.groupBy(*keys).agg(F.count(F.when(F.col("__d") == 0, 1)).alias("n_zero"), F.count(F.when(F.abs("__d") > absolute + share * F.abs(F.col(b)), 1)).alias("n_apart"))
     size = F.abs("__d")
     # rank groups of equal size, not rows: a hot group is summed up first
     t = x.where("__d != 0").groupBy(*keys, size.alias("__s")).agg(F.count(F.lit(1)).alias("__t"), F.count(F.when(F.col("__d") > 0, 1)).alias("__p"))
@@ -67,7 +70,7 @@ def signed_rank_statistics(pairs: DataFrame, keys: list[str], a: str = "a", b: s
 
 def wilcoxon(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """The statistics and p of each group of pairs (one small row for each group reaches Python)."""
-    return signed_rank_statistics(pairs, keys, a, b).withColumn("p", signed_rank_p("w_plus", "n", "n_zero", "tie_term"))
+    return signed_rank_statistics(pairs, keys, a, b).withColumn("p", signed_rank_p("w_plus", "n", "n_zero", "tie_term", "n_apart"))
 
 
 def holm(tests: DataFrame, family: list[str], p: str = "p") -> DataFrame:

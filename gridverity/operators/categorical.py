@@ -53,13 +53,22 @@ def composite(table: DataFrame, keys: Keys, weights: dict[float, float], score:
 
 
 def event_histogram(rows: DataFrame, keys: Keys, thresholds: Sequence[float], members: str = "members", o: str = "obs") -> DataFrame:
-    """Cells by threshold, number of members that reach it, and event; only cells with the observation and all members."""
+    """Cells by threshold, number of members that reach it, and event; only cells with the observation and all members.
+
+    Members are counted for all thresholds within their row, and only the counts are copied.
+    """
     whole = rows.where(F.col(o).isNotNull() & ~F.exists(members, lambda x: x.isNull() | F.isnan(x)))
-    x = at_thresholds(whole.withColumn("m", F.size(members)), thresholds)
-    x = x.withColumns({"k": F.size(F.filter(members, lambda v: v >= F.col("threshold"))), "event": (F.col(o) >= F.col("threshold")).cast("int")})
+    each = [F.struct(F.lit(float(t)).alias("threshold"), F.size(F.filter(members, lambda v: v >= F.lit(float(t)))).alias("k"), (F.col(o) >= float(t)).cast("int").alias("event")) for t in thresholds]
+    x = whole.select(*keys, F.size(members).alias("m"), F.explode(F.array(*each)).alias("__x")).select(*keys, "m", "__x.*")
     return x.groupBy(*keys, "threshold", "m", "k").agg(F.count(F.when(F.col("event") == 0, 1)).alias("h0"), F.count(F.when(F.col("event") == 1, 1)).alias("h1"))
 
 
+def member_shares(rows: DataFrame, keep: Keys, thresholds: Sequence[float], members: str = "members", o: str = "obs") -> DataFrame:
+    """(keep, threshold, p, event): share of present members that reach each threshold, and whether the observation does."""
+    each = [F.struct(F.lit(float(t)).alias("threshold"), c.exceed_share(members, F.lit(float(t))).alias("p"), (F.col(o) >= float(t)).cast("int").alias("event")) for t in thresholds]
+    return rows.select(*keep, F.explode(F.array(*each)).alias("__x")).select(*keep, "__x.*")
+
+
 def probability_scores(histogram: DataFrame, keys: Keys) -> DataFrame:
     """bs, base_rate, bs_ref, bss and aroc of each group and threshold of event_histogram()."""
     by = [*keys, "threshold"]
@@ -104,21 +113,24 @@ def weighted_roc(rows: DataFrame, keys: Keys, p: str = "p", event: str = "event"
 
 
 def fractions_skill(cells: DataFrame, keys: Keys, threshold: float, windows: Sequence[int], f: str = "fcst", o: str = "obs", lat_i: str = "lat_i", lon_i: str = "lon_i") -> DataFrame:
-    """Fractions skill score for square windows of n cells; cells beyond the grid count as 0.
+    """Fractions skill score for square windows of n cells, over the cells that are there; those that are not count as 0.
 
-    Two passes of moving sums, along each axis, over the cells that are there.
+    Two passes of moving sums, along each axis, on the full grid of each field's rows
+    and columns: a missing cell hides none of its neighbours.
     """
-    out = None
-    base = cells.select(*keys, lat_i, lon_i, (F.col(f) >= threshold).cast("double").alias("bf"), (F.col(o) >= threshold).cast("double").alias("bo"))
-    for n in windows:
-        h = n // 2
-        row = W.partitionBy(*keys, lat_i).orderBy(lon_i).rangeBetween(-h, h)
-        col = W.partitionBy(*keys, lon_i).orderBy(lat_i).rangeBetween(-h, h)
-        x = base.withColumns({"bf": F.sum("bf").over(row), "bo": F.sum("bo").over(row)})
-        x = x.withColumns({"pf": F.sum("bf").over(col) / (n * n), "po": F.sum("bo").over(col) / (n * n)})
-        x = x.groupBy(*keys).agg((1 - c.ratio(F.sum((F.col("pf") - F.col("po")) ** 2), F.sum(F.col("pf") ** 2 + F.col("po") ** 2))).alias("fss")).withColumn("window", F.lit(n))
-        out = x if out is None else out.unionByName(x)
-    return out
+    base = cells.select(*keys, lat_i, lon_i, (F.col(f) >= threshold).cast("double").alias("__f"), (F.col(o) >= threshold).cast("double").alias("__o"), F.lit(True).alias("__there"))
+    axes = base.groupBy(*keys).agg(F.collect_set(lat_i).alias("__rows"), F.collect_set(lon_i).alias("__cols"))  # as long as the grid's sides
+    grid = axes.select(*keys, F.explode("__rows").alias(lat_i), "__cols").select(*keys, lat_i, F.explode("__cols").alias(lon_i))
+    base = grid.join(base, [*keys, lat_i, lon_i], "left")
+    names = [(n, f"__f{n}", f"__o{n}") for n in windows]
+    row = lambda n: W.partitionBy(*keys, lat_i).orderBy(lon_i).rangeBetween(-(n // 2), n // 2)
+    col = lambda n: W.partitionBy(*keys, lon_i).orderBy(lat_i).rangeBetween(-(n // 2), n // 2)
+    x = base.withColumns({y: F.sum(v).over(row(n)) for n, yf, yo in names for y, v in ((yf, "__f"), (yo, "__o"))})
+    x = x.withColumns({y: F.sum(y).over(col(n)) / (n * n) for n, yf, yo in names for y in (yf, yo)}).where("__there")
+    p = lambda x: F.coalesce(F.col(x), F.lit(0.0))
+    scores = [F.struct(F.lit(n).alias("window"), (1 - c.ratio(F.sum((p(yf) - p(yo)) ** 2), F.sum(p(yf) ** 2 + p(yo) ** 2))).alias("fss")).alias(f"__w{n}") for n, yf, yo in names]
+    x = x.groupBy(*keys).agg(*scores)
+    return x.select(*keys, F.explode(F.array(*[f"__w{n}" for n, _, _ in names])).alias("__x")).select(*keys, "__x.fss", "__x.window")
 
 
 def complete_windows(hours: DataFrame, n_hours: int, station: str = "station_id", time: str = "obs_time", value: str = "rain") -> DataFrame:

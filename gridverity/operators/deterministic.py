@@ -65,7 +65,7 @@ def accumulate(cells: DataFrame, keys: Keys, value: str, n_steps: int, step_h: f
     return out.where(whole).drop("__n", "__lo")
 
 
-def skipped_metrics(wanted: DataFrame, allowed: DataFrame) -> DataFrame:
+def kept_metrics(wanted: DataFrame, allowed: DataFrame) -> DataFrame:
     """(variable, metric) of `wanted` that `allowed` lists, and all metrics of variables it does not mention."""
     known = allowed.select("variable").distinct().withColumn("__known", F.lit(True))
     listed = allowed.select("variable", "metric").distinct().withColumn("__ok", F.lit(True))

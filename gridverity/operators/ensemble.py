@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from .categorical import member_shares
 
 Keys = Sequence[str]
 
@@ -29,11 +30,12 @@ def ensemble_scores(cells: DataFrame, keys: Keys, members: str = "members", o: s
         w_.alias("w"),
         o_.alias("o"),
         c.crps(members, o).alias("crps"),
-        c.crps(members, o, floor=True).alias("crps0"),
         c.members_std(members).alias("sd"),
-        c.members_std(members, 1).alias("sd1"),
+        F.size(members).alias("m"),
         c.members_mean(members).alias("mean"),
     )
+    # what follows from these needs no more passes over the members
+    x = x.withColumns({"crps0": F.greatest("crps", F.lit(0.0)), "sd1": F.col("sd") * F.sqrt(c.ratio(F.col("m").cast("double"), F.col("m") - 1))})
     s2 = F.col("sd") * F.col("sd")
     out = x.groupBy(*keys).agg(
         c.weighted_mean("crps", "w").alias("crps"),
@@ -47,7 +49,5 @@ def ensemble_scores(cells: DataFrame, keys: Keys, members: str = "members", o: s
 
 def brier(cells: DataFrame, keys: Keys, thresholds: Sequence[float], members: str = "members", o: str = "obs", w: str = "w") -> DataFrame:
     """Weighted Brier score of each threshold."""
-    x = cells.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    p = c.exceed_share(members, "threshold")
-    e = (F.col(o) >= F.col("threshold")).cast("double")
-    return x.groupBy(*keys, "threshold").agg(c.weighted_mean((p - e) * (p - e), w).alias("brier"))
+    x = member_shares(cells, [*keys, w], thresholds, members, o)
+    return x.groupBy(*keys, "threshold").agg(c.weighted_mean((F.col("p") - F.col("event")) ** 2, w).alias("brier"))

@@ -85,16 +85,30 @@ def band_columns(powers: DataFrame, keys: Keys, kind: str, bands: Sequence[tuple
 def diagonal_spectrum(cells: DataFrame, keys: Keys, n_lat: int, n_lon: int, k_max: int = 30, value: str = "value") -> DataFrame:
     """P(k) summed over meridional waves l of |sum z exp(i phase)|^2, phase 2 pi (l (j - i) / M + k i / N), one-sided.
 
-    Waves l are orthogonal, so P(k) = M sum_d |sum over cells with (j - i) mod M = d|^2: one aggregation by d, one by k.
-    Missing cells take the field's mean.
+    Waves l are orthogonal, so P(k) = M sum_d |sum over cells with (j - i) mod M = d|^2: each diagonal d is packed
+    and transformed at once, and powers are summed over diagonals.  Missing cells take the field's mean.
     """
     mean = cells.groupBy(*keys).agg(F.avg(value).alias("__mean"))
     x = cells.join(mean, list(keys)).withColumn("__z", F.coalesce(F.col(value), F.col("__mean")))
-    x = x.withColumns({"d": F.pmod(F.col("lat_i") - F.col("lon_i"), F.lit(n_lat)), "k": F.explode(F.sequence(F.lit(0), F.lit(k_max)))})
-    phase = F.lit(2 * math.pi / n_lon) * ((F.col("k") * F.col("lon_i")) % n_lon)
-    x = x.groupBy(*keys, "k", "d").agg(F.sum(F.col("__z") * F.cos(phase)).alias("a"), F.sum(F.col("__z") * F.sin(phase)).alias("b"))
+    x = x.withColumn("__d", F.pmod(F.col("lat_i") - F.col("lon_i"), F.lit(n_lat)))
+    packed = x.groupBy(*keys, "__d").agg(F.collect_list(F.struct((F.col("lon_i") % n_lon).cast("int").alias("at"), F.col("__z").cast("double").alias("z"))).alias("__row"))
+    packed = packed.select(*keys, F.col("__row.at").alias("__at"), F.col("__row.z").alias("__z"))
+    names = list(keys)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields if f.name in names), "p array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for at, z in zip(batch.column("__at"), batch.column("__z"), strict=True):
+                ring = np.bincount(at.values.to_numpy(), z.values.to_numpy(), n_lon)
+                power = np.abs(np.fft.rfft(ring)) ** 2
+                k = np.arange(k_max + 1) % n_lon
+                out.append(power[np.minimum(k, n_lon - k)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.list_(pa.float64()))], names=[*names, "p"])
+
+    x = packed.mapInArrow(run, schema).select(*keys, F.posexplode("p").alias("k", "p"))
     fold = F.when((F.col("k") == 0) | (F.col("k") * 2 == n_lon), 1.0).otherwise(2.0)
-    return x.groupBy(*keys, "k").agg((F.lit(float(n_lat)) * F.sum(F.col("a") ** 2 + F.col("b") ** 2)).alias("p")).withColumn("p", F.col("p") * fold)
+    return x.groupBy(*keys, "k").agg((F.lit(float(n_lat)) * F.sum("p")).alias("p")).withColumn("p", F.col("p") * fold)
 
 
 def quadrature(n_lat: int) -> np.ndarray:
@@ -110,19 +124,26 @@ def quadrature(n_lat: int) -> np.ndarray:
 
 
 def legendre(l_max: int, x: np.ndarray) -> np.ndarray:
-    """Orthonormal associated Legendre functions p[l, m, i] for 0 <= m <= l <= l_max at x[i] (integral of p^2 over x is 1 / 2 pi)."""
-    p = np.zeros((l_max + 1, l_max + 1, len(x)))
-    s = np.sqrt(np.maximum(0.0, 1 - x * x))
-    p[0, 0] = math.sqrt(1 / (4 * math.pi))
-    for m in range(1, l_max + 1):
-        p[m, m] = -math.sqrt((2 * m + 1) / (2 * m)) * s * p[m - 1, m - 1]
-    for m in range(l_max):
-        p[m + 1, m] = math.sqrt(2 * m + 3) * x * p[m, m]
-        for deg in range(m + 2, l_max + 1):
-            a = math.sqrt((4 * deg * deg - 1) / (deg * deg - m * m))
-            b = math.sqrt(((deg - 1) ** 2 - m * m) / (4 * (deg - 1) ** 2 - 1))
-            p[deg, m] = a * (x * p[deg - 1, m] - b * p[deg - 2, m])
-    return p
+    """Orthonormal associated Legendre functions [degree, order, i] for 0 <= order <= degree <= l_max at x[i].
+
+    The integral of a square over x is 1 / 2 pi.  Each degree follows from the two before it, for all orders
+    at once: sqrt((d^2 - m^2) / (4 d^2 - 1)) y(d) = x y(d-1) - sqrt(((d-1)^2 - m^2) / (4 (d-1)^2 - 1)) y(d-2);
+    the order that is new with a degree is the sectoral function, a multiple of (1 - x^2)^(d/2).
+    """
+    coupling = lambda degree, order: np.sqrt((degree**2 - order**2) / (4.0 * degree**2 - 1))
+    table = np.zeros((l_max + 1, l_max + 1, len(x)))
+    height = np.sqrt(np.clip(1 - x**2, 0, None))
+    sectoral = np.full(len(x), 0.5 / math.sqrt(math.pi))
+    for degree in range(l_max + 1):
+        if degree:
+            orders = np.arange(degree)[:, None]
+            lower = x * table[degree - 1, :degree]
+            if degree > 1:
+                lower = lower - coupling(degree - 1, orders) * table[degree - 2, :degree]
+            table[degree, :degree] = lower / coupling(degree, orders)
+            sectoral = sectoral * height * math.sqrt(1 + 0.5 / degree)
+        table[degree, degree] = sectoral
+    return table
 
 
 def spherical_power(field: np.ndarray, l_max: int) -> np.ndarray:

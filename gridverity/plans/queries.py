@@ -205,11 +205,10 @@ def composite_score(spark, d):
     return out.select("model", "lead_h", *r("ts_composite"))
 
 
-@query("""select model, variable, 3 as "window", round(1-sum((pf-po)*(pf-po))/nullif(sum(pf*pf+po*po),0),6)+0.0 as fss from (select model, variable, sum(bf) over v/9.0 as pf, sum(bo) over v/9.0 as po from
- (select model, variable, lat_i, lon_i, sum((fcst>=30)::int::double) over h as bf, sum((obs>=30)::int::double) over h as bo from cells window h as (partition by model, variable, lat_i order by lon_i range between 1 preceding and 1 following))
- window v as (partition by model, variable, lon_i order by lat_i range between 1 preceding and 1 following)) group by 1,2""", cells=CELLS)
+@query("""select model, variable, n as "window", round(1-sum((pf-po)*(pf-po))/nullif(sum(pf*pf+po*po),0),6)+0.0 as fss from (select t.model, t.variable, n, t.lat_i, t.lon_i, sum((c.fcst>=30)::int)/(n*n)::double as pf, sum((c.obs>=30)::int)/(n*n)::double as po
+ from cells t, (select unnest([3,7]) as n), cells c where c.model=t.model and c.variable=t.variable and c.lat_i between t.lat_i-n//2 and t.lat_i+n//2 and c.lon_i between t.lon_i-n//2 and t.lon_i+n//2 group by 1,2,3,4,5) group by 1,2,3""", cells=CELLS)
 def fractions_skill(spark, d):
-    return categorical.fractions_skill(view(spark, d, CELLS), ["model", "variable"], 30.0, [3]).select("model", "variable", "window", *r("fss"))
+    return categorical.fractions_skill(view(spark, d, CELLS), ["model", "variable"], 30.0, [3, 7]).select("model", "variable", "window", *r("fss"))
 
 
 @query("select station_id, count(*) as n, round(sum(total),4)+0.0 as total from (select station_id, sum(rain) over w as total, count(*) over w as k from h window w as (partition by station_id order by obs_time range between interval 5 hours preceding and current row)) where k=6 group by 1", h=HOURS)
@@ -291,7 +290,7 @@ def reference_brier(spark, d):
 
 # --- spectra ------------------------------------------------------------------
 
-_RING = "select vec_id, lat, cos(radians(lat)) as w, unnest(members)::double as x, unnest(range(64)) as i from (select vec_id, embedding as members, cast(vec_id % 13 as double)*14.0-84.0 as lat from embeddings where vec_id < 200)"
+_RING = "select vec_id, lat, cos(radians(lat)) as w, unnest(members)::double as x, unnest(range(64)) as i from (select vec_id, embedding as members, cast(vec_id % 13 as double)*14.0-84.0 as lat from embeddings)"
 _PSD = "select vec_id, any_value(w) as w, k as wavenumber, case when k=0 then 0.0 else (pow(sum((x-m)*cos(2*pi()*((k*i)%64)/64)),2)+pow(sum((x-m)*sin(2*pi()*((k*i)%64)/64)),2))/4096 end as psd from (select *, avg(x) over (partition by vec_id) as m from ring), (select unnest(range(33)) as k) group by 1,3"
 
 
@@ -302,7 +301,7 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(wavenumber as int) as wavenumber, round(sum(w*psd)/sum(w),9)+0.0 as psd, round(40075.0/nullif(wavenumber,0),6)+0.0 as wavelength_km from psd group by 1, wavenumber", ring=_RING, psd=_PSD)
 def zonal_spectrum(spark, d):
-    p = spectra.ring_spectrum_sql(rings(spark, d), ["vec_id", "lat"], 64)
+    p = spectra.ring_spectrum(rings(spark, d), ["vec_id", "lat"])
     return spectra.zonal_spectrum(p, []).select("wavenumber", tidy("psd", 9).alias("psd"), *r("wavelength_km"))
 
 
@@ -691,7 +690,7 @@ def pair_faults(spark, d):
 @query("select w.variable, w.metric from (values ('A','rmse'),('A','acc'),('N','rmse'),('N','acc'),('R','acc')) w(variable,metric) where not (variable='A' and metric='acc')")
 def listed_metrics(spark, d):
     wanted = spark.createDataFrame([("A", "rmse"), ("A", "acc"), ("N", "rmse"), ("N", "acc"), ("R", "acc")], "variable string, metric string")
-    return deterministic.skipped_metrics(wanted, spark.createDataFrame([("A", "rmse"), ("R", "acc")], "variable string, metric string")).select("variable", "metric")
+    return deterministic.kept_metrics(wanted, spark.createDataFrame([("A", "rmse"), ("R", "acc")], "variable string, metric string")).select("variable", "metric")
 
 
 @query("select p.station_id, g.variable, round(g.value,6)+0.0 as value from (select station_id, cast(floor(y) + case when y-floor(y)>0.5 then 1 else 0 end as int) as lat_i, cast(round_even(lon/9.0, 0) as int) % 40 as lon_i from (select *, greatest(0,least(120,(lat+90)/1.5)) as y from pts)) p join g on g.lat_i=p.lat_i and g.lon_i=p.lon_i", g=_GRID, pts=_POINTS)

@@ -14,12 +14,15 @@ def rain_windows(hours: DataFrame, n_hours: int, step_hours: int | None = None,
     """station_id, end, total of windows (end - n_hours, end] that have every hour; late hours are waited for.
 
     Windows of the engine hold their start and not their end, so hours are moved
-    back by a microsecond.  Hours of a station that come twice count once.
+    back by a microsecond.  Hours of a station that come twice count once, with the
+    greater amount.
     """
     x = hours.withColumn("obs_time", F.timestamp_micros(F.unix_micros("obs_time") - 1)).withWatermark("obs_time", lateness)
     by = F.window("obs_time", f"{n_hours} hours", f"{step_hours or n_hours} hours")
-    hour = F.struct("obs_time", "rain")
-    sums = x.groupBy("station_id", by.alias("w")).agg(F.collect_set(hour).alias("h"))
+    sums = x.where("rain is not null").groupBy("station_id", by.alias("w")).agg(F.array_sort(F.collect_set(F.struct("obs_time", "rain"))).alias("h"))
+    # of one hour's entries, which stand together by amount, the last
+    last = F.filter("h", lambda v, i: (i + 1 == F.size("h")) | (F.get("h", i + 1)["obs_time"] != v["obs_time"]))
+    sums = sums.withColumn("h", last)
     total = F.aggregate("h", F.lit(0.0), lambda s, v: s + v["rain"])
     return sums.where(F.size("h") == n_hours).select("station_id", F.col("w.end").alias("end"), total.alias("total"))
 
