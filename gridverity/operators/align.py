@@ -92,6 +92,22 @@ def nearest_cell(points: DataFrame, n_lat: int, n_lon: int, lat0: float, step: f
     return points.withColumns({"lat_i": i.cast("int"), "lon_i": (F.rint(c.lon360("lon") / step) % n_lon).cast("int")})
 
 
+def nearest_stations(grid: DataFrame, stations: DataFrame) -> DataFrame:
+    """(lat_i, lon_i, station_id): the station closest to each grid point, in degrees; ties go to the smaller id.
+
+    Depends on places only, so it is made once for all times; stations are broadcast if they are few.
+    """
+    s = stations.select("station_id", F.col("lat").alias("__la"), F.col("lon").alias("__lo"))
+    d = (F.col("lat") - F.col("__la")) ** 2 + (F.col("lon") - F.col("__lo")) ** 2
+    pairs = grid.select("lat_i", "lon_i", "lat", "lon").crossJoin(F.broadcast(s) if _small(s) else s)
+    return pairs.groupBy("lat_i", "lon_i").agg(F.min_by("station_id", F.struct(d, "station_id")).alias("station_id"))
+
+
+def to_grid(rows: DataFrame, nearest: DataFrame, value: str) -> DataFrame:
+    """Station amounts on a grid by nearest_stations(), negative ones as 0."""
+    return nearest.join(rows, "station_id").withColumn(value, F.greatest(F.col(value), F.lit(0.0))).drop("station_id")
+
+
 def axis_weights(target: DataFrame, index: str, position: str, n: int, x0: float, step: float, extrapolate: bool = True) -> DataFrame:
     """(target index, source index, weight) of linear interpolation along one axis of a regular grid."""
     y = (F.col(position) - x0) / step

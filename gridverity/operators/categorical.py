@@ -101,6 +101,13 @@ def reference_brier(rows: DataFrame, keys: Keys, p: str = "p", event: str = "eve
     return out.withColumn("bss", F.when(F.col("bs_ref") > 0, 1 - F.col("bs") / F.col("bs_ref")))
 
 
+def weighted_brier_skill(rows: DataFrame, keys: Keys, p: str = "p", event: str = "event", w: str = "w") -> DataFrame:
+    """Weighted bs, and bss against the weighted base rate; NULL where the event is certain."""
+    out = rows.groupBy(*keys).agg(c.weighted_mean((F.col(p) - F.col(event)) ** 2, w).alias("bs"), c.weighted_mean(F.col(event).cast("double"), w).alias("__rate"))
+    ref = F.col("__rate") * (1 - F.col("__rate"))
+    return out.withColumn("bss", F.when(ref > 0, 1 - F.col("bs") / ref)).drop("__rate")
+
+
 def weighted_roc(rows: DataFrame, keys: Keys, p: str = "p", event: str = "event", w: str = "w") -> DataFrame:
     """Area under the ROC of weighted points: thresholds are the distinct positive probabilities; closed at (1, 1)."""
     at = rows.groupBy(*keys, p).agg(F.sum(F.when(F.col(event) == 1, F.col(w)).otherwise(0.0)).alias("h"), F.sum(F.when(F.col(event) == 0, F.col(w)).otherwise(0.0)).alias("f"))
@@ -141,6 +148,19 @@ def complete_windows(hours: DataFrame, n_hours: int, station: str = "station_id"
     return out.where(F.col("__n") == n_hours).drop("__s", "__n")
 
 
+def hourly_sums(hours: DataFrame, ends: DataFrame, n_hours: int, keys: Keys, time: str = "obs_time", value: str = "rain") -> DataFrame:
+    """Sums over (end - n_hours, end] for each end, with the hours found and missing; missing hours count as nothing, negative amounts as 0.
+
+    An end without any hour has no row.
+    """
+    seconds = lambda x: F.col(x).cast("timestamp").cast("long")
+    back = F.explode(F.sequence(F.lit(0), F.lit(n_hours - 1)))
+    slots = ends.withColumn("__h", back).withColumn("__s", seconds("end") - F.col("__h") * 3600).drop("__h")
+    x = hours.withColumn("__s", seconds(time)).withColumn(value, F.greatest(F.col(value), F.lit(0.0)))
+    out = slots.join(x.select(*keys, "__s", value), "__s").groupBy("end", *keys).agg(F.sum(value).alias("total"), F.count(value).alias("n_found"))
+    return out.where("n_found > 0").withColumn("n_missing", F.lit(n_hours) - F.col("n_found"))
+
+
 def lenient_windows(hours: DataFrame, n_hours: int, station: str = "station_id", time: str = "obs_time", value: str = "rain") -> DataFrame:
     """Sums over (t - n_hours, t] at each station hour; missing hours and negative amounts are 0."""
     seconds = F.col(time).cast("timestamp").cast("long")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import align, categorical, compare, deterministic, ensemble, spectra, subseasonal, summary, tropical
-from ..sources import archive, gridded
+from ..sources import archive, gridded, station_text
 
 Result = dict[str, DataFrame]
 CAPABILITIES: dict[str, Callable] = {}
+#: Tables of a batch that have rows by start date; the others follow from them.
+DATED = ("rmse", "anomaly", "spectrum_fcst", "spectrum_obs", "bands_fcst", "bands_obs", "spherical_fcst", "spherical_obs", "summary", "long")
 
 
 @dataclass
@@ -67,15 +70,31 @@ def capability(name: str):
 
 
 def run(spark: SparkSession, config: dict | Config) -> Result:
-    """Tables by name, lazily; with `out` set they are written below its fingerprint as well."""
+    """Tables by name, lazily; with `out` set they are written below its fingerprint as well, and read from there.
+
+    Tables by start date are written by date, so a resumed run adds the dates that are not there yet.
+    """
     cfg = config if isinstance(config, Config) else Config.of(config)
+    if not cfg.out:
+        return CAPABILITIES[cfg.type](spark, cfg)
+    root = archive_root(cfg)
+    started = time.time()
     tables = CAPABILITIES[cfg.type](spark, cfg)
-    if cfg.out:
-        root = archive.archive_path(cfg.out, cfg.name, {k: v for k, v in vars(cfg).items() if k not in ("out", "resume")})
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
-        archive.write_meta(spark, f"{root}/meta", vars(cfg))
-    return tables
+    dated = [name for name, df in tables.items() if cfg.type == "batch" and name in DATED and "init" in df.columns]
+    for name in dated:
+        archive.write_scores(tables[name].withColumn("init_date", F.to_date("init")), f"{root}/{name}")
+    later = rolled_up(spark, root) if "rmse" in dated else {}
+    for name in tables:
+        if name not in dated:
+            later.get(name, tables[name]).write.mode("overwrite").parquet(f"{root}/{name}")
+    archive.write_meta(spark, f"{root}/meta", vars(cfg))
+    archive.write_log(spark, f"{root}/log", [{"run": cfg.name, "type": cfg.type, "tables": sorted(tables), "seconds": round(time.time() - started, 3)}])
+    return {name: spark.read.parquet(f"{root}/{name}") for name in tables}
+
+
+def archive_root(cfg: Config) -> str:
+    """Where a run's tables go: its name, and the fingerprint of all that decides its results."""
+    return archive.archive_path(cfg.out, cfg.name, {k: v for k, v in vars(cfg).items() if k not in ("out", "resume")})
 
 
 def run_all(spark: SparkSession, configs: list[dict]) -> dict[str, str | None]:
@@ -115,25 +134,41 @@ def _paired(spark: SparkSession, cfg: Config) -> DataFrame:
     return out
 
 
+def _keys(pairs: DataFrame) -> list[str]:
+    """Groups of field scores: members are scored each, where there are any."""
+    return ["init", "lead_h", "variable", *(["member"] if "member" in pairs.columns else [])]
 
 
 @capability("weather_field_scores")
 def field_scores(spark: SparkSession, cfg: Config) -> Result:
-    pairs, keys = _paired(spark, cfg), ["init", "lead_h", "variable"]
+    pairs = _paired(spark, cfg)
+    keys = _keys(pairs)
     out: Result = {}
     if "rmse" in cfg.metrics:
         out["rmse"] = deterministic.error_scores(pairs, keys)
     if cfg.climo and {"acc", "fa"} & set(cfg.metrics):
         out["anomaly"] = deterministic.anomaly_scores(pairs, keys)
     if "spectrum" in cfg.metrics:
-        for side in ("fcst", "obs"):
-            ring = pairs.groupBy(*keys, "lat_i", "lat").agg(F.transform(F.array_sort(F.collect_list(F.struct("lon_i", side))), lambda s, x=side: s[x]).alias("values"))
-            power = spectra.ring_spectrum(ring.where(~F.exists("values", lambda v: v.isNull())), [*keys, "lat_i", "lat"])
-            out[f"spectrum_{side}"] = spectra.zonal_spectrum(power, keys)
-            out[f"bands_{side}"] = spectra.band_power(out[f"spectrum_{side}"], keys, spectra.band_table(spark))
+        out |= _spectra(spark, pairs, keys, cfg)
     return {k: _listed(df, cfg, "rmse" if k == "rmse" else "spectrum" if k[:2] in ("sp", "ba") else "acc") for k, df in out.items()}
 
 
+def _spectra(spark: SparkSession, pairs: DataFrame, keys: list[str], cfg: Config) -> Result:
+    """Zonal spectra and band powers of both sides, and spherical powers and bands of fields that reach both poles."""
+    out: Result = {}
+    degrees = int(cfg.options.get("degrees", 128))
+    for side in ("fcst", "obs"):
+        ring = pairs.groupBy(*keys, "lat_i", "lat").agg(F.transform(F.array_sort(F.collect_list(F.struct("lon_i", side))), lambda s, x=side: s[x]).alias("values"))
+        whole = ring.where(~F.exists("values", lambda v: v.isNull()))
+        power = spectra.ring_spectrum(whole, [*keys, "lat_i", "lat"])
+        bands = spectra.band_table(spark)
+        out[f"spectrum_{side}"] = spectra.zonal_spectrum(power, keys)
+        out[f"bands_{side}"] = spectra.band_power(out[f"spectrum_{side}"], keys, bands)
+        degree = spectra.spherical_spectrum(whole, keys, degrees)
+        out[f"spherical_{side}"] = spectra.band_power(degree.withColumnRenamed("degree", "wavenumber"), keys, bands, "power")
+    return out
+
+
 def _listed(df: DataFrame, cfg: Config, metric: str) -> DataFrame:
     """Rows of variables whose metrics include this one."""
     banned = [v for v, m in cfg.var_metrics.items() if metric not in m]
@@ -159,6 +194,8 @@ def ens_field_scores(spark: SparkSession, cfg: Config) -> Result:
     out = {"member_rmse": deterministic.error_scores(pairs, [*keys, "member"]), "rmse": deterministic.error_scores(mean, keys)}
     if cfg.climo:
         out["anomaly"] = deterministic.anomaly_scores(mean, keys)
+    if "spectrum" in cfg.metrics:
+        out |= _spectra(spark, mean, keys, cfg)
     return out | ens_crps(spark, cfg)
 
 
@@ -182,11 +219,26 @@ def _rain(spark: SparkSession, cfg: Config, thresholds: tuple[float, ...], windo
     pairs = at.withColumn("valid_time", c.valid_time("init", "lead_h", cfg.tz_shift)).join(obs, ["station_id", "valid_time"]).withColumnRenamed("value", "fcst")
     if not members:
         return {"ts": categorical.contingency_table(pairs, ["lead_h"], thresholds)}
-    packed = pairs.groupBy("station_id", "init", "lead_h", "obs").agg(F.collect_list("fcst").alias("members"))
+    # only stations with all members of their start are counted
+    members_of = pred.groupBy("init").agg(F.count_distinct("member").alias("n_members"))
+    packed = ensemble.pack_members(pairs, ["station_id", "init", "lead_h", "valid_time", "obs"], value="fcst").join(members_of, "init").where(F.size("members") == F.col("n_members"))
     scores = categorical.probability_scores(categorical.event_histogram(packed, ["lead_h"], thresholds), ["lead_h"])
+    if cfg.ref:
+        scores = _against_reference(spark, cfg, packed, scores, thresholds)
     return {"aroc_bss": categorical.with_average(scores, ["lead_h"])}
 
 
+def _against_reference(spark: SparkSession, cfg: Config, packed: DataFrame, scores: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """scores with bs, bs_ref and bss against the reference probabilities in cfg.ref (Parquet, or their text files)."""
+    reference = spark.read.parquet(cfg.ref) if cfg.ref.rstrip("/").endswith(".parquet") else station_text.reference_probabilities(spark, cfg.ref)
+    whole = packed.where(F.col("obs").isNotNull() & ~F.exists("members", lambda x: x.isNull() | F.isnan(x)))
+    rows = station_text.with_reference(whole, reference)
+    shares = categorical.member_shares(rows, ["lead_h", "probs"], thresholds)
+    at = F.array_position(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("threshold")).cast("int")
+    external = categorical.reference_brier(shares.withColumn("p_ref", F.get("probs", at - 1)), ["lead_h", "threshold"])
+    return scores.drop("bs", "bs_ref", "bss").join(external, ["lead_h", "threshold"])
+
+
 @capability("weather_ts_det")
 def ts_det(spark: SparkSession, cfg: Config) -> Result:
     return _rain(spark, cfg, categorical.THRESHOLDS["classic"][24], 24, False)
@@ -204,9 +256,14 @@ def ts_ens_prob(spark: SparkSession, cfg: Config) -> Result:
 
 @capability("typhoon")
 def typhoon(spark: SparkSession, cfg: Config) -> Result:
-    """pred: cells (tcid, init, lead_h, member, lat, lon, msl); obs: a best track."""
+    """pred: cells (tcid, init, lead_h, member, lat, lon, msl and, for intensities, wind); obs: a best track.
+
+    options: tcid (a list of storms), center_half, early_half, early_hours, intensity_half.
+    """
     best = spark.read.parquet(cfg.obs)
     cells = spark.read.parquet(cfg.pred)
+    if storms := cfg.options.get("tcid"):
+        best = best.where(F.col("tcid").isin(*storms))
     starts = tropical.inits_from_best_track(best, cells, cfg.tz_shift)
     first = starts.withColumn("obs_time", c.valid_time("init", F.lit(0.0), cfg.tz_shift)).join(best, ["tcid", "obs_time"]).select("tcid", "init", "lat", "lon")
     run_id = F.concat_ws("|", "tcid", F.col("init").cast("string"), "member")
@@ -215,6 +272,10 @@ def typhoon(spark: SparkSession, cfg: Config) -> Result:
     at = labels.join(first, ["tcid", "init"]).select(F.col("run").alias("tcid"), "lat", "lon")
     found = tropical.track_storms(keyed.select(run_id.alias("tcid"), "lead_h", "lat", "lon", "msl"), at, cfg.options.get("center_half", 3.0), cfg.options.get("early_half", 4.0), cfg.options.get("early_hours", 12.0))
     tracks = found.withColumnRenamed("tcid", "run").join(labels, "run").drop("run")
+    if "wind" in cells.columns:
+        at = tracks.select("tcid", "init", "member", "lead_h", F.col("plat").alias("clat"), F.col("plon").alias("clon"))
+        keys = ["tcid", "init", "member", "lead_h"]
+        tracks = tracks.join(tropical.max_wind(keyed, at, keys, cfg.options.get("intensity_half", 5.0)), keys, "left")
     errors = tropical.track_errors(tropical.match_best_track(tracks, best, cfg.tz_shift), ["tcid", "init", "member"])
     if cfg.ens_agg == "A":
         return {"members": errors, "ensemble": tropical.ensemble_track_mean(errors, ["tcid", "init", "lead_h"])}
@@ -233,7 +294,21 @@ def fdp_field_det(spark: SparkSession, cfg: Config) -> Result:
 
 @capability("fdp_ens")
 def fdp_ens(spark: SparkSession, cfg: Config) -> Result:
-    return ens_crps(spark, cfg)
+    """Floored CRPS, spread, rmse and their ratio; with options["thresholds"] bss and aroc at each and their means, on weighted points."""
+    keys = ["init", "lead_h", "variable"]
+    cells = _paired(spark, cfg).withColumnRenamed("fcst", "value")
+    packed = deterministic.with_weight(ensemble.pack_members(cells, [*keys, "lat_i", "lon_i", "lat", "obs"]))
+    scores = ensemble.ensemble_scores(packed, keys)
+    out = scores.select(*keys, F.col("crps_floored").alias("crps"), F.col("spread_sample").alias("spread"), "rmse", F.col("sample_ratio").alias("spread_error_ratio"))
+    thresholds = cfg.options.get("thresholds", categorical.THRESHOLDS["probability"][6])
+    whole = packed.where(F.col("obs").isNotNull() & ~F.exists("members", lambda x: x.isNull() | F.isnan(x)))
+    shares = categorical.member_shares(whole, [*keys, "w"], thresholds)
+    by = [*keys, "threshold"]
+    skill = categorical.weighted_brier_skill(shares, by).join(categorical.weighted_roc(shares, by), by)
+    tag = lambda name, t: f"{name}_{float(t):g}mm"
+    at = lambda name, t: F.max(F.when(F.col("threshold") == float(t), F.col(name))).alias(tag(name, t))
+    wide = skill.groupBy(*keys).agg(F.avg("bss").alias("bss"), F.avg("aroc").alias("aroc"), *[at(n, t) for n in ("bss", "aroc") for t in thresholds])
+    return {"scores": out.join(wide, keys, "left")}
 
 
 @capability("fdp_activity_spectrum")
@@ -286,21 +361,45 @@ def s2s_det(spark: SparkSession, cfg: Config) -> Result:
 
 @capability("batch")
 def batch(spark: SparkSession, cfg: Config) -> Result:
-    """Field scores of all starts in the periods, and their roll-ups; a resumed run skips dates that its archive has."""
-    scores = field_scores(spark, cfg)
-    rmse = scores["rmse"]
+    """Field scores of all starts in the periods, and their roll-ups; a resumed run skips dates that its archive has.
+
+    options["layout"]: "cells" (one table), "families" (pred holds the tables surface and levels, variables
+    renamed by options["rename"]) or "directories" (both sides are trees of tables by date, wide or long).
+    """
+    scores = field_scores(spark, _laid_out(spark, cfg))
     if cfg.resume and cfg.out:
-        done = archive.finished_dates(spark, f"{cfg.out}/{cfg.name}/dates", "init_date")
-        rmse = rmse.join(done.withColumnRenamed("init_date", "__d"), F.to_date("init") == F.col("__d"), "left_anti")
-    keys = ["variable", "lead_h"]
-    return scores | {
-        "rmse": rmse,
-        "summary": summary.batch_row(rmse, ["init", "variable"], "rmse"),
+        done = archive.finished_dates(spark, f"{archive_root(cfg)}/rmse", "init_date")
+        scores = {k: df.join(done.withColumnRenamed("init_date", "__d"), F.to_date("init") == F.col("__d"), "left_anti") for k, df in scores.items()}
+    return scores | _roll_ups(scores["rmse"])
+
+
+def _roll_ups(rmse: DataFrame) -> Result:
+    keys = ["variable", "lead_h", *(["member"] if "member" in rmse.columns else [])]
+    return {
+        "summary": summary.batch_row(rmse, ["init", *(k for k in keys if k != "lead_h")], "rmse"),
         "mean": summary.mean_over_dates(rmse, keys, ["rmse", "bias"]),
         "long": summary.long_form(rmse, ["init", *keys], ["rmse", "bias"]),
     }
 
 
+def rolled_up(spark: SparkSession, root: str) -> Result:
+    """Roll-ups of all dates that an archive has, those of earlier runs included."""
+    return _roll_ups(spark.read.parquet(f"{root}/rmse").drop("init_date"))
+
+
+def _laid_out(spark: SparkSession, cfg: Config) -> Config:
+    """The configuration with forecast and truth as cell tables, whatever the layout."""
+    layout = cfg.options.get("layout", "cells")
+    if layout == "cells":
+        return cfg
+    if layout == "families":
+        pred: DataFrame | str = gridded.two_families(spark.read.parquet(f"{cfg.pred}/surface"), spark.read.parquet(f"{cfg.pred}/levels"), cfg.options.get("rename", {}))
+        return replace(cfg, pred=pred)
+    if layout == "directories":
+        return replace(cfg, pred=gridded.dual_layout(spark.read.parquet(cfg.pred)), obs=gridded.dual_layout(spark.read.parquet(cfg.obs)))
+    raise ValueError(f"unknown layout {layout!r}")
+
+
 @capability("summarise")
 def summarise(spark: SparkSession, cfg: Config) -> Result:
     """pred: an archive of scores with crps or rmse columns."""

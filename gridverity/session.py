@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +27,18 @@ def builder(app: str = "gridverity", master: str | None = None) -> SparkSession.
     return out.master(master) if master else out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder; a temporary one where a local session names none."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and the driver need a shared folder")
+        named = tempfile.mkdtemp(prefix="gridverity-scratch-")
+        atexit.register(shutil.rmtree, named, True)
+    return f"{named}/scratch-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, unless their Python path already has it."""
     on_path = os.environ.get("PYTHONPATH", "").split(os.pathsep)

@@ -57,10 +57,80 @@ def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_log(spark: SparkSession, path: str, events: Sequence[dict]) -> None:
+    """Append a run's events as JSON lines."""
+    spark.createDataFrame([(json.dumps(e, sort_keys=True, default=str),) for e in events], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def load_archive(spark: SparkSession, root: str, table: str = "rmse", date: str = "init_date") -> tuple[DataFrame, dict]:
+    """A table of an archive by date, and the run's metadata."""
+    meta = [json.loads(r.value) for r in spark.read.text(f"{root}/meta").limit(1).collect()]
+    return spark.read.parquet(f"{root}/{table}"), (meta[0] if meta else {})
+
+
+def strict_dates(scores: DataFrame, dates: DataFrame, models: Sequence[str], date: str = "init", model: str = "model") -> DataFrame:
+    """Rows of the dates; an error if a model lacks one of them."""
+    names = F.explode(F.array(*[F.lit(m).cast(scores.schema[model].dataType) for m in models]))
+    wanted = dates.select(date).distinct().withColumn(model, names)
+    lacking = wanted.join(scores.select(date, model).distinct(), [date, model], "left_anti").limit(1).collect()
+    if lacking:
+        raise ValueError(f"model {lacking[0][model]} has no scores of {lacking[0][date]}")
+    return scores.join(dates.select(date).distinct(), date, "left_semi")
+
+
+def with_means(scores: DataFrame, keys: Keys, member: str = "member") -> DataFrame:
+    """Rows read back for a resumed run: a deterministic member also stands for the ensemble mean where there is none."""
+    has = scores.where(F.col(member) == "ensmean").select(*keys).distinct()
+    det = scores.where(F.col(member) == "det").join(has, list(keys), "left_anti")
+    return scores.unionByName(det.withColumn(member, F.lit("ensmean")))
+
+
+def wavenumber_rows(table: DataFrame) -> DataFrame:
+    """(variable, wavenumber, field, value): rows of a summary table whose scope is a wave number."""
+    x = table.where(F.col("scope") == "wavenumber").select("variable", F.col("wavenumber").try_cast("int").alias("wavenumber"), "field", F.col("value").try_cast("double").alias("value"))
+    return x.where("wavenumber is not null and value is not null")
+
+
+def spectrum_details(table: DataFrame, variable: str | None = None, lead_h: float | None = None) -> DataFrame:
+    """(variable, lead_h, wavenumber, value): rows of a detail table whose group is k=<number>."""
+    x = table.where(F.col("group").rlike(r"^k=\d+$"))
+    if variable is not None:
+        x = x.where(F.col("variable") == variable)
+    if lead_h is not None:
+        x = x.where(F.col("lead_h") == lead_h)
+    return x.select("variable", "lead_h", F.regexp_extract("group", r"(\d+)", 1).cast("int").alias("wavenumber"), "value")
+
+
+def merged_csv(spark: SparkSession, path: str, schema: str, accum_hours: int) -> DataFrame:
+    """CSVs of many starts as one table with init_date, from a file's or folder's name, and accum_hours."""
+    x = spark.read.schema(schema).option("header", True).csv(path).withColumn("__p", F.input_file_name())
+    day = F.regexp_extract("__p", r"(\d{4}-\d{2}-\d{2}|\d{8})[^/]*(/part[^/]*)?$", 1)
+    return x.withColumns({"init_date": F.to_date(F.regexp_replace(day, "-", ""), "yyyyMMdd"), "accum_hours": F.lit(accum_hours)}).drop("__p")
+
+
+def tagged(tables: dict[str, DataFrame], column: str = "table") -> DataFrame:
+    """Several tables as one, each row with its table's name."""
+    out = None
+    for name, df in tables.items():
+        df = df.withColumn(column, F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def markdown(table: DataFrame, order: Keys, most: int = 1_000) -> str:
+    """A small table as Markdown; one of more than `most` rows is an error, as a report should not be cut."""
+    rows = table.orderBy(*order).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows is no report")
+    cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(table.columns) + " |", "|" + " --- |" * len(table.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
 def read_csv_metrics(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
     """Metric CSVs with their file's date and kind; of one date's files `_det` comes first, a bare one next, ensembles last."""
     x = spark.read.schema(schema).option("header", True).csv(list(paths)).withColumn("file", F.input_file_name())
-    name = F.element_at(F.split("file", "/"), -1)
+    name = F.regexp_extract("file", r"([^/]*?)(/part-[^/]*)?$", 1)  # a file, or a folder of parts
     kind = F.when(name.contains("_det"), 0).when(~name.rlike("_(ensmean|ens)"), 1).otherwise(2)
-    x = x.withColumns({"init_date": F.to_date(F.regexp_extract(name, r"(\d{8})", 1), "yyyyMMdd"), "priority": kind})
+    x = x.withColumns({"init_date": F.try_to_timestamp(F.regexp_extract(name, r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date"), "priority": kind})
     return x.withColumn("__b", F.min("priority").over(W.partitionBy("init_date"))).where("priority = __b").drop("__b")

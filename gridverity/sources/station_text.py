@@ -15,7 +15,7 @@ def _lines(spark: SparkSession, paths: Paths, encoding: str = "ISO-8859-1") -> D
 
     Numbers are ASCII in all encodings in use; names in others keep their bytes as Latin-1.
     """
-    raw = spark.read.format("binaryFile").load(list(paths) if not isinstance(paths, str) else paths)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths) if not isinstance(paths, str) else paths)
     lines = F.split(F.decode("content", encoding), r"\r?\n")
     out = raw.select(F.col("path").alias("file"), F.posexplode(lines).alias("n", "line"))
     return out.withColumn("fields", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != "")).where(F.size("fields") > 0)
@@ -39,21 +39,21 @@ def hourly_stations(spark: SparkSession, paths: Paths, strict: bool = True) -> D
     )
     kind = lines.where("n = 0").select("file", F.lower("line").contains("diamond").alias("known"))
     rows = lines.where("n >= 2").select("file", _number(0).cast("long").alias("station_id"), _number(1).alias("lon"), _number(2).alias("lat"), _number(3).alias("alt"), _number(4).alias("rain"))
-    rows = rows.join(F.broadcast(head), "file").join(F.broadcast(kind), "file")  # one row for each file
+    rows = rows.join(head, "file").join(kind, "file")
     good = F.col("known") & F.col("station_id").isNotNull() & F.col("rain").isNotNull() & ~F.isnan("rain") & (F.abs("rain") < float("inf"))
     if not strict:
         return rows.where(good).select("station_id", "obs_time", "lon", "lat", "alt", "rain", "file")
     counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("found"), F.bool_and(F.coalesce(good, F.lit(False))).alias("whole"))
-    rows = rows.join(F.broadcast(counts), "file")
+    rows = rows.join(counts, "file")
     fine = F.col("whole") & (F.col("found") == F.col("declared"))
     checked = F.when(fine, F.col("rain")).otherwise(F.raise_error(F.concat(F.lit("station file is damaged: "), F.col("file"))).cast("double"))
     return rows.select("station_id", "obs_time", "lon", "lat", "alt", checked.alias("rain"), "file")
 
 
 def station_index(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files whose stem is YYYYMMDDHH, with their hour; others are left out."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(F.col("path").alias("file"))
-    return files.withColumn("obs_time", F.try_to_timestamp(F.regexp_extract("file", r"/(\d{10})(\.[^/]*)?$", 1), F.lit("yyyyMMddHH"))).where("obs_time is not null")
+    """Files whose stem is YYYYMMDDHH (or that are parts of a folder of that name), with their hour; others are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select(F.col("path").alias("file"))
+    return files.withColumn("obs_time", F.try_to_timestamp(F.regexp_extract("file", r"[/=](\d{10})(\.[^/]*)?(/part-[^/]*)?$", 1), F.lit("yyyyMMddHH"))).where("obs_time is not null")
 
 
 def whitelist(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +68,7 @@ def keep_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 def reference_probabilities(spark: SparkSession, paths: Paths) -> DataFrame:
     """mmddhh (from the file's name), station_id and its probabilities."""
-    rows = _lines(spark, paths, "UTF-8").select(F.regexp_extract("file", r"/(\d{6})\.000$", 1).alias("mmddhh"), _number(0).cast("long").alias("station_id"), F.transform(F.slice("fields", 2, 4), lambda x: x.try_cast("double")).alias("probs"))
+    rows = _lines(spark, paths, "UTF-8").select(F.regexp_extract("file", r"[/=](\d{6})\.000(/part-[^/]*)?$", 1).alias("mmddhh"), _number(0).cast("long").alias("station_id"), F.transform(F.slice("fields", 2, 4), lambda x: x.try_cast("double")).alias("probs"))
     return rows.where("station_id is not null")
 
 
@@ -84,4 +84,4 @@ def best_track(spark: SparkSession, paths: Paths) -> DataFrame:
     rows = lines.where("n >= 3").where(F.round(_number(4)) == 0)
     time = F.make_timestamp(_number(0).cast("int"), _number(1).cast("int"), _number(2).cast("int"), _number(3).cast("int"), F.lit(0), F.lit(0))
     rows = rows.select("file", time.alias("obs_time"), _number(5).alias("lon"), _number(6).alias("lat"), _number(7).alias("pmin_hpa"), _number(8).alias("vmax_ms"))
-    return rows.join(F.broadcast(head), "file").select("tcid", "tcname", "obs_time", "lat", "lon", "pmin_hpa", "vmax_ms")
+    return rows.join(head, "file").select("tcid", "tcname", "obs_time", "lat", "lon", "pmin_hpa", "vmax_ms")

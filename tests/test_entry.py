@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import gridverity.plans.source_queries  # noqa: F401  (registers queries)
 from gridverity.plans.queries import ORACLE, QUERIES
 
 
