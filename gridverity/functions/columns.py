@@ -55,7 +55,7 @@ def grid_lon(index: C, step: float = 0.25) -> Column:
 
 def header_is_broken(first: C, last: C, n: C, step: C, lo: float = 0.24, hi: float = 0.26) -> Column:
     """Whether a longitude axis runs from about 0 to about 360 in steps of about 0.25 degrees: its last value wrapped or was rounded."""
-    return (F.abs(col(first)) < 0.5) & (F.abs(col(last) - 360.0) < 0.5) & col(step).between(lo, hi) & (col(n) > 1)
+    return (F.abs(col(first)) < 0.1) & (F.abs(col(last) - 360.0) < 0.1) & col(step).between(lo, hi) & (col(n) > 1)
 
 
 def repaired_lon(index: C, lon: C, broken: C, step: float = 0.25) -> Column:
@@ -309,7 +309,7 @@ def members_std(members: C, ddof: int = 0) -> Column:
     )
     start = F.struct(F.lit(None).cast("double").alias("x0"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
     ss = F.aggregate(m, start, step, lambda s: F.greatest(s["b"] - s["a"] * s["a"] / F.nullif(n, F.lit(0)), F.lit(0.0)))
-    return F.when(n == F.size(col(members)), F.sqrt(ratio(ss, n - ddof)))
+    return F.when(n == F.size(col(members)), F.sqrt(ratio(ss, F.greatest(n - ddof, F.lit(0)))))
 
 
 def crps(members: C, obs: C, floor: bool = False) -> Column:

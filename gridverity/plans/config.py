@@ -158,7 +158,8 @@ def _spectra(spark: SparkSession, pairs: DataFrame, keys: list[str], cfg: Config
     out: Result = {}
     degrees = int(cfg.options.get("degrees", 128))
     for side in ("fcst", "obs"):
-        ring = pairs.groupBy(*keys, "lat_i", "lat").agg(F.transform(F.array_sort(F.collect_list(F.struct("lon_i", side))), lambda s, x=side: s[x]).alias("values"))
+        ring = pairs.groupBy(*keys, "lat_i", "lat").agg(F.array_sort(F.collect_list(F.struct("lon_i", side))).alias("values"))
+        ring = ring.withColumn("values", F.col(f"values.{side}"))
         whole = ring.where(~F.exists("values", lambda v: v.isNull()))
         power = spectra.ring_spectrum(whole, [*keys, "lat_i", "lat"])
         bands = spectra.band_table(spark)

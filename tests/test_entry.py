@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import gridverity.plans.source_queries  # noqa: F401  (registers queries)
+import gridverity.plans.capability_queries  # noqa: F401  (registers queries)
+import gridverity.plans.source_queries  # noqa: F401
 from gridverity.plans.queries import ORACLE, QUERIES
 
 

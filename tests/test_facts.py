@@ -152,3 +152,42 @@ def test_member_offsets(spark):
     df = spark.createDataFrame(cells, "k int, obs double, members array<double>").withColumns({"w": F.lit(1.0), "v": F.lit("a")})
     r = one(ensemble.ensemble_scores(df, ["v"]))
     assert r["rmse"] == pytest.approx(0.1) and r["spread"] == pytest.approx(np.std([-0.3, 0.1, 0.5]))
+
+
+def test_fractions_skill_sees_past_missing_cells(spark):
+    rng = np.random.default_rng(2)
+    there = {(i, j): (float(rng.integers(0, 2)), float(rng.integers(0, 2))) for i in range(20) for j in range(20) if rng.random() < 0.3}
+    df = spark.createDataFrame([(1, i, j, f, o) for (i, j), (f, o) in there.items()], "g int, lat_i int, lon_i int, fcst double, obs double")
+    got = {r.window: r.fss for r in categorical.fractions_skill(df, ["g"], 1.0, [1, 3, 5]).collect()}
+    for n in (1, 3, 5):
+        h = n // 2
+        sums = [[sum(there.get((i + a, j + b), (0, 0))[s] for a in range(-h, h + 1) for b in range(-h, h + 1)) / n**2 for s in (0, 1)] for i, j in there]
+        want = 1 - sum((p - q) ** 2 for p, q in sums) / sum(p * p + q * q for p, q in sums)
+        assert got[n] == pytest.approx(want)
+
+
+def test_member_kernels(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.normal()), [float(x) for x in rng.normal(size=n) + 1e6]) for n in (1, 2, 7, 40)] + [(1.0, []), (None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "o double, m array<double>")
+    got = df.select(c.members_std("m").alias("s"), c.members_std("m", 1).alias("s1"), c.crps("m", "o").alias("x"), c.crps("m", "o", floor=True).alias("x0")).collect()
+    for r, (o, m) in zip(got, rows):
+        assert r.s is None if not m else r.s == pytest.approx(np.std(m), rel=1e-6, abs=1e-6)
+        assert r.s1 is None if len(m) < 2 else r.s1 == pytest.approx(np.std(m, ddof=1), rel=1e-6)
+        assert (r.x is None) == (o is None or not m)
+
+
+def test_pairs_that_are_close_are_no_difference(spark):
+    from gridverity.functions.tests_of_rank import wilcoxon
+
+    rows = [(1, 10.0 + 1e-6 * i, 10.0) for i in range(1, 8)] + [(2, 10.0 + i, 10.0) for i in range(1, 8)]
+    got = {r.g: r.p for r in wilcoxon(spark.createDataFrame(rows, "g int, a double, b double"), ["g"]).collect()}
+    assert got[1] == 1.0 and got[2] == pytest.approx(2 / 2**7)
+
+
+def test_headers_and_time_units(spark):
+    df = spark.createDataFrame([(0.0, 360.0, 1440), (0.0, 359.75, 1440), (-180.0, 179.75, 1440)], "a double, b double, n int")
+    got = df.select(c.header_is_broken("a", "b", "n", F.lit(0.25)).alias("x"), c.repaired_lon(F.lit(1439), "b", c.header_is_broken("a", "b", "n", F.lit(0.25))).alias("y")).collect()
+    assert [r.x for r in got] == [True, False, False] and [r.y for r in got] == [359.75, 359.75, 179.75]
+    df = spark.createDataFrame([(36.0, "hours since 2024-01-01"), (1.5, "Days since 2024-01-01 00:00:00.0"), (5400.0, "seconds since 1970-01-01T00:00:00Z"), (1.0, "hours")], "v double, u string")
+    assert [None if r.t is None else str(r.t) for r in df.select(c.time_from_unit("v", "u").alias("t")).collect()] == ["2024-01-02 12:00:00", "2024-01-02 12:00:00", "1970-01-01 01:30:00", None]

@@ -36,18 +36,48 @@ def test_field_scores(spark, data):
 
 def test_spectrum_and_bbox(spark, data):
     out = config.run(spark, {"type": "weather_field_scores", "pred": f"{data}/pred", "obs": f"{data}/obs", "bbox": [-60, 60, 0, 90]})
-    assert {r.n for r in out["rmse"].collect()} == {3 * 3 * 2}
+    assert {(r.n, r.member) for r in out["rmse"].collect()} == {(3 * 3, "a"), (3 * 3, "b")}  # members are scored each
     with pytest.raises(ValueError, match="unknown type"):
         config.Config.of({"type": "nothing"})
     with pytest.raises(ValueError, match="unknown settings"):
         config.Config.of({"type": "batch", "x": 1})
 
 
+def test_spherical_bands_of_global_fields(spark, sf_dir, tmp_path):
+    """The bands of the capability are those of the kernel on each field; a regional field has zonal bands only."""
+    import numpy as np
+
+    from gridverity.operators import spectra
+    from gridverity.plans.capability_queries import ring_fields
+
+    given = {"type": "weather_field_scores", "metrics": ["spectrum"], "options": {"degrees": 6}, **ring_fields(spark, sf_dir, str(tmp_path))}
+    out = config.run(spark, given)
+    got = {(r.init.day - 1 + 31 * (r.init.month - 1), r.band): r.power for r in out["spherical_fcst"].collect()}
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    whole = [f for f in range(len(vectors) // 13) if all(13 * f + i in vectors for i in range(13))]
+    assert len(whole) > 3 and {f for f, _ in got} == set(whole)
+    for f in whole[:4]:
+        power = spectra.spherical_power(np.array([vectors[13 * f + i] for i in range(13)]), 6)
+        assert got[f, "1_4"] == pytest.approx(power[1:5].sum()) and got[f, "5_20"] == pytest.approx(power[5:].sum())
+    twice = {(r.init.day - 1 + 31 * (r.init.month - 1), r.band): r.power for r in out["spherical_obs"].collect()}
+    assert all(twice[k] == pytest.approx(4 * v) for k, v in got.items())
+    regional = config.run(spark, {**given, "bbox": [-60, 60, 0, 360]})
+    assert regional["spherical_fcst"].count() == 0 and regional["bands_fcst"].count() > 0
+
+
+def test_typhoon_intensities_and_storms(spark, sf_dir, tmp_path):
+    from gridverity.plans.capability_queries import _storm_tables
+
+    out = config.run(spark, {"type": "typhoon", **_storm_tables(spark, sf_dir, str(tmp_path), tcid=[3])})
+    rows = out["members"].collect()
+    assert rows and {r.tcid for r in rows} == {3} and all(r.vmax is not None for r in rows)
+
+
 def test_batch_and_several(spark, data):
     cfg = {"type": "batch", "pred": f"{data}/pred", "obs": f"{data}/obs", "periods": [["2024-01-01", "2024-01-01"]]}
     out = config.run(spark, cfg)
     assert {r.init for r in out["rmse"].collect()} == {dt.datetime(2024, 1, 1)}
-    assert out["summary"].count() == 1 and out["long"].count() == 4
+    assert out["summary"].count() == 2 and out["long"].count() == 8  # of each member
     assert list(config.run_all(spark, [{**cfg, "name": "a"}, {**cfg, "name": "b", "pred": f"{data}/none"}]).values())[0] is None
 
 
