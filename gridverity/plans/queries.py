@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.columns import tidy
-from ..functions.tests_of_rank import signed_rank_statistics
+from ..functions.tests_of_rank import holm, signed_rank_statistics
 from ..operators import align, categorical, compare, deterministic, ensemble, spectra, subseasonal, summary, tropical
+from ..session import scratch
+from ..sources import gridded
 from .views import ARCHIVE, CELLS, DAILY, FC, FCC, HOURS, REGIONS, SPECTRA, TRACK, oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -714,8 +716,91 @@ def deterministic_summary(spark, d):
     return summary.deterministic_summary(x, ["variable"]).select("variable", *r("fa_pred", "fa_bias", "fa_ratio"), "n_dates")
 
 
-@query("select p_type, count(*) as n from (select part.*, percent_rank() over (order by p_partkey) from part) where p_size between 10 and 20 group by 1")
+@query("select variable, lead_h, count(value) as n, round(sum(value),4)+0.0 as value from (select variable, lead_h, case when obs < 45 then fcst end as value from fc) where variable in ('A','R') and lead_h between 12 and 24 group by 1,2", fc=FC)
 def pruned_scan(spark, d):
-    """A scan that reads two columns and pushes its filter down."""
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_type", "p_size").where("p_size between 10 and 20")
-    return part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    """Cells of two variables and some leads: the scan reads what is asked for, and fill values are missing."""
+    path = f"{scratch(spark)}/cells"
+    fill = F.when(F.col("obs") < 45, F.col("fcst")).otherwise(9.9e30)
+    view(spark, d, FC).select("variable", "lead_h", "lat_i", "lon_i", fill.alias("value")).write.parquet(path)
+    x = gridded.cells(spark, path, ["A", "R"], (12, 24))
+    return x.groupBy("variable", "lead_h").agg(F.count("value").alias("n"), tidy(F.sum("value"), 4).alias("value"))
+
+
+# --- tests of pairs, the chained search, and compatible forms -----------------
+
+_DAILYRMSE = f"select model, variable, init, avg(rmse) as rmse from ({ARCHIVE}) a group by 1, 2, 3"
+
+
+@query("select x.variable, x.model as model_a, y.model as model_b, round(avg(x.rmse),6)+0.0 as mean_a, round(avg(y.rmse),6)+0.0 as mean_b, round(100*(avg(x.rmse)-avg(y.rmse))/avg(y.rmse),6)+0.0 as delta_pct, count(*) filter (x.rmse<>y.rmse) as n from s x join s y on x.variable=y.variable and x.init=y.init and x.model<y.model group by 1,2,3", s=_DAILYRMSE)
+def pair_deltas(spark, d):
+    out = compare.pair_report(view(spark, d, _DAILYRMSE), ["variable"], "rmse")
+    return out.select("variable", "model_a", "model_b", *r("mean_a", "mean_b", "delta_pct"), "n")
+
+
+_PVALUES = f"select variable, lead_h, model, case when model = 3 then null else avg(abs(fcst - obs)) / 1000 * lead_h end as p from ({FC}) f group by 1, 2, 3"
+
+
+@query("select variable, lead_h, model, round(p,9)+0.0 as p, round(case when p is not null then least(1, max(raw) over (partition by variable, p is null order by p rows unbounded preceding)) end,9)+0.0 as p_holm from (select *, (count(p) over (partition by variable) - row_number() over (partition by variable, p is null order by p) + 1) * p as raw from t)", t=_PVALUES)
+def holm_correction(spark, d):
+    return holm(view(spark, d, _PVALUES), ["variable"]).select("variable", "lead_h", "model", tidy("p", 9).alias("p"), tidy("p_holm", 9).alias("p_holm"))
+
+
+_BOX = f"select model as tcid, lead_h, lat, lon, avg(fcst) as msl from ({FC}) f where lat between -30 and 30 and lon between 100 and 200 group by 1, 2, 3, 4"
+_STARTS = "select tcid, arg_min(lat, row(msl,lat,lon)) as la, arg_min(lon, row(msl,lat,lon)) as lo, null::double as lead_h, null::double as pmin from b where lead_h=6 group by 1"
+
+
+def _step(k: int) -> str:
+    half = 4 if 6 * k <= 12 else 3
+    near = f"abs(b.lat-s.la)<={half} and abs((b.lon-s.lo+180)-360*floor((b.lon-s.lo+180)/360)-180)<={half}"
+    pick = lambda x: f"arg_min(b.{x}, row(b.msl,b.lat,b.lon))"
+    return f"select s.tcid, coalesce({pick('lat')}, any_value(s.la)) as la, coalesce({pick('lon')}, any_value(s.lo)) as lo, case when min(b.msl) is not null then {6 * k}::double end as lead_h, min(b.msl) as pmin from s{k - 1} s left join b on b.tcid=s.tcid and b.lead_h={6 * k} and {near} group by 1"
+
+
+@query(" union all ".join(f"select tcid, lead_h, la as plat, lo as plon, round(pmin,6)+0.0 as pmin from s{k} where lead_h is not null" for k in range(1, 8)), b=_BOX, s0=_STARTS, **{f"s{k}": _step(k) for k in range(1, 8)})
+def chained_search(spark, d):
+    """Each lead looks around the centre of the lead before; a lead without a cell there keeps the centre."""
+    cells = view(spark, d, _BOX)
+    starts = cells.where("lead_h = 6").groupBy("tcid").agg(F.min_by("lat", F.struct("msl", "lat", "lon")).alias("lat"), F.min_by("lon", F.struct("msl", "lat", "lon")).alias("lon"))
+    return tropical.track_storms(cells, starts).select("tcid", "lead_h", "plat", "plon", *r("pmin"))
+
+
+_GAPS = f"select model, variable, lat, case when lat_i % 5 <> 0 then fcst end as fcst, case when lon_i % 7 <> 0 then obs end as obs, 20.0 + lat_i % 7 as clim from ({CELLS}) x"
+_JOINT = "sum(case when fcst is not null and obs is not null then w end)"
+
+
+def _activity(side: str) -> str:
+    return f"round(sqrt(greatest(sum(w*pow({side}-clim,2))/{_JOINT}-pow(sum(w*({side}-clim))/{_JOINT},2),0)),5)+0.0"
+
+
+@query(f"select model, variable, {_activity('fcst')} as fa_pred, {_activity('obs')} as fa_obs from (select *, {W} as w from g) group by 1,2", g=_GAPS)
+def published_activity(spark, d):
+    """Sums over one side alone, weights over cells of both."""
+    out = deterministic.anomaly_scores(view(spark, d, _GAPS), ["model", "variable"], compat=True)
+    return out.select("model", "variable", tidy("fa_pred", 5).alias("fa_pred"), tidy("fa_obs", 5).alias("fa_obs"))
+
+
+@query("""select variable, count(value) as n, round(avg(value),6)+0.0 as value from (select p.station_id, g.variable, case when count(g.value)=4 then sum(g.value*wt) end as value from
+  (select station_id, i+a as lat_i, cast(j as int)+b as lon_i, (case a when 1 then y-i else 1-(y-i) end)*(case b when 1 then x-j else 1-(x-j) end) as wt from
+   (select station_id, y, x, cast(least(floor(y),119) as int) as i, cast(least(floor(x),38) as int) as j from (select station_id, greatest(0,least(120,(lat+90)/1.5)) as y, lon/9.0 as x from pts) where x between 0 and 39), (select unnest([0,1]) as a), (select unnest([0,1]) as b)) p
+  join g on g.lat_i=p.lat_i and g.lon_i=p.lon_i group by 1,2) group by 1""", g=_GRID, pts=_POINTS)
+def station_bilinear_regional(spark, d):
+    """A regional grid does not wrap: stations beyond its columns have no value."""
+    y = F.greatest(F.lit(0.0), F.least(F.lit(120.0), (F.col("lat") + 90) / 1.5))
+    scaled = view(spark, d, _POINTS).withColumn("lat", -90 + 9.0 * y)
+    w = align.corner_weights(scaled, 121, 40, -90.0, 9.0, wrap=False)
+    out = align.to_stations(view(spark, d, _GRID), w, ["variable"], "value")
+    return out.groupBy("variable").agg(F.count("value").alias("n"), tidy(F.avg("value")).alias("value"))
+
+
+@query("select model, variable, max(case when k>=n-1 then abs(dv) end) < 20 as plateau, count(*) filter (dv > 0.005) as n_rises, min(lead_h) filter (value < 40) as first_below from (select *, value - lag(value) over w as dv, row_number() over w as k, count(*) over (partition by model, variable) as n from curve window w as (partition by model, variable order by lead_h)) group by 1,2", curve=_CURVE)
+def curve_plateaus(spark, d):
+    out = summary.curve_changes(view(spark, d, _CURVE), ["model", "variable"], "value", eps=20.0, floor=40.0)
+    rises = summary.curve_changes(view(spark, d, _CURVE), ["model", "variable"], "value").select("model", "variable", "n_rises")
+    return out.select("model", "variable", "plateau", "first_below").join(rises, ["model", "variable"])
+
+
+@query("select x.model as model_a, y.model as model_b, count(distinct x.variable) as n_variables from s x join s y on x.variable=y.variable and x.init=y.init and x.model<y.model group by 1,2", s=_DAILYRMSE)
+def win_totals(spark, d):
+    """Wins, losses and ties of each pair add up to the variables."""
+    out = compare.win_counts(compare.pair_report(view(spark, d, _DAILYRMSE), ["variable"], "rmse"))
+    return out.select("model_a", "model_b", (F.col("n_a") + F.col("n_b") + F.col("n_tie")).alias("n_variables"))

@@ -105,3 +105,20 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {(r.station_id, r.end, r.total) for r in spark.sql("select * from rain_out").collect()}
     want = {(r.station_id, r.obs_time, r.total) for r in categorical.complete_windows(df, 6).where("hour(obs_time) % 6 = 0").collect()}
     assert got == want and len(got) == 9
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    import json
+
+    from gridverity.__main__ import main
+
+    good = {"type": "batch", "name": "good", "pred": f"{data}/pred", "obs": f"{data}/obs", "out": f"{tmp_path}/out"}
+    (tmp_path / "a.json").write_text(json.dumps([good, {**good, "name": "bad", "pred": f"{tmp_path}/none"}]))
+    assert main(["run", f"{tmp_path}/a.json"]) == 1
+    assert "good: done" in capsys.readouterr().out
+    root = next((tmp_path / "out" / "good").glob("fingerprint=*"))
+    assert {"rmse", "mean", "summary", "long", "meta", "log"} <= {x.name for x in root.iterdir()}
+    assert main(["report", "--model", f"a={root}/rmse", "--model", f"b={root}/rmse", "--out", f"{tmp_path}/report", "--title", "Two of one"]) == 0
+    text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/report/report", wholetext=True).collect())
+    assert text.startswith("# Two of one") and "| a |" in text
+    assert main(["report", "--model", "a=x", "--out", f"{tmp_path}/r"]) == 2
