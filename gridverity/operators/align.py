@@ -119,8 +119,8 @@ def axis_weights(target: DataFrame, index: str, position: str, n: int, x0: float
 
 def regrid(cells: DataFrame, lat_weights: DataFrame, lon_weights: DataFrame, keys: Keys, value: str) -> DataFrame:
     """Bilinear regridding by two axis_weights() tables (to_lat, source, weight), (to_lon, source, weight), one axis after the other."""
-    lat = F.broadcast(lat_weights.select("to_lat", F.col("source").alias("lat_i"), F.col("weight").alias("wy")))  # two rows for each grid line
-    lon = F.broadcast(lon_weights.select("to_lon", F.col("source").alias("lon_i"), F.col("weight").alias("wx")))
+    lat = lat_weights.select("to_lat", F.col("source").alias("lat_i"), F.col("weight").alias("wy"))  # two rows for each grid line
+    lon = lon_weights.select("to_lon", F.col("source").alias("lon_i"), F.col("weight").alias("wx"))
     rows = cells.join(lat, "lat_i").groupBy(*keys, "to_lat", "lon_i").agg(F.sum(F.col(value) * F.col("wy")).alias(value))
     return rows.join(lon, "lon_i").groupBy(*keys, "to_lat", "to_lon").agg(F.sum(F.col(value) * F.col("wx")).alias(value))
 

@@ -37,7 +37,7 @@ def anomaly_scores(cells: DataFrame, keys: Keys, f: str = "fcst", o: str = "obs"
 
 def region_scores(cells: DataFrame, regions: DataFrame, keys: Keys, f: str = "fcst", o: str = "obs") -> DataFrame:
     """error_scores of each region (name, lat0, lat1, lon0, lon1); regions may overlap and cross 0 degrees."""
-    inside = cells.join(F.broadcast(regions), c.in_region("lat", "lon", "lat0", "lat1", "lon0", "lon1"))  # a handful of rows
+    inside = cells.join(regions, c.in_region("lat", "lon", "lat0", "lat1", "lon0", "lon1"))
     return error_scores(inside, ["name", *keys], f, o)
 
 
@@ -69,13 +69,13 @@ def kept_metrics(wanted: DataFrame, allowed: DataFrame) -> DataFrame:
     """(variable, metric) of `wanted` that `allowed` lists, and all metrics of variables it does not mention."""
     known = allowed.select("variable").distinct().withColumn("__known", F.lit(True))
     listed = allowed.select("variable", "metric").distinct().withColumn("__ok", F.lit(True))
-    rows = wanted.join(F.broadcast(known), "variable", "left").join(F.broadcast(listed), ["variable", "metric"], "left")
+    rows = wanted.join(known, "variable", "left").join(listed, ["variable", "metric"], "left")
     return rows.where(F.col("__known").isNull() | F.col("__ok")).drop("__known", "__ok")
 
 
 def weighted_region_mean(values: DataFrame, regions: DataFrame, keys: Keys, value: str) -> DataFrame:
     """cos(lat)-weighted mean of a gridded score in each region, missing cells skipped."""
-    inside = values.join(F.broadcast(regions), c.in_region("lat", "lon", "lat0", "lat1", "lon0", "lon1"))
+    inside = values.join(regions, c.in_region("lat", "lon", "lat0", "lat1", "lon0", "lon1"))
     return with_weight(inside).groupBy("name", *keys).agg(c.weighted_mean(value, "w").alias(value))
 
 

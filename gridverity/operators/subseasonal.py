@@ -49,11 +49,13 @@ def daily_anomaly(daily: DataFrame, clim: DataFrame, keys: Keys, value: str = "v
     return daily.withColumn("mmdd", F.date_format("day", "MMdd")).join(clim, [*keys, "mmdd"]).withColumn("anomaly", F.col(value) - F.col("clim"))
 
 
-def assemble_leads(starts: DataFrame, daily: DataFrame, keys: Keys, n_leads: int = 60, value: str = "anomaly") -> DataFrame:
-    """Each start date's days +1 to +n_leads, leap days passed over; a missing day is NULL."""
+def assemble_leads(starts: DataFrame, daily: DataFrame, keys: Keys, n_leads: int = 60, value: str = "anomaly", dense: bool = True) -> DataFrame:
+    """Each start date's days +1 to +n_leads, leap days passed over; a missing day is NULL if dense, else it has no row."""
     ordinal = lambda d: F.year(d) * 365 + F.dayofyear(d) - F.when(c.is_leap(F.year(d)) & (F.dayofyear(d) > 59), 1).otherwise(0)
     days = daily.where(F.date_format("day", "MMdd") != "0229").withColumn("ordinal", ordinal("day"))
     want = starts.withColumn("lead_day", F.explode(F.sequence(F.lit(1), F.lit(n_leads)))).withColumn("ordinal", ordinal("init_date") + F.col("lead_day"))
+    if not dense:
+        return want.join(days.select(*keys, "ordinal", value), "ordinal").select("init_date", "lead_day", *keys, value)
     if keys:  # the result has each start, lead and cell: that many rows are asked for
         want = want.join(daily.select(*keys).distinct(), how="cross")
     return want.join(days.select(*keys, "ordinal", value), [*keys, "ordinal"], "left").select("init_date", "lead_day", *keys, value)

@@ -348,7 +348,7 @@ def s2s_det(spark: SparkSession, cfg: Config) -> Result:
     pred = spark.read.parquet(cfg.pred).groupBy("init_date", "lead_day", *cell, "lat", "lon").agg(F.avg("value").alias("value"))
     model_clim = pred.withColumn("mmdd", F.date_format("init_date", "MMdd")).groupBy("mmdd", "lead_day", *cell).agg(F.avg("value").alias("clim"))
     model = pred.withColumn("mmdd", F.date_format("init_date", "MMdd")).join(model_clim, ["mmdd", "lead_day", *cell]).withColumn("fcst", F.col("value") - F.col("clim"))
-    truth = subseasonal.assemble_leads(pred.select("init_date").distinct(), anomaly, cell, int(cfg.options.get("lead_time", 60)))
+    truth = subseasonal.assemble_leads(pred.select("init_date").distinct(), anomaly, cell, int(cfg.options.get("lead_time", 60)), dense=False)
     f = subseasonal.weekly_means(model, ["init_date", *cell, "lat", "lon"], "fcst")
     o = subseasonal.weekly_means(truth, ["init_date", *cell], "anomaly")
     skill = subseasonal.temporal_skill(f.join(o, ["init_date", "week", *cell]), ["week", *cell, "lat", "lon"], "fcst", "anomaly")

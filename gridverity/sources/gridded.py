@@ -209,7 +209,7 @@ def composite_target(stores: Sequence[DataFrame]) -> DataFrame:
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     out = out.withColumn("__key", alias_key(F.col("variable")))
     first = out.groupBy("__key").agg(F.min("__rank").alias("__rank"))  # a row for each variable
-    return out.join(F.broadcast(first), ["__key", "__rank"], "left_semi").drop("__key", "__rank")
+    return out.join(first, ["__key", "__rank"], "left_semi").drop("__key", "__rank")
 
 
 # --- checks -------------------------------------------------------------------
