@@ -5,6 +5,11 @@ Text formats are written to the shared scratch folder from the tables, and read
 
 from __future__ import annotations
 
+import itertools
+import json
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +17,7 @@ from ..functions import columns as c
 from ..functions.columns import tidy
 from ..operators import align, categorical, compare, deterministic, report, summary
 from ..session import scratch
-from ..sources import archive, gridded, station_text
+from ..sources import archive, gridded, netcdf, station_text
 from .queries import query, r
 from .views import ARCHIVE, CELLS, FC, HOURS, SPECTRA, view
 
@@ -324,6 +329,66 @@ def stations_to_grid(spark, d):
     return align.to_grid(st.select("station_id", "rain"), align.nearest_stations(grid, st), "rain").select("lat_i", "lon_i", tidy("rain", 4).alias("rain"))
 
 
+# --- array files --------------------------------------------------------------
+
+_CUBE = f"select model, cast(lead_h as int) as lead_h, variable, cast(lat_i % 12 as int) as lat_i, cast(lon_i % 24 as int) as lon_i, avg(fcst) as value from ({FC}) f group by 1, 2, 3, 4, 5"
+
+
+def _cube(spark: SparkSession, d: str) -> np.ndarray:
+    """(model, lead, variable, lat, lon) of the demonstration's forecasts on a grid of fixed size; NaN where there is nothing."""
+    out = np.full((4, 7, 3, 12, 24), np.nan)
+    for x in view(spark, d, _CUBE).collect():  # the grid's cells at most
+        out[x.model, x.lead_h // 6 - 1, "ANR".index(x.variable), x.lat_i, x.lon_i] = x.value
+    return out
+
+
+_LAT = (("lat",), {"units": "degrees_north"}, np.arange(12) * 15.0 - 82.5)
+_LON = (("lon",), {"units": "degrees_east"}, np.arange(24) * 15.0)
+
+
+@query("select variable, 'member_00' || cast(model as varchar) as member, cast(lead_h as double) as lead_h, count(value) as n, round(sum(value*(lat_i*15-82.5+lon_i)),3)+0.0 as value from c where model in (1,3) group by 1,2,3", c=_CUBE)
+def netcdf_tree(spark, d):
+    """A file for each member and lead, with a variable for each field; two members are read."""
+    cube, root = _cube(spark, d), scratch(spark)
+    for m in range(4):
+        for k in range(7):
+            fields = {v: (("lat", "lon"), {}, cube[m, k, i]) for i, v in enumerate("ANR")}
+            netcdf.put(spark, f"{root}/20240101/member_00{m}/{k + 1:03d}.nc", netcdf.write_classic({"lat": 12, "lon": 24}, {"lat": _LAT, "lon": _LON, **fields}))
+    x = netcdf.forecast_tree(spark, root, step=15.0, members=["1", "3"])
+    return x.groupBy("variable", "member", "lead_h").agg(F.count("value").alias("n"), tidy(F.sum(F.col("value") * (F.col("lat") + F.col("lon_i"))), 3).alias("value"))
+
+
+@query("select variable, timestamp '2024-01-01' + to_hours(lead_h) as valid, count(value) as n, round(sum(value*lon_i*15),3)+0.0 as value from c group by 1,2", c=_CUBE)
+def netcdf_cubes(spark, d):
+    """A cube for each model, its fields along a level axis and its times in hours since an epoch; missing cells hold a fill value."""
+    cube, root = _cube(spark, d), scratch(spark)
+    for m in range(4):
+        data = np.where(np.isnan(cube[m]), 9.96e36, cube[m])
+        time = (("time",), {"units": "hours since 2024-01-01 00:00:00"}, np.arange(1, 8) * 6.0)
+        level = (("level", "chars"), {}, np.array([list("A "), list("N "), list("R ")], "S1"))
+        netcdf.put(spark, f"{root}/model{m}.nc", netcdf.write_classic({"time": 7, "level": 3, "lat": 12, "lon": 24, "chars": 2}, {"time": time, "level": level, "lat": _LAT, "lon": _LON, "data": (("time", "level", "lat", "lon"), {}, data)}))
+    x = netcdf.classic_files(spark, root, 15.0)
+    return x.groupBy("variable", F.col("time").alias("valid")).agg(F.count("value").alias("n"), tidy(F.sum(F.col("value") * F.col("lon")), 3).alias("value"))
+
+
+@query("select cast(lead_h // 6 - 1 as int) as time_i, variable, count(value) as n, round(sum(value*2+5),3)+0.0 as value from c where model=2 and lead_h between 12 and 30 and variable <> 'R' group by 1,2", c=_CUBE)
+def chunked_truth(spark, d):
+    """A store of normalised channels: a range of times and channels is read, and brought back to its unit."""
+    cube, root = _cube(spark, d)[2], scratch(spark)
+    chunks = (2, 1, 12, 10)
+    spec = {"zarr_format": 2, "shape": list(cube.shape), "chunks": list(chunks), "dtype": "<f8", "order": "C", "fill_value": None, "compressor": {"id": "zlib"}, "filters": None}
+    netcdf.put(spark, f"{root}/truth.zarr/data/.zarray", json.dumps(spec).encode())
+    for t, k, j in itertools.product(range(4), range(3), range(3)):
+        block = np.full(chunks, np.nan)
+        part = cube[2 * t : 2 * t + 2, k : k + 1, :, 10 * j : 10 * j + 10]
+        block[tuple(slice(n) for n in part.shape)] = part
+        netcdf.put(spark, f"{root}/truth.zarr/data/{t}.{k}.0.{j}", zlib.compress(block.tobytes()))
+    x = netcdf.chunked_store(spark, f"{root}/truth.zarr", where={"time": (1, 5), "channel": (0, 2)})
+    x = x.withColumn("variable", F.element_at(F.array(F.lit("A"), F.lit("N")), F.col("channel_i") + 1))
+    y = gridded.standardised(F.col("value"), F.lit(5.0), F.lit(2.0), F.col("variable"))
+    return x.withColumn("y", y).groupBy("time_i", "variable").agg(F.count("y").alias("n"), tidy(F.sum("y"), 3).alias("value"))
+
+
 # --- archives and sinks -------------------------------------------------------
 
 _MONTHS = f"select model, cast(init as date) as init, variable, lead_h, rmse from ({ARCHIVE}) a"
