@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions.columns import tidy
-from ..operators import align, categorical, compare, deterministic, report, summary
+from ..operators import align, categorical, compare, packed, report, summary
 from ..session import scratch
 from ..sources import archive, gridded, netcdf, station_text
 from .queries import query, r
@@ -389,6 +389,32 @@ def chunked_truth(spark, d):
     return x.withColumn("y", y).groupBy("time_i", "variable").agg(F.count("y").alias("n"), tidy(F.sum("y"), 3).alias("value"))
 
 
+# --- packed fields ------------------------------------------------------------
+
+_PK = f"select model, variable, cast(lat_i as int) as lat_i, lat, cast(lon_i as int) as lon_i, fcst, obs, 20.0 + lat_i % 7 + lon_i / 100.0 as clim from ({CELLS}) c where abs(lat) < 89"
+
+
+@query("""select model, variable, count(*) as n, round(sqrt(sum(w*(fcst-obs)*(fcst-obs))/sum(w)),6)+0.0 as rmse, round(sum(w*(fcst-obs))/sum(w),6)+0.0 as bias, round(sum(w*fa*oa)/nullif(sqrt(sum(w*fa*fa)*sum(w*oa*oa)),0),6)+0.0 as acc,
+ round((sum(w*fa*oa)-sum(w*fa)*sum(w*oa)/sum(w))/nullif(sqrt((sum(w*fa*fa)-pow(sum(w*fa),2)/sum(w))*(sum(w*oa*oa)-pow(sum(w*oa),2)/sum(w))),0),6)+0.0 as acc_centred,
+ round(sqrt(greatest(sum(w*fa*fa)/sum(w)-pow(sum(w*fa)/sum(w),2),0)),6)+0.0 as fa_pred from (select *, cos(radians(lat)) as w, fcst-clim as fa, obs-clim as oa from c) group by 1,2""", c=_PK)
+def packed_scores(spark, d):
+    rings = packed.pack(view(spark, d, _PK), ["model", "variable"], ["fcst", "obs", "clim"], 240)
+    out = packed.ring_scores(rings, ["model", "variable"])
+    return out.select("model", "variable", "n", *r("rmse", "bias", "acc", "acc_centred", "fa_pred"))
+
+
+_PR = "select vec_id % 3 as g, vec_id, cos(radians(cast(vec_id % 13 as double)*14.0-84.0)) as w, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings"
+_PP = "select g, vec_id, any_value(w) as w, k, case when k=0 then 0.0 else (pow(sum((x-m)*cos(2*pi()*((k*i)%64)/64)),2)+pow(sum((x-m)*sin(2*pi()*((k*i)%64)/64)),2))/4096 end as p from (select *, avg(x) over (partition by vec_id) as m from rings), (select unnest(range(9)) as k) group by 1,2,4"
+
+
+@query("select cast(g as bigint) as g, cast(k as int) as wavenumber, round(sum(w*p)/sum(w),9)+0.0 as fcst, round(9*sum(w*p)/sum(w),9)+0.0 as obs from power group by 1, k", rings=_PR, power=_PP)
+def packed_spectra(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select((F.col("vec_id") % 3).alias("g"), ((F.col("vec_id") % 13).cast("double") * 14.0 - 84.0).alias("lat"), F.col("embedding").cast("array<double>").alias("fcst"))
+    rings = e.withColumn("obs", F.transform("fcst", lambda x: 3 * x))
+    out = packed.ring_report(rings, ["g"], 8).select("g", F.posexplode(F.arrays_zip("fcst_power", "obs_power")).alias("wavenumber", "p"))
+    return out.select("g", "wavenumber", tidy("p.fcst_power", 9).alias("fcst"), tidy("p.obs_power", 9).alias("obs"))
+
+
 # --- archives and sinks -------------------------------------------------------
 
 _MONTHS = f"select model, cast(init as date) as init, variable, lead_h, rmse from ({ARCHIVE}) a"
