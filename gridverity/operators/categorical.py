@@ -161,6 +161,19 @@ def hourly_sums(hours: DataFrame, ends: DataFrame, n_hours: int, keys: Keys, tim
     return out.where("n_found > 0").withColumn("n_missing", F.lit(n_hours) - F.col("n_found"))
 
 
+def latest_station_sums(hours: DataFrame, ends: DataFrame, n_hours: int, station: str = "station_id", time: str = "obs_time", value: str = "rain") -> DataFrame:
+    """Sums over (end - n_hours, end] of the stations that the window's latest hour has; their missing hours and negative amounts are 0.
+
+    A window of which a single hour is there gives that hour's amounts.
+    """
+    seconds = lambda x: F.col(x).cast("timestamp").cast("long")
+    slots = ends.select("end", F.explode(F.sequence(F.lit(0), F.lit(n_hours - 1))).alias("__h")).select("end", (seconds("end") - F.col("__h") * 3600).alias("__s"))
+    x = slots.join(hours.select(station, seconds(time).alias("__s"), F.greatest(F.coalesce(F.col(value), F.lit(0.0)), F.lit(0.0)).alias(value)), "__s")
+    latest = x.groupBy("end").agg(F.max("__s").alias("__last"), F.count_distinct("__s").alias("n_hours"))
+    out = x.join(latest, "end").groupBy("end", station, "n_hours").agg(F.sum(value).alias("total"), F.max(F.col("__s") == F.col("__last")).alias("__there"))
+    return out.where("__there").drop("__there")
+
+
 def lenient_windows(hours: DataFrame, n_hours: int, station: str = "station_id", time: str = "obs_time", value: str = "rain") -> DataFrame:
     """Sums over (t - n_hours, t] at each station hour; missing hours and negative amounts are 0."""
     seconds = F.col(time).cast("timestamp").cast("long")

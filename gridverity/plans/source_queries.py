@@ -442,6 +442,41 @@ def pending_dates(spark, d):
     return x.join(todo, "init_date", "left_semi").groupBy("init").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("select init as init_date, 'm' || cast(model as varchar) as member, count(*) as n, round(avg(lead_h),4)+0.0 as lead_h, round(sum(floor(rmse*10)/10),4)+0.0 as rmse from a group by 1,2", a=_MONTHS)
+def date_csv(spark, d):
+    """Files by date and member, read back with what their names say."""
+    x = view(spark, d, _MONTHS).select(F.col("init").alias("init_date"), F.concat(F.lit("m"), F.col("model").cast("string")).alias("member"), "lead_h", "variable", (F.floor(F.col("rmse") * 10) / 10).alias("rmse"))
+    path = f"{scratch(spark)}/csv"
+    archive.write_date_csv(x, path, "rmse")
+    got = spark.read.schema("lead_h double, variable string, rmse double, file string").option("header", True).csv(path)
+    part = F.split("file", "_")
+    got = got.select(F.to_date(part[1], "yyyyMMdd").alias("init_date"), part[2].alias("member"), "lead_h", "rmse")
+    return got.groupBy("init_date", "member").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("lead_h"), 4).alias("lead_h"), tidy(F.sum("rmse"), 4).alias("rmse"))
+
+
+@query("select cast(lead_h as int) as lead_h, threshold, count(*) filter (fcst>=threshold and obs>=threshold) as hits, count(*) as n_pairs from fc, (select unnest([10.0,25.0])::double as threshold) group by 1,2", fc=FC)
+def ts_csv(spark, d):
+    """A threat score table as one CSV with a header, its metadata beside it."""
+    root = scratch(spark)
+    table = categorical.contingency_table(view(spark, d, FC), ["lead_h"], (10.0, 25.0))
+    archive.write_csv(table, f"{root}/ts_demo.csv", ["lead_h", "threshold"])
+    archive.write_meta(spark, f"{root}/demo_meta", {"thresholds": [10.0, 25.0]})
+    got = spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/ts_demo.csv")
+    return got.select(F.col("lead_h").cast("int").alias("lead_h"), F.col("threshold").cast("double").alias("threshold"), F.col("hits").cast("long").alias("hits"), F.col("n_pairs").cast("long").alias("n_pairs"))
+
+
+_HOUR7 = "select cast(user_id % 7 as bigint) as station_id, date_trunc('hour', ts) as obs_time, sum(value) - 20 as rain from {events} group by 1, 2"
+
+
+@query("""select hour_end, station_id, round(sum(greatest(rain,0)),4)+0.0 as total, any_value(k) as n_hours from (select e.hour_end, g.*, count(distinct g.obs_time) over (partition by e.hour_end) as k, max(g.obs_time) over (partition by e.hour_end) as last from (select distinct date_trunc('day', obs_time) + interval 12 hour as hour_end from g) e join g on g.obs_time <= e.hour_end and g.obs_time > e.hour_end - interval 6 hour)
+ group by 1,2 having bool_or(obs_time = last)""", g=_HOUR7)
+def latest_station_sums(spark, d):
+    x = view(spark, d, _HOUR7)
+    ends = x.select((F.date_trunc("day", "obs_time") + F.expr("interval 12 hours")).alias("end")).distinct()
+    out = categorical.latest_station_sums(x, ends, 6)
+    return out.select(F.col("end").alias("hour_end"), "station_id", tidy("total", 4).alias("total"), "n_hours")
+
+
 @query("select init as init_date, model, count(*) as n, round(sum(rmse),4)+0.0 as rmse, 6 as accum_hours from a group by 1,2", a=_MONTHS)
 def merged_csv(spark, d):
     x = view(spark, d, _MONTHS)

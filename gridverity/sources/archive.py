@@ -52,6 +52,14 @@ def write_csv(table: DataFrame, path: str, keys: Keys, column: str | None = None
     out.coalesce(1).orderBy(*keys).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_date_csv(scores: DataFrame, path: str, metric: str, date: str = "init_date", member: str = "member") -> None:
+    """CSVs of one metric by date and member, named <metric>_<date>_<member>; numbers have six significant digits."""
+    name = F.concat_ws("_", F.lit(metric), F.date_format(date, "yyyyMMdd"), F.col(member))
+    kinds = dict(scores.dtypes)
+    digits = [F.format_string("%.6g", c).alias(c) if kinds[c] == "double" else F.col(c) for c in scores.columns if c not in (date, member)]
+    scores.select(*digits, name.alias("file")).write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+
+
 def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     """Run metadata as one JSON document."""
     spark.createDataFrame([(json.dumps(meta, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
