@@ -88,3 +88,20 @@ def test_stage_on_odd_ids(spark, docs_of):
     got = corpus_pipeline.near_duplicate_stage(spark, docs_of(pairs), "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=repr)[:2] == [(3, "a b c d e f"), (3, "q r s")] and len(got) == 3
     assert corpus_pipeline.near_duplicate_stage(spark, docs_of([]), "").count() == 0
+
+
+def test_stage_on_a_crowd_below_the_threshold(spark, docs_of, monkeypatch):
+    """Many edited copies of one text: some pairs are links, most are not; blocks are small here."""
+    monkeypatch.setattr(near_duplicates, "GROUP_ROWS", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    pairs = []
+    for i in range(90):
+        e = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 7)):
+            e[at] = f"x{rng.randrange(10**6)}"
+        pairs.append((i, " ".join(e)))
+    links, label = brute(pairs)
+    assert 150 < len(links) < 2500 and len(set(label)) > 3
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs_of(pairs).repartition(3), "").collect()}
+    assert got == {pairs[i][0] for i in set(label)}
