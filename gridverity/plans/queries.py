@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -322,11 +324,34 @@ def diagonal_spectrum(spark, d):
     return spectra.diagonal_spectrum(x, ["field"], 12, 24, 10).select("k", tidy("p", 3).alias("p"))
 
 
-@query()
+def _harmonics(n: int, l_max: int) -> str:
+    """Rows (i, w, l, m, h): interpolatory weights of n equidistant latitudes, and weighted orthonormal harmonics there.
+
+    Weights solve the moment equations of Chebyshev polynomials; harmonics are derivatives of Legendre polynomials.
+    """
+    theta = np.pi * np.arange(n) / (n - 1)
+    k = np.arange(n)
+    w = np.linalg.solve(np.cos(np.outer(k, theta)), [0.0 if j % 2 else 2.0 / (1 - j * j) for j in k])
+    x = -np.cos(theta)
+    rows = []
+    for deg in range(l_max + 1):
+        for m in range(deg + 1):
+            norm = math.sqrt((2 * deg + 1) / (4 * math.pi) * math.factorial(deg - m) / math.factorial(deg + m))
+            p = np.polynomial.legendre.Legendre.basis(deg).deriv(m)(x) if m else np.polynomial.legendre.Legendre.basis(deg)(x)
+            h = w * norm * np.maximum(1 - x * x, 0) ** (m / 2) * p
+            rows += [f"({i},{w[i]!r}::double,{deg},{m},{h[i]!r}::double)".replace("np.float64(", "(") for i in range(n)]
+    return "select * from (values " + ",".join(rows) + ") t(i,w,l,m,h)"
+
+
+@query("select cast(field as int) as field, cast(l as int) as degree, round(sum(case m when 0 then 1 else 2 end*(re*re+im*im)),9)+0.0 as power from coef group by 1,2",
+ e="select vec_id // 13 as field, vec_id % 13 as i, unnest(embedding)::double as x, unnest(range(64)) as j from embeddings", basis=_harmonics(13, 6),
+ mean="select field, sum(w*x)/sum(w) as g from e join (select distinct i, w from basis) using (i) group by 1 having count(distinct i)=13",
+ wave="select field, i, m, sum((x-g)*cos(2*pi()*m*j/64))*2*pi()/64 as re, sum((x-g)*sin(2*pi()*m*j/64))*2*pi()/64 as im from e join mean using (field), (select unnest(range(7)) as m) group by 1,2,3",
+ coef="select field, l, m, sum(h*re) as re, sum(h*im) as im from wave join basis using (i, m) group by 1,2,3")
 def spherical_spectrum(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     ring = e.select((F.col("vec_id") / 13).cast("int").alias("field"), ((F.col("vec_id") % 13).cast("double") * 15.0 - 90.0).alias("lat"), F.col("embedding").cast("array<double>").alias("values"))
-    return spectra.spherical_spectrum(ring, ["field"], 6)
+    return spectra.spherical_spectrum(ring, ["field"], 6).select("field", "degree", tidy("power", 9).alias("power"))
 
 
 # --- sub-seasonal -------------------------------------------------------------
@@ -337,10 +362,14 @@ def temporal_skill(spark, d):
     return subseasonal.temporal_skill(view(spark, d, DAILY), ["variable", "lat_i"]).select("variable", "lat_i", *r("tcc", "rmse"), "n")
 
 
-@query()
+#: Both tails of Student's t of a correlation tcc of n pairs: the integral of cos^(n-3) from asin |tcc| to a right angle, by Simpson's rule.
+_STUDENT = "2*exp(lgamma((n-1)/2.0)-lgamma((n-2)/2.0))/sqrt(pi())*((pi()/2-t)/400/3)*list_sum(list_transform(range(401), lambda i: (case when i=0 or i=400 then 1 when i%2=1 then 4 else 2 end)*pow(abs(cos(t+(pi()/2-t)*i/400.0)), n-3)))"
+
+
+@query(f"select variable, lat_i, round(tcc,6)+0.0 as tcc, n, round(case when n>2 then {_STUDENT} end,6)+0.0 as p from (select *, asin(least(abs(tcc),0.999999)) as t from (select variable, lat_i, case when min(fcst)<max(fcst) and min(obs)<max(obs) then corr(fcst,obs) end as tcc, count(*) as n from daily group by 1,2))", daily=DAILY)
 def correlation_p_values(spark, d):
     x = subseasonal.temporal_skill(view(spark, d, DAILY), ["variable", "lat_i"])
-    return x.withColumn("p", tidy(c.clean(subseasonal.correlation_p("tcc", "n"))))
+    return x.select("variable", "lat_i", *r("tcc"), "n", tidy(c.clean(subseasonal.correlation_p("tcc", "n"))).alias("p"))
 
 
 _LEADS = f"select variable, cast(1 + (lon_i % 60) as int) as lead_day, avg(fcst) as value from ({FC}) f group by 1,2"
@@ -437,13 +466,6 @@ def storm_wind(spark, d):
     return tropical.max_wind(cells, at, ["model"], 10.0, "obs").select("model", *r("vmax"))
 
 
-@query()
-def storm_search(spark, d):
-    cells = view(spark, d, FC).where("lat between -30 and 30 and lon between 100 and 200").groupBy(F.col("model").alias("tcid"), "lead_h", "lat", "lon").agg(F.avg("fcst").alias("msl"))
-    starts = cells.where("lead_h = 6").groupBy("tcid").agg(F.min_by("lat", F.struct("msl", "lat", "lon")).alias("lat"), F.min_by("lon", F.struct("msl", "lat", "lon")).alias("lon"))
-    return tropical.track_storms(cells, starts)
-
-
 # --- roll-ups -----------------------------------------------------------------
 
 
@@ -576,16 +598,38 @@ def signed_rank(spark, d):
     return out.select("variable", "model_a", "model_b", *r("w_plus"), F.col("n").cast("long").alias("n"))
 
 
-@query()
+_SIDES = "select variable, x.model as model_a, y.model as model_b, x.rmse as a, y.rmse as b, x.rmse - y.rmse as d from daily x join daily y using (init, variable) where x.model<y.model"
+_MEANS = "select variable, model_a, model_b, avg(a) as mean_a, avg(b) as mean_b, count(*) filter (d=0) as zeros, count(*) filter (d<>0) as n, count(*) filter (abs(d)>1e-8+1e-5*abs(b)) as apart from sides group by 1,2,3"
+_RANKS = "select variable, model_a, model_b, sum(case when d>0 then rk else 0 end) as w, sum(t*t-1) as ties from (select *, rank() over (partition by variable, model_a, model_b order by abs(d)) + (count(*) over same - 1)/2.0 as rk, count(*) over same as t from sides where d<>0 window same as (partition by variable, model_a, model_b, abs(d))) group by 1,2,3"
+#: How many subsets of the ranks 1 to n have the sum w.
+_SUBSETS = "select 0 as n, 0 as w, 1.0::double as c union all select n+1, w+u*(n+1), sum(c) from subsets, (select unnest([0,1]) as u) where n<50 group by 1,2"
+#: Both tails of the normal distribution beyond z, by Simpson's rule.
+_TAILS = "2*(10/400.0/3)*list_sum(list_transform(range(401), lambda i: (case when i=0 or i=400 then 1 when i%2=1 then 4 else 2 end)*exp(-pow(z+i/40.0,2)/2)/sqrt(2*pi())))"
+_PTEST = f"""select *, case when n+zeros<2 then null when apart=0 then 1.0 when ties=0 and zeros=0 and n<=50 then least(1, 2*(select sum(c) from subsets s where s.n=t.n and s.w<=least(t.w, t.n*(t.n+1)/2-t.w))/pow(2,n)) when v<=0 then 1.0 else {_TAILS} end as p from
+ (select *, case when v>0 then abs(w-n*(n+1)/4.0)/sqrt(v) end as z from (select *, n*(n+1)*(2*n+1)/24.0 - ties/48.0 as v from means left join ranks using (variable, model_a, model_b))) t"""
+_PHOLM = "select *, case when p is not null then least(1, max(raw) over (partition by variable, p is null order by p rows unbounded preceding)) end as p_holm from (select *, (count(p) over (partition by variable) - row_number() over (partition by variable, p is null order by p) + 1) * p as raw from ptest)"
+_DAILYMEAN = "select model, init, variable, avg(rmse) as rmse from a group by 1,2,3"
+_TESTS = {"a": ARCHIVE, "daily": _DAILYMEAN, "sides": _SIDES, "means": _MEANS, "ranks": _RANKS, "subsets": _SUBSETS, "ptest": _PTEST}
+_VERDICT = "case when {0} is null or {0}>=0.05 or mean_a=mean_b then 'tie' when mean_a<mean_b then 'a' else 'b' end"
+
+
+def _daily(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, ARCHIVE).groupBy("model", "init", "variable").agg(F.avg("rmse").alias("rmse"))
+
+
+@query(f"select variable, model_a, model_b, round(mean_a,6)+0.0 as mean_a, round(mean_b,6)+0.0 as mean_b, round(100*(mean_a-mean_b)/mean_b,6)+0.0 as delta_pct, n, round(p,6)+0.0 as p, round(p_holm,6)+0.0 as p_holm, {_VERDICT.format('p_holm')} as winner from holm", **_TESTS, holm=_PHOLM)
 def pair_report(spark, d):
-    daily = view(spark, d, ARCHIVE).groupBy("model", "init", "variable").agg(F.avg("rmse").alias("rmse"))
-    return compare.pair_report(daily, ["variable"], "rmse")
+    out = compare.pair_report(_daily(spark, d), ["variable"], "rmse")
+    return out.select("variable", "model_a", "model_b", *r("mean_a", "mean_b", "delta_pct"), F.col("n").cast("long").alias("n"), *r("p", "p_holm"), "winner")
 
 
-@query()
+@query(f"select model_a, model_b, count(*) filter (won='a') as n_a, count(*) filter (won='b') as n_b, count(*) filter (won='tie') as n_tie from (select *, {_VERDICT.format('p')} as won from ptest) group by 1,2", **_TESTS)
 def win_counts(spark, d):
-    daily = view(spark, d, ARCHIVE).groupBy("model", "init", "variable").agg(F.avg("rmse").alias("rmse"))
-    return compare.win_counts(compare.pair_report(daily, ["variable"], "rmse"))
+    return compare.win_counts(compare.pair_report(_daily(spark, d), ["variable"], "rmse"))
+
+
+for _name in ("pair_report", "win_counts"):
+    ORACLE[_name] = ORACLE[_name].replace("with ", "with recursive ", 1)
 
 
 @query("select model, variable, count(*) as n from (select model, init, variable from (select distinct model from a), (select distinct init from a), (select distinct variable from a) except select model, init, variable from a) group by 1,2", a=ARCHIVE)
@@ -757,7 +801,7 @@ def _step(k: int) -> str:
 
 
 @query(" union all ".join(f"select tcid, lead_h, la as plat, lo as plon, round(pmin,6)+0.0 as pmin from s{k} where lead_h is not null" for k in range(1, 8)), b=_BOX, s0=_STARTS, **{f"s{k}": _step(k) for k in range(1, 8)})
-def chained_search(spark, d):
+def storm_search(spark, d):
     """Each lead looks around the centre of the lead before; a lead without a cell there keeps the centre."""
     cells = view(spark, d, _BOX)
     starts = cells.where("lead_h = 6").groupBy("tcid").agg(F.min_by("lat", F.struct("msl", "lat", "lon")).alias("lat"), F.min_by("lon", F.struct("msl", "lat", "lon")).alias("lon"))
