@@ -50,4 +50,4 @@ def test_spherical_spectrum_of_all_fields(spark, vectors):
     assert sorted(got) == fields and len(fields) > 30
     for f in fields:
         want = spectra.spherical_power(np.stack([by_id[13 * f + i] for i in range(13)]), 6)
-        assert [got[f][k] for k in range(7)] == pytest.approx(want.tolist())
+        assert [got[f][k] for k in range(7)] == pytest.approx(want.tolist(), abs=2e-9)  # powers are rounded to nine digits
