@@ -40,7 +40,7 @@ from .common import doc_key, partitions, whole_text
 BUCKETS_EACH = 4
 PARTS = 8
 #: Level of compression, and bytes of text that are compressed together at most.
-LEVEL = 5
+LEVEL = 3
 TEXT_BLOCK = 4 << 20
 #: Bytes of strings that a task gathers before it sends them.
 OUTBOX_BYTES = 16 << 20

@@ -12,7 +12,8 @@ keeps its bytes.  The order across buckets is never needed.
 A bucket sets aside strings that cannot repeat: windows that hold their minimiser
 at a place in one quarter of the window have the bytes around it in common; if no
 other string has the same minimiser with the same bytes around it, for none of the
-quarters, no window of the string occurs elsewhere.
+quarters, no window of the string occurs elsewhere.  Equal strings are one entry,
+and the same test among different entries leaves those that get a suffix array.
 """
 
 from __future__ import annotations
@@ -160,7 +161,14 @@ def repeated_bytes(s: Strings, window: int, gram: int) -> tuple[np.ndarray, np.n
     off = np.concatenate([[0], np.cumsum(size)])
     key = s.key[live]
     leads, of = _distinct(data, off, key)
-    # one text of the distinct strings, each followed by a separator
+    # strings of later documents than their equal's least one go whole
+    whole = np.flatnonzero(key > key[of])
+    # of the distinct ones, those that may share a window with a different string
+    own = data[ragged(off[leads], size[leads])]
+    leads = leads[_may_repeat(Strings(own, np.concatenate([[0], np.cumsum(size[leads])]), key[leads], key[leads], key[leads], s.mini[live][leads]), window, gram)]
+    if not len(leads):
+        return live[whole], np.zeros(len(whole), np.int64), size[whole]
+    # one text of them, each followed by a separator
     width = size[leads] + 1
     begin = np.cumsum(width) - width
     t = np.zeros(int(width.sum()) + 8, np.int16)
@@ -183,8 +191,6 @@ def repeated_bytes(s: Strings, window: int, gram: int) -> tuple[np.ndarray, np.n
     new = np.concatenate([[True], ~equal])
     owner = key[leads][string]
     least = np.minimum.reduceat(owner, np.flatnonzero(new))[np.cumsum(new) - 1]
-    # strings of later documents than their equal's least one go whole; the others by windows
-    whole = np.flatnonzero(key > key[of])
     hit = np.flatnonzero(least < owner)
     place = suffix[hit] - begin[string[hit]]
     by_lead = leads[string[hit]]
