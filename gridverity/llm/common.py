@@ -77,6 +77,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a table has BROADCAST_ROWS rows at most; it should be checkpointed."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """left joined with right, which has one row at most for each key; both should be checkpointed.
 
@@ -86,7 +91,7 @@ def look_up(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     rows have to meet in one task.
     """
     keys = list(keys)
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(right):
         return left.join(F.broadcast(right), keys, how)
     most = left.count() // (4 * partitions(left.sparkSession)) + 1
     hot = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).select(*keys))
