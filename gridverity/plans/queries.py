@@ -599,7 +599,7 @@ def signed_rank(spark, d):
 
 
 _SIDES = "select variable, x.model as model_a, y.model as model_b, x.rmse as a, y.rmse as b, x.rmse - y.rmse as d from daily x join daily y using (init, variable) where x.model<y.model"
-_MEANS = "select variable, model_a, model_b, avg(a) as mean_a, avg(b) as mean_b, count(*) filter (d=0) as zeros, count(*) filter (d<>0) as n, count(*) filter (abs(d)>1e-8+1e-5*abs(b)) as apart from sides group by 1,2,3"
+_PAIRMEANS = "select variable, model_a, model_b, avg(a) as mean_a, avg(b) as mean_b, count(*) filter (d=0) as zeros, count(*) filter (d<>0) as n, count(*) filter (abs(d)>1e-8+1e-5*abs(b)) as apart from sides group by 1,2,3"
 _RANKS = "select variable, model_a, model_b, sum(case when d>0 then rk else 0 end) as w, sum(t*t-1) as ties from (select *, rank() over (partition by variable, model_a, model_b order by abs(d)) + (count(*) over same - 1)/2.0 as rk, count(*) over same as t from sides where d<>0 window same as (partition by variable, model_a, model_b, abs(d))) group by 1,2,3"
 #: How many subsets of the ranks 1 to n have the sum w.
 _SUBSETS = "select 0 as n, 0 as w, 1.0::double as c union all select n+1, w+u*(n+1), sum(c) from subsets, (select unnest([0,1]) as u) where n<50 group by 1,2"
@@ -609,7 +609,7 @@ _PTEST = f"""select *, case when n+zeros<2 then null when apart=0 then 1.0 when
  (select *, case when v>0 then abs(w-n*(n+1)/4.0)/sqrt(v) end as z from (select *, n*(n+1)*(2*n+1)/24.0 - ties/48.0 as v from means left join ranks using (variable, model_a, model_b))) t"""
 _PHOLM = "select *, case when p is not null then least(1, max(raw) over (partition by variable, p is null order by p rows unbounded preceding)) end as p_holm from (select *, (count(p) over (partition by variable) - row_number() over (partition by variable, p is null order by p) + 1) * p as raw from ptest)"
 _DAILYMEAN = "select model, init, variable, avg(rmse) as rmse from a group by 1,2,3"
-_TESTS = {"a": ARCHIVE, "daily": _DAILYMEAN, "sides": _SIDES, "means": _MEANS, "ranks": _RANKS, "subsets": _SUBSETS, "ptest": _PTEST}
+_TESTS = {"a": ARCHIVE, "daily": _DAILYMEAN, "sides": _SIDES, "means": _PAIRMEANS, "ranks": _RANKS, "subsets": _SUBSETS, "ptest": _PTEST}
 _VERDICT = "case when {0} is null or {0}>=0.05 or mean_a=mean_b then 'tie' when mean_a<mean_b then 'a' else 'b' end"
 
 
