@@ -71,7 +71,7 @@ def temporal_skill(pairs: DataFrame, keys: Keys, f: str = "fcst", o: str = "obs"
     """tcc (Pearson along start dates), rmse and n of each group, over pairs with both sides."""
     x = pairs.where(F.col(f).isNotNull() & F.col(o).isNotNull())
     flat = (F.min(f) == F.max(f)) | (F.min(o) == F.max(o))
-    return x.groupBy(*keys).agg(F.when(~flat, F.corr(f, o)).alias("tcc"), F.sqrt(F.avg((F.col(f) - F.col(o)) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    return x.groupBy(*keys).agg(F.when(~flat, c.ratio(F.covar_pop(f, o), F.stddev_pop(f) * F.stddev_pop(o))).alias("tcc"), F.sqrt(F.avg((F.col(f) - F.col(o)) ** 2)).alias("rmse"), F.count(F.lit(1)).alias("n"))
 
 
 def derived_weeks(scores: DataFrame, keys: Keys, values: Keys) -> DataFrame:
