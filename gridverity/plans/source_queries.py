@@ -37,11 +37,11 @@ _UNITS = f"""select case model when 0 then 'z500' when 1 then 't2m' when 2 then
  avg(fcst) over (partition by model, variable) as m from ({FC}) f"""
 
 
-@query("""select v, u, lead_h, count(*) as n, round(avg(case when v='z500' and (u='m**2 s**-2' or u='' and m>10000) then x/9.80665 when v='t2m' and (u='C' or u='' and m<100) then x+273.15 when v='msl' and (u='hPa' or u='' and m between 800.0001 and 1499.9999) then x*100
- when v='tp' and u='mm/s' then x*lead_h*3600 when v='tp' and u='' and m<0.01 then x*lead_h*3600 else x end),4)+0.0 as x from units group by 1,2,3""", units=_UNITS)
+@query("""select v, u, lead_h, count(*) as n, round(sum(case when v='z500' and (u='m**2 s**-2' or u='' and m>10000) then x/9.80665 when v='t2m' and (u='C' or u='' and m<100) then x+273.15 when v='msl' and (u='hPa' or u='' and m between 800.0001 and 1499.9999) then x*100
+ when v='tp' and u='mm/s' then x*lead_h*3600 when v='tp' and u='' and m<0.01 then x*lead_h*3600 else x end),3)+0.0 as x from units group by 1,2,3""", units=_UNITS)
 def standard_units(spark, d):
     x = view(spark, d, _UNITS).withColumn("y", c.to_standard_unit("v", "u", "x", "m", "lead_h"))
-    return x.groupBy("v", "u", "lead_h").agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("y"), 4).alias("x"))
+    return x.groupBy("v", "u", "lead_h").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("y"), 3).alias("x"))
 
 
 _SPELT = "select o_orderkey, o_orderdate, cast(o_orderkey % 7 as int) as kind from {orders}"
