@@ -72,7 +72,7 @@ def leading_variable(scores: DataFrame, by: Keys = (), preferred: str = PREFERRE
     return scores.groupBy(*by).agg(F.min(rank).alias("x")).select(*by, F.col("x.variable").alias("variable"))
 
 
-def primary_pairs(models: DataFrame, suffix: str = "pinpu") -> DataFrame:
+def primary_pairs(models: DataFrame, suffix: str) -> DataFrame:
     """(model, reference): each model whose name ends with the suffix, and the model that is named as the rest, or NULL."""
     names = models.select("model").distinct()
     low = F.lower("model")

@@ -614,12 +614,12 @@ def leading_variables(spark, d):
     return report.leading_variable(view(spark, d, _LONG).where("not (metric = 'acc' and variable = 'z500')"), ["metric"])
 
 
-_NAMES = "select distinct case l_linenumber when 1 then 'Wave_pinpu' when 2 then 'wave' when 3 then 'Otherpinpu' when 4 then 'lone' else concat('m', cast(l_linenumber as string)) end as model from {lineitem}"
+_NAMES = "select distinct case l_linenumber when 1 then 'Wave_tuned' when 2 then 'wave' when 3 then 'Othertuned' when 4 then 'lone' else concat('m', cast(l_linenumber as string)) end as model from {lineitem}"
 
 
-@query("select 'Wave_pinpu' as model, 'wave' as reference union all select 'Otherpinpu', null")
+@query("select 'Wave_tuned' as model, 'wave' as reference union all select 'Othertuned', null")
 def primary_pairs(spark, d):
-    return report.primary_pairs(view(spark, d, _NAMES))
+    return report.primary_pairs(view(spark, d, _NAMES), "tuned")
 
 
 _FOUR = f"select model, avg(abs(fcst - obs)) as relative, avg(fcst) as acc, avg(obs) as fa_deviation, max(fcst) as spectrum_rms, min(fcst) as zonal_rms from ({FC}) f group by 1"
