@@ -108,15 +108,20 @@ def weighted_brier_skill(rows: DataFrame, keys: Keys, p: str = "p", event: str =
     return out.withColumn("bss", F.when(ref > 0, 1 - F.col("bs") / ref)).drop("__rate")
 
 
-def weighted_roc(rows: DataFrame, keys: Keys, p: str = "p", event: str = "event", w: str = "w") -> DataFrame:
-    """Area under the ROC of weighted points: thresholds are the distinct positive probabilities; closed at (1, 1)."""
+def weighted_roc(rows: DataFrame, keys: Keys, p: str = "p", event: str = "event", w: str = "w", undefined: float | None = None) -> DataFrame:
+    """Area under the ROC of weighted points: thresholds are the distinct positive probabilities; closed at (1, 1).
+
+    Where the event always or never happens there is no curve: `undefined`, NULL by default.
+    """
     at = rows.groupBy(*keys, p).agg(F.sum(F.when(F.col(event) == 1, F.col(w)).otherwise(0.0)).alias("h"), F.sum(F.when(F.col(event) == 0, F.col(w)).otherwise(0.0)).alias("f"))
     down = W.partitionBy(*keys).orderBy(F.desc(p))
     run = down.rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*keys)
     x = at.withColumns({"__pod": c.ratio(F.sum("h").over(run), F.sum("h").over(whole)), "__pofd": c.ratio(F.sum("f").over(run), F.sum("f").over(whole))})
     area = (F.col("__pofd") - F.coalesce(F.lag("__pofd").over(down), F.lit(0.0))) * (F.col("__pod") + F.coalesce(F.lag("__pod").over(down), F.lit(0.0))) / 2
-    return x.withColumn("__a", area).groupBy(*keys).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.sum("__a"))).alias("aroc"))
+    total = F.sum("__a")
+    within = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))  # these skip NULL
+    return x.withColumn("__a", area).groupBy(*keys).agg(F.when(total.isNotNull(), within).otherwise(F.lit(undefined).cast("double")).alias("aroc"))
 
 
 def fractions_skill(cells: DataFrame, keys: Keys, threshold: float, windows: Sequence[int], f: str = "fcst", o: str = "obs", lat_i: str = "lat_i", lon_i: str = "lon_i") -> DataFrame:

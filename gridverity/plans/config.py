@@ -295,7 +295,10 @@ def fdp_field_det(spark: SparkSession, cfg: Config) -> Result:
 
 @capability("fdp_ens")
 def fdp_ens(spark: SparkSession, cfg: Config) -> Result:
-    """Floored CRPS, spread, rmse and their ratio; with options["thresholds"] bss and aroc at each and their means, on weighted points."""
+    """Floored CRPS, spread, rmse and their ratio; with options["thresholds"] bss and aroc at each and their means, on weighted points.
+
+    options["undefined_aroc"] stands for aroc where the event always or never happens (NULL, which the mean skips, by default).
+    """
     keys = ["init", "lead_h", "variable"]
     cells = _paired(spark, cfg).withColumnRenamed("fcst", "value")
     packed = deterministic.with_weight(ensemble.pack_members(cells, [*keys, "lat_i", "lon_i", "lat", "obs"]))
@@ -305,7 +308,7 @@ def fdp_ens(spark: SparkSession, cfg: Config) -> Result:
     whole = packed.where(F.col("obs").isNotNull() & ~F.exists("members", lambda x: x.isNull() | F.isnan(x)))
     shares = categorical.member_shares(whole, [*keys, "w"], thresholds)
     by = [*keys, "threshold"]
-    skill = categorical.weighted_brier_skill(shares, by).join(categorical.weighted_roc(shares, by), by)
+    skill = categorical.weighted_brier_skill(shares, by).join(categorical.weighted_roc(shares, by, undefined=cfg.options.get("undefined_aroc")), by)
     tag = lambda name, t: f"{name}_{float(t):g}mm"
     at = lambda name, t: F.max(F.when(F.col("threshold") == float(t), F.col(name))).alias(tag(name, t))
     wide = skill.groupBy(*keys).agg(F.avg("bss").alias("bss"), F.avg("aroc").alias("aroc"), *[at(n, t) for n in ("bss", "aroc") for t in thresholds])

@@ -281,9 +281,10 @@ def probability_scores(spark, d):
   (select variable, threshold, p, sum(case when e=1 then w else 0 end) as h, sum(case when e=0 then w else 0 end) as f from (select vec_id, variable, threshold, any_value(w) as w, avg((x>=threshold)::int) as p, any_value((obs>=threshold)::int) as e from mem, {_ET} group by 1,2,3) group by 1,2,3)
   window u as (partition by variable, threshold order by p desc rows unbounded preceding), g as (partition by variable, threshold)) window v as (partition by variable, threshold order by p desc)) group by 1,2""", ens=ENS, mem=_MEM)
 def weighted_roc(spark, d):
+    """An undefined area is 0 here, as in the SQL."""
     x = categorical.at_thresholds(ens(spark, d), [-0.1, 0.0, 0.1])
     x = x.select("variable", "threshold", "w", c.exceed_share("members", "threshold").alias("p"), (F.col("obs") >= F.col("threshold")).cast("int").alias("event"))
-    return categorical.weighted_roc(x, ["variable", "threshold"]).select("variable", "threshold", *r("aroc"))
+    return categorical.weighted_roc(x, ["variable", "threshold"], undefined=0.0).select("variable", "threshold", *r("aroc"))
 
 
 @query("select variable, round(bs,6)+0.0 as bs, round(bs_ref,6)+0.0 as bs_ref, round(case when bs_ref>0 then 1-bs/bs_ref end,6)+0.0 as bss from (select variable, avg(pow(p-e,2)) as bs, avg(pow(coalesce(r,0)-e,2)) as bs_ref from (select vec_id, variable, avg((x>=0)::int) as p, any_value((obs>=0)::int) as e, case when vec_id % 3 = 0 then null else 0.5 end as r from mem group by 1,2) group by 1)", ens=ENS, mem=_MEM)

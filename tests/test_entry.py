@@ -45,3 +45,15 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_ensembles_of_certain_events_match_sql(spark, sf_dir, tmp_path):
+    """All observations reach 20, none of variable A reaches 30: areas under the curve that are undefined, and some that are not."""
+    con = duckdb.connect()
+    con.execute(f"create table orders as select * from '{sf_dir}/orders.parquet'")
+    con.execute(f"create table lineitem as select * replace (20 + l_quantity % (case l_returnflag when 'A' then 5 else 20 end) as l_quantity) from '{sf_dir}/lineitem.parquet'")
+    for name in ("orders", "lineitem"):
+        con.execute(f"copy {name} to '{tmp_path}/{name}.parquet' (format parquet)")
+    got, want = rows(QUERIES["fdp_ens"](spark, str(tmp_path)).toPandas()), rows(con.sql(ORACLE["fdp_ens"]).df())
+    assert got == want
+    assert 0.0 in {x for r in want for x in r}

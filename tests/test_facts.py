@@ -191,3 +191,10 @@ def test_headers_and_time_units(spark):
     assert [r.x for r in got] == [True, False, False] and [r.y for r in got] == [359.75, 359.75, 179.75]
     df = spark.createDataFrame([(36.0, "hours since 2024-01-01"), (1.5, "Days since 2024-01-01 00:00:00.0"), (5400.0, "seconds since 1970-01-01T00:00:00Z"), (1.0, "hours")], "v double, u string")
     assert [None if r.t is None else str(r.t) for r in df.select(c.time_from_unit("v", "u").alias("t")).collect()] == ["2024-01-02 12:00:00", "2024-01-02 12:00:00", "1970-01-01 01:30:00", None]
+
+
+def test_no_roc_where_an_event_is_certain(spark):
+    rows = [("always", 1.0, 1, 0.5), ("always", 0.5, 1, 1.0), ("never", 0.5, 0, 1.0), ("never", 0.0, 0, 1.0), ("both", 1.0, 1, 1.0), ("both", 0.0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, p double, event int, w double")
+    assert {r.g: r.aroc for r in categorical.weighted_roc(df, ["g"]).collect()} == {"always": None, "never": None, "both": 1.0}
+    assert {r.g: r.aroc for r in categorical.weighted_roc(df, ["g"], undefined=0.0).collect()} == {"always": 0.0, "never": 0.0, "both": 1.0}
