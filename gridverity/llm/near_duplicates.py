@@ -1,22 +1,24 @@
 """SimHash near-duplicates at a similarity: five-word shingles, Jaccard similarity 0.8 or more.
 
-Candidates: documents meet in bands of minimum hashes; a pair of similarity 0.8
-shares none of 20 bands of 4 with a probability of 3 in 100,000.  Blocks of equal
-fingerprint bits make no candidates here: at 0.8 fingerprints differ in some 10 of
-64 bits and often in 17.
+Candidates: fingerprints within three bits meet in buckets of equal bits and slabs of
+their distance to a pivot, as in simhash.  At 0.8 fingerprints differ in some 10 of
+64 bits and often in 17, where buckets and slabs are not selective, so documents
+also meet in bands of minimum hashes; a pair of similarity 0.8 shares none of 20
+bands of 4 with a probability of 3 in 100,000.
 
 Pivots: each document has a SimHash fingerprint and a table of its Hamming distances
-to the pivots.  A candidate pair is discarded if a coordinate differs by more than
-RADIUS, or the fingerprints do; at 0.8 these are five standard deviations away.
-Texts of fewer than SURE_SHINGLES shingles, whose bits depend on few hashes, are
-not discarded so.
+to the pivots.  A pair that meets in a band, in whichever step, is discarded if a
+coordinate differs by more than RADIUS, or the fingerprints do; at 0.8 these are
+five standard deviations away.  Texts of fewer than SURE_SHINGLES shingles, whose
+bits depend on few hashes, are not discarded so.
 
 Links: the survivors are verified on the whole shingle sets.  Members of a band are
 first held against the least of them, so a large group of copies costs one
-comparison a member.  Where these links leave a band's members apart, the shingle
-sets of those outside the band's largest component visit blocks of all members,
-and a block compares them in its task: it gives links that connect, and no table
-of pairs is made, however large the band is.
+comparison a member.  Where these links leave a band's members apart, those outside
+the band's largest component visit blocks of all members.  Blocks first compare
+fingerprints; only members that pivots leave a partner in their block send their
+shingle sets there, and the block compares them in its task: it gives links that
+connect, and no table of pairs is made, however large the band is.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, mixed, ragged, words
+from .blocks import Block, blocks, mixed, ragged, release, words
 from .common import cut, doc_key, is_small, look_up, partitions, whole_text
 from .components import components
-from .simhash import bit_counts, distance_table, keep_first, pivots
+from .simhash import bit_counts, distance_table, fingerprint_links, keep_first, pivots
 from .xxh import xxh64
 
 SHINGLE_WORDS = 5
@@ -43,8 +45,11 @@ SEED = 42
 #: Bits that fingerprints of a link differ in, at most; shingles of a text that this is asked of, at least.
 RADIUS = 26
 SURE_SHINGLES = 20
-#: Members of a band that are in one block, and that visit it at once, about.
+#: Members of a band that are in one block, and that visit it at once, about; their shingles, about.
 GROUP_ROWS = 256
+GROUP_SHINGLES = 1 << 18
+#: Pairs of fingerprints that are compared at once.
+PAIRS_AT_ONCE = 1 << 18
 
 
 def _keys(n: int) -> np.ndarray:
@@ -191,10 +196,44 @@ def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return look_up(rows, roots, ["s"]).withColumn("root", F.coalesce("root", "s"))
 
 
-def block_links(root: np.ndarray, guest: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs that connect the nodes of equal fingerprints, and by buckets and pivot tables those within three bits."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("s").alias("k")))
+    same = look_up(nodes.select("s", "fp"), prints, ["fp"], "inner").where("s <> k").select(F.col("k").alias("a"), F.col("s").alias("b"))
+    return same.unionByName(fingerprint_links(prints).select(F.col("a.k").alias("a"), F.col("b.k").alias("b")))
+
+
+def partners(place: np.ndarray, guest: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Members that may be linked to one of another root in their block, a guest to a home: sizes, pivots and fingerprints allow it.
+
+    Rows of a block stand together, homes first.
+    """
+    top, bottom = SIMILARITY
+    out = np.zeros(len(place), bool)
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    block = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(place))))
+    homes = np.bincount(block[~guest], minlength=len(start))
+    who = np.flatnonzero(guest)
+    ends = np.cumsum(homes[block[who]])
+    at = 0
+    while at < len(who):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+        now = who[at:stop]
+        i, j = np.repeat(now, homes[block[now]]), ragged(start[block[now]], homes[block[now]])
+        least, most = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        maybe = (root[i] != root[j]) & (least * bottom >= most * top)
+        i, j, least = i[maybe], j[maybe], least[maybe]
+        near = ~far_apart(fp[i], fp[j]) | (least < SURE_SHINGLES)
+        out[i[near]] = True
+        out[j[near]] = True
+        at = stop
+    return out
+
+
+def block_links(root: np.ndarray, guest: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) between guests and homes that connect all of them whose sets are similar enough; members of one root are connected.
 
-    A guest is held against all homes of other components at once.
+    A guest is held against all homes of other components at once that pivots and fingerprints don't discard.
     """
     top, bottom = SIMILARITY
     size = np.array([len(x) for x in sets])
@@ -207,6 +246,8 @@ def block_links(root: np.ndarray, guest: np.ndarray, sets: list[np.ndarray]) ->
     for i in np.flatnonzero(guest).tolist():
         n = size[homes]
         j = homes[(label[homes] != label[i]) & (np.minimum(n, size[i]) * bottom >= np.maximum(n, size[i]) * top)]
+        if len(j):
+            j = j[~far_apart(np.full(len(j), fp[i]), fp[j]) | (np.minimum(size[j], size[i]) < SURE_SHINGLES)]
         if not len(j):
             continue
         own = word[first[i] : first[i + 1]]
@@ -223,44 +264,75 @@ def block_links(root: np.ndarray, guest: np.ndarray, sets: list[np.ndarray]) ->
     return pairs[:, 0], pairs[:, 1]
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, those of one place (which stand together) in one batch."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = batch.column("place").to_numpy()
+        last = len(place) - int(np.argmax(place[::-1] != place[-1])) if (place != place[-1]).any() else 0  # where the last place starts
+        if kept and (last or kept[-1].column("place")[-1].as_py() != place[0]):
+            head = pa.concat_batches([*kept, batch.slice(0, last)]) if last else pa.concat_batches(kept)
+            yield head
+            kept = []
+        elif last:
+            yield batch.slice(0, last)
+        kept.append(batch.slice(last))
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def _links_apart(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b): verified links between members (key, s, root) of a band that have different roots."""
-    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    bands = by_root.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    blocks_of = lambda n: F.ceil(n / GROUP_ROWS).cast("int")
-    bands = cut(bands.select("key", F.col("main.root").alias("main"), blocks_of(F.col("size")).alias("blocks"), blocks_of(F.col("size") - F.col("main.n")).alias("visits")))
+    """(a, b): verified links between members (key, s, n, fp, root) of a band that have different roots."""
+    n_partitions = partitions(docs.sparkSession)
+    by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    total = [F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "root", "n")).alias("main"), F.count(F.lit(1)).alias("roots")]
+    bands = by_root.groupBy("key").agg(*total).where("roots > 1")
+    blocks_of = lambda rows, n: F.ceil(F.greatest(rows / GROUP_ROWS, n / GROUP_SHINGLES)).cast("int")
+    blocks_, visits = blocks_of(F.col("rows"), F.col("n")), blocks_of(F.col("rows") - F.col("main.rows"), F.col("n") - F.col("main.n"))
+    bands = cut(bands.select("key", F.col("main.root").alias("main"), blocks_.alias("blocks"), visits.alias("visits")))
     rows = look_up(members, bands, ["key"], "inner")
     up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "s"), F.col(n)).cast("int")
-    homes = rows.select("key", own(0, "blocks").alias("p"), F.explode(up_to("visits")).alias("q"), F.lit(False).alias("guest"), "s", "root")
-    guests = rows.where("root <> main").select("key", F.explode(up_to("blocks")).alias("p"), own(1, "visits").alias("q"), F.lit(True).alias("guest"), "s", "root")
-    placed = cut(homes.unionByName(guests))
+    what = ["s", "root", "n", "fp"]
+    homes = rows.select("key", own(0, "blocks").alias("p"), F.explode(up_to("visits")).alias("q"), F.lit(False).alias("guest"), *what)
+    guests = rows.where("root <> main").select("key", F.explode(up_to("blocks")).alias("p"), own(1, "visits").alias("q"), F.lit(True).alias("guest"), *what)
+    placed = homes.unionByName(guests).select(F.xxhash64("key", "p", "q").alias("place"), "guest", *what)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_blocks(batches):
+            place, guest, root, n, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "guest", "root", "n", "fp"))
+            yield batch.select(["place", "guest", "s", "root", "fp"]).filter(pa.array(partners(place, guest, root, n, fp.view(np.uint64))))
+
+    placed = placed.repartition(n_partitions, "place").sortWithinPartitions("place", "guest")
+    placed = cut(placed.mapInArrow(near, "place long, guest boolean, s long, root long, fp long"))
     sets = _sets(docs, nodes.join(placed.select("s").distinct(), "s").select("k", "row", "s"))
-    placed = placed.join(sets, "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def found() -> pa.RecordBatch:
-            s, root, guest, sets = (list(x) for x in zip(*held, strict=True))
-            i, j = block_links(np.array(root), np.array(guest), sets)
+            s, root, guest, fp, sets = (list(x) for x in zip(*held, strict=True))
+            i, j = block_links(np.array(root), np.array(guest), np.array(fp).view(np.uint64), sets)
             s = np.array(s)
             return pa.RecordBatch.from_arrays([pa.array(s[i]), pa.array(s[j])], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "p", "q", "s", "root", "guest")]
+            cols = [batch.column(c).to_pylist() for c in ("place", "s", "root", "guest", "fp")]
             lists = batch.column("shingles")
-            for x, (key, p, q, s, root, guest) in enumerate(zip(*cols, strict=True)):
-                if (key, p, q) != now:
+            for x, (place, s, root, guest, fp) in enumerate(zip(*cols, strict=True)):
+                if place != now:
                     if held:
                         yield found()
-                    now, held = (key, p, q), []
-                held.append((s, root, guest, lists[x].values.to_numpy()))
+                    now, held = place, []
+                held.append((s, root, guest, fp, lists[x].values.to_numpy()))
         if held:
             yield found()
+        release()
 
-    met = placed.repartition(partitions(docs.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return met.select("key", "p", "q", "s", "root", "guest", "shingles").mapInArrow(run, "a long, b long")
+    met = placed.join(sets, "s").repartition(n_partitions, "place").sortWithinPartitions("place")
+    return met.select("place", "s", "root", "guest", "fp", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_roots(docs: DataFrame) -> DataFrame:
@@ -271,9 +343,9 @@ def near_duplicate_roots(docs: DataFrame) -> DataFrame:
     centres = cut(members.groupBy("key").agg(F.min(F.struct("s", "n", "fp")).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", F.col("x.s").alias("a"), F.col("x.n").alias("n_a"), F.col("x.fp").alias("fp_a")))
     stars = look_up(members, centres, ["key"], "inner").where("s <> a").where(_alike("n_a", "n"))
     stars = cut(_near(stars.select("a", F.col("s").alias("b"), "n_a", F.col("n").alias("n_b"), "fp_a", F.col("fp").alias("fp_b"))))
-    links = cut(_verified(docs, nodes, stars))
+    links = cut(_verified(docs, nodes, cut(stars.unionByName(_bucket_pairs(nodes)).distinct())))
     roots = _rooted(links)
-    more = cut(_links_apart(docs, nodes, _with_root(members.select("key", "s"), roots)))
+    more = cut(_links_apart(docs, nodes, _with_root(members, roots)))
     if not more.isEmpty():
         roots = _rooted(links.unionByName(more))
     return _with_root(prints.select("k", "row", "s"), roots).select("k", "row", "root")

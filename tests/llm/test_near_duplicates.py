@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -107,3 +109,55 @@ def test_stage_on_a_crowd_below_the_threshold(spark, docs_of, monkeypatch):
     assert 150 < len(links) < 2500 and len(set(label)) > 3
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs_of(pairs).repartition(3), "").collect()}
     assert got == {pairs[i][0] for i in set(label)}
+
+
+def test_pivots_discard_members_before_their_sets_travel():
+    """A block keeps what may be a link by size, pivots and fingerprints, of another root, and short texts whatever their bits."""
+    one, far = np.uint64(0xF0F0), ~np.uint64(0xF0F0)
+    place = np.array([1] * 5 + [2] * 3)
+    guest = np.array([False, False, False, True, True, False, False, True])
+    root = np.array([1, 2, 3, 4, 3, 5, 6, 7])
+    n = np.array([100, 100, 300, 100, 300, 10, 50, 9])
+    fp = np.array([one, far, one, one ^ np.uint64(7), one, far, one, one])
+    got = near_duplicates.partners(place, guest, root, n, fp)
+    assert got.tolist() == [True, False, False, True, False, True, False, True]
+
+
+def test_blocks_verify_only_what_pivots_leave():
+    x = np.arange(100, dtype=np.int64)
+    root, guest = np.array([1, 2, 3]), np.array([False, False, True])
+    one = np.uint64(5)
+    i, j = near_duplicates.block_links(root, guest, np.array([one, ~one, one]), [x, x + 1, x + 2])
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(2, 0)]  # the second is as similar, but its fingerprint is not near
+    assert len(near_duplicates.block_links(root, guest, np.array([one, one, one]), [x, x + 1, x + 2])[0]) == 2
+
+
+def test_buckets_of_fingerprints_are_candidates(spark):
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 15 << 20), (5, 15 << 20)], "s long, fp long")
+    got = {frozenset((r.a, r.b)) for r in near_duplicates._bucket_pairs(common.cut(nodes)).collect()}
+    assert got == {frozenset((1, 2)), frozenset((1, 3)), frozenset((4, 5))}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_blocks_go_on_in_the_next_batch(size):
+    place = [1, 1, 1, 2, 3, 3, 3, 3, 3, 3, 3, 4, 4]
+    rows = pa.record_batch({"place": place, "x": list(range(len(place)))})
+    out = list(near_duplicates._whole_blocks(rows.slice(i, size) for i in range(0, len(place), size)))
+    assert [v for b in out for v in b.column("x").to_pylist()] == list(range(len(place)))
+    assert all(not set(a.column("place").to_pylist()) & set(b.column("place").to_pylist()) for k, a in enumerate(out) for b in out[:k])
+
+
+def test_blocks_of_long_texts_hold_few(spark, docs_of, monkeypatch):
+    """Blocks are bounded by shingles too."""
+    monkeypatch.setattr(near_duplicates, "GROUP_SHINGLES", 300)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    pairs = []
+    for i in range(40):
+        e = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 7)):
+            e[at] = f"x{rng.randrange(10**6)}"
+        pairs.append((i, " ".join(e)))
+    _, label = brute(pairs)
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs_of(pairs).repartition(3), "").collect()}
+    assert got == {pairs[i][0] for i in set(label)}
